@@ -100,7 +100,7 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row_col: str | None = None) -> DataFrame:
     """(row, id, n, digest, bands, sig) per document; digest tells equal shingle sets."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -122,7 +122,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 cols = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "n", "digest", "bands", "sig"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return cut(rows.mapInArrow(run, f"row long, id {kind}, n long, digest binary, bands array<long>, sig binary"), "sketch")
 
 
@@ -168,7 +169,7 @@ class _Verifier:
         b = self.reps.select(F.col("row").alias("high"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         near = pairs.join(a, "low").join(b, "high").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
         near = cut(near.where(_prune(self.percent / 100)("sa", "sb")).select("low", "high"), "survivors")
-        sets = self.sets(near.select(F.explode(F.array("low", "high")).alias("row")).distinct())
+        sets = self.sets(near.select(F.col("low").alias("row")).union(near.select("high")).distinct())
         p = sets.select(F.col("row").alias("low"), F.col("items").alias("pa"))
         q = sets.select(F.col("row").alias("high"), F.col("items").alias("pb"))
         return near.join(p, "low").join(q, "high").where(_exact(self.percent)("pa", "pb")).select("low", "high")
@@ -265,15 +266,16 @@ def _links_in_dense(verifier: _Verifier, dense: DataFrame) -> tuple[DataFrame, D
     return a.join(b, "cluster").where("i <= j").select("i", "j", "a", "b").mapInArrow(_compare_blocks(verifier.percent), kind), clusters
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
     """One row per input row: row, id, n_shingles, component_id, kept.
 
     Rows whose shingle sets share `percent` of their union are linked; component_id is the smallest
     id reachable over links, and the row that has it is kept (null ids last; of repeated rows one).
     A null, empty or blank text has no shingles, is linked with nothing and stays. Other columns are
-    not read. An empty table gives an empty result.
+    not read. row_col numbers the rows if the caller needs to find them again. An empty table gives an
+    empty result.
     """
-    sketches = sketch(docs, id_col, text_col, width)
+    sketches = sketch(docs, id_col, text_col, width, row_col)
     # equal sets are one node: the smallest row of each
     nodes = sketches.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
     reps = cut(sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), "representatives")
@@ -281,16 +283,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keyed = reps.select(F.col("row").alias("node"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    open_rows = cut(keyed.join(shared, "key"), "buckets")
+    open_rows = cut(keyed.join(shared, "key").withColumn("component", F.col("node")), "buckets")
     links, found = None, None
     for turn in range(HUB_ROUNDS):
         if open_rows.isEmpty():
             break
-        # each bucket's members meet one of them: the smallest at first, then one drawn by hash
+        # each bucket's members meet one of them, the smallest at first, then one drawn by hash, unless links join them already
         rank = F.col("node") if not turn else F.xxhash64("node", "key", F.lit(turn))
-        hubs = open_rows.groupBy("key").agg(F.min_by("node", rank).alias("hub"))
-        met = open_rows.join(hubs, "key").where("node <> hub")
-        new = cut(verifier.links(met.select(F.least("node", "hub").alias("low"), F.greatest("node", "hub").alias("high")).distinct()), "links")
+        hubs = open_rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), rank).alias("hub"))
+        met = open_rows.join(hubs, "key").where("node <> hub.node")
+        unlike = met.where("component <> hub.component").select(F.least("node", "hub.node").alias("low"), F.greatest("node", "hub.node").alias("high"))
+        new = cut(verifier.links(unlike.distinct()), "links")
         links = new if links is None else links.union(new)
         found = cut(components(links), "components")
         # a bucket stays open while its members, the hub aside, are in several components
@@ -314,3 +317,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(rows.select("row", "id", "n", "component"), "labelled")
     first = rows.groupBy("component").agg(F.min(smallest_first("id", "row")).alias("first"))
     return rows.join(first, "component").select("row", "id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, one of each group of near-duplicates, with their columns."""
+    numbered = cut(docs.withColumn("__cg_row", F.monotonically_increasing_id()), "numbered")  # written, so that both reads number alike
+    gone = near_duplicates(numbered, id_col, text_col, row_col="__cg_row").where("NOT kept").select(F.col("row").alias("__cg_row"))
+    gone = broadcast_below(cut(gone, "gone"), BROADCAST_IDS)
+    return numbered.join(gone, "__cg_row", "left_anti").select(*docs.columns)
