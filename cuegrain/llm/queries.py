@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cuegrain.llm.exact_dedup import exact_dedup
+from cuegrain.llm.mixing import mixed_sizes
 from cuegrain.llm.near_dedup import near_duplicates
+from cuegrain.llm.packing import best_fit_packing
+from cuegrain.llm.token_files import token_files
+from cuegrain.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"))
     return found.selectExpr("id AS doc_id", "n_shingles", "component_id", "kept")
@@ -32,8 +44,31 @@ FROM t
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minhash_dedup": op5_minhash_dedup, "op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op1_source_mix": op1_source_mix,
+        "op2_token_files": op2_token_files,
+        "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_toxicity": op7_toxicity,
+        "op10_best_fit_packing": op10_best_fit_packing,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
