@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrain.llm.common import cut
-from cuegrain.llm.tokens import END_ID, Encoder, tokenizer_path
+from cuegrain.llm.tokens import END_ID, encoder, tokenizer_path
 
 ROOM = 1024
 #: Pieces of a group, about; each group is packed on its own and wastes at most about one sequence more.
@@ -30,12 +30,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 row, number, start, length, crc, held = [], [], [], [], [], []
-                for k, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
+                for k, ids in enumerate(encode.encode(part.column(1).to_pylist())):
                     n = len(ids) // 4
                     cuts = [0, *range(n % room or room, n + 1, room)]
                     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuegrain.llm.common import scratch_path
-from cuegrain.llm.tokens import END_ID, Encoder, tokenizer_path
+from cuegrain.llm.tokens import END_ID, encoder, tokenizer_path
 
 MAGIC, VERSION = b"CGTB", 1
 HEAD = struct.Struct("<4sHHIIQ")
@@ -97,8 +97,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer, end_id)
-        bits = id_bits(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
+        encode = encoder(tokenizer, end_id)
+        bits = id_bits(max(encode.tokenizer.get_vocab_size(), end_id + 1))
         shard, part, held, names, total = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -109,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             id_type = batch.column(0).type
             for at in range(0, batch.num_rows, TEXTS):
                 piece = batch.slice(at, TEXTS)
-                for name, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
+                for name, ids in zip(piece.column(0).to_pylist(), encode.encode(piece.column(1).to_pylist()), strict=True):
                     held.append(ids), names.append(name)
                     total += len(ids) // 4
                     if total >= BLOB_IDS:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cache
+from itertools import filterfalse
 
 #: Id appended to every document.
 END_ID = 2
@@ -65,9 +67,11 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.parts(t or "") for t in texts]
         heads = [p.pop(0) for p in split]
-        first = list({x for x in heads if x not in self.heads})
+        first = list(set(filterfalse(self.heads.__contains__, heads)))
         self.heads |= dict(zip(first, self.alone(first), strict=True))
-        new = set().union(*split).difference(self.known)
+        new: set[str] = set()
+        for parts in split:
+            new.update(filterfalse(self.known.__contains__, parts))
         ids = self.learn(list(new)) if new else {}
         self.known |= ids
         get = self.known.__getitem__
@@ -78,3 +82,9 @@ class Encoder:
         if len(self.heads) > KNOWN_WORDS // 10:
             self.heads.clear()
         return out
+
+
+@cache
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    """The worker process's encoder, which keeps the words it knows from one task to the next."""
+    return Encoder(path, end_id)
