@@ -11,6 +11,8 @@ from itertools import filterfalse
 END_ID = 2
 #: Words whose ids a worker keeps at most; later ones are encoded each time.
 KNOWN_WORDS = 800_000
+#: Characters encoded together, about.
+CHARS = 4_000_000
 #: A lone space between two visible characters always begins a token in the tokenizer's pattern.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
@@ -39,10 +41,9 @@ class Encoder:
         self.heads: dict[str, bytes] = {}  # the first part of a text, without a space before it
         self.known: dict[str, bytes] = {}  # any other part, as if after a space
 
-    def parts(self, text: str) -> list[str]:
-        out = text.split(" ")
-        uneven = "" in out or any(x + " " in text or " " + x in text for x in _SPACES if x in text)
-        return _CUT.split(text) if uneven else out
+    def uneven(self, text: str) -> bool:
+        """Whether some space in text is not between two visible characters."""
+        return "  " in text or text[:1] == " " or text[-1:] == " " or any(x + " " in text or " " + x in text for x in _SPACES if x in text)
 
     def alone(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -65,23 +66,62 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.parts(t or "") for t in texts]
-        heads = [p.pop(0) for p in split]
-        first = list(set(filterfalse(self.heads.__contains__, heads)))
-        self.heads |= dict(zip(first, self.alone(first), strict=True))
-        new: set[str] = set()
-        for parts in split:
-            new.update(filterfalse(self.known.__contains__, parts))
-        ids = self.learn(list(new)) if new else {}
-        self.known |= ids
-        get = self.known.__getitem__
-        out = [b"".join([self.heads[h], *map(get, parts), self.end]) for h, parts in zip(heads, split, strict=True)]
-        if len(self.known) > KNOWN_WORDS:
-            for x in ids:
-                del self.known[x]
+        """Ids of whole texts; about CHARS characters are encoded together."""
+        out: list[bytes] = []
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= CHARS:
+                out += self._together(held)
+                held, size = [], 0
+        return out + self._together(held) if held else out
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = [i for i, t in enumerate(texts) if self.uneven(t)]
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        if odd:  # their parts are put in the place of the plain ones
+            split = split.to_pylist()
+            for i in odd:
+                split[i] = _CUT.split(texts[i])
+            split = pa.array(split, pa.large_list(pa.large_string()))
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        first = ends[:-1]
+        heads = [distinct[k] for k in at[first]]
+        new = list(set(filterfalse(self.heads.__contains__, heads)))
+        self.heads |= dict(zip(new, self.alone(new), strict=True))
+        rest = np.ones(len(at), bool)
+        rest[first] = False
+        used = np.zeros(len(distinct), bool)
+        used[at[rest]] = True
+        known = list(map(self.known.get, distinct))
+        new = [x for x, k, u in zip(distinct, known, used.tolist(), strict=True) if k is None and u]
+        ids = self.learn(new) if new else {}
+        table = [k if k is not None else ids.get(x, b"") for x, k in zip(distinct, known, strict=True)] if new else [k or b"" for k in known]
+        if len(self.known) < KNOWN_WORDS:
+            self.known |= ids
+        # one table of ids for parts, first parts and the end; each text is a row of its places
+        table += [self.heads[h] for h in heads]
+        table.append(self.end)
+        at[first] = len(distinct) + np.arange(len(texts))
+        row = np.insert(at, ends[1:], len(table) - 1)
+        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        begin = (np.cumsum(length) - length)[row]
+        n = length[row]
+        stop = np.cumsum(n)
+        got = flat[np.repeat(begin - (stop - n), n) + np.arange(stop[-1])].tobytes()
+        cuts = (4 * stop[ends[1:] + np.arange(len(texts))]).tolist()
         if len(self.heads) > KNOWN_WORDS // 10:
             self.heads.clear()
-        return out
+        return [got[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @cache
