@@ -24,7 +24,7 @@ PASSES = 3
 #: Weights of the sources by code point of their names, repeating.
 WEIGHTS = (1, 2, 3)
 #: Rows of a lane, about: a source's documents are laid end to end in lanes, so that no task orders a whole source.
-LANE_ROWS = 20_000
+LANE_ROWS = 2_000
 #: Sources that the driver plans for; a mix's recipe is small by nature, and more raise an error.
 MOST_SOURCES = 100_000
 
