@@ -67,5 +67,5 @@ def subtitle_texts(captions: DataFrame, key: str, *ties: str) -> DataFrame:
 
 
 def write_subtitles(texts: DataFrame, key: str, path: str) -> None:
-    """One folder of text files, partitioned by key."""
-    texts.select(key, F.col("content").alias("value")).write.partitionBy(key).text(path, lineSep="")
+    """One folder of text files, partitioned by key; a line end follows each text."""
+    texts.select(key, F.col("content").alias("value")).write.partitionBy(key).text(path)
