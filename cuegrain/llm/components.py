@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         both = links.union(links.select(F.col("high").alias("low"), F.col("low").alias("high")))
         least = both.groupBy(F.col("low").alias("node")).agg(F.min("high").alias("m")).select("node", F.least("m", "node").alias("m"))
         # large star: the larger neighbours of a node go to the smallest of its neighbourhood
-        large = both.where("high > low").join(least, F.col("low") == F.col("node")).select(F.col("m").alias("low"), "high").where("low < high").distinct()
+        large = both.where("high > low").join(least, F.col("low") == F.col("node")).select(F.col("m").alias("low"), "high").where("low < high")
         # small star: the smaller neighbours of a node, and the node itself, go to the smallest of them
         small = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("m"))
         moved = large.join(small, F.col("high") == F.col("node")).select("m", F.col("low").alias("other")).where("m < other")

@@ -31,8 +31,9 @@ BANDS, ROWS = 52, 5
 VERIFY, BATCH = 128, 16
 #: Probability that a pair at or above the threshold is dropped at one batch.
 MISS = 1e-7
-#: Rounds in which a bucket's members are compared with one of them before the rest meets in pairs.
-HUB_ROUNDS = 3
+#: Rounds in which a bucket's members are compared with one of them before the rest meets in pairs or blocks.
+#: One joins groups of true copies; more help little where texts are only alike, and each costs some dozens of stages.
+HUB_ROUNDS = 1
 #: Buckets with more rows than this after those rounds are compared in blocks, not in pairs.
 DENSE = 32
 #: Rows, and shingles, of a block at most (on average: rows are dealt to blocks by hash).
