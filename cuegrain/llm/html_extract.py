@@ -34,6 +34,9 @@ CONTAINERS = frozenset("article main section div td body blockquote".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: A class that says what a wrapper has or lacks, such as with-sidebar, says nothing against it.
+_LAYOUT = re.compile(r"^(?:has|with|no|without|show|hide|is|js)[-_]", re.I)
 
 
 class _Element:
@@ -51,7 +54,7 @@ def _names(tag: str, attributes: str) -> tuple[str, bool]:
         if name == "class":
             classes = value
         if name in ("class", "id", "role"):
-            unwanted |= bool(UNWANTED.search(value))
+            unwanted |= any(UNWANTED.search(_HUMP.sub("-", x)) for x in value.split() if not _LAYOUT.match(x))
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             unwanted = True
         elif name == "style":
@@ -130,7 +133,7 @@ def read_blocks(html: str | None) -> list[tuple[list[str], list[int], str, int]]
         within = bool(stack) and stack[-1].dropped
         # a page's header is dropped; one inside an article introduces it
         header = tag == "header" and not any(e.tag in ("article", "main") for e in stack)
-        dropped = within or tag in DROPPED or header or (unwanted and tag not in ("html", "body"))
+        dropped = within or tag in DROPPED or header or (unwanted and tag not in ("html", "body", "main"))
         number += 1
         path = f"{stack[-1].path}/{step}" if stack else step
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
