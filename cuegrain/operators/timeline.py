@@ -137,14 +137,15 @@ def flatten_captions(layers: DataFrame, roots: DataFrame, deepest: int = DEEPEST
     return both.select("root_id", "depth", "layer_id", "text", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"))
 
 
-def sync_style(captions: DataFrame, style: DataFrame, timelines: DataFrame) -> DataFrame:
-    """captions with one style applied to all: null, zero and empty values keep the old, positions scale with the timeline.
+def sync_style(captions: DataFrame, style: dict, timelines: DataFrame) -> DataFrame:
+    """captions with one style applied to all: absent, zero and empty values keep the old, positions scale with the timeline.
 
-    captions: comp_id, layer_id, font, size, fill, position_x, position_y. style is one row of the same
-    names and source_width, source_height.
+    captions: comp_id, layer_id, font, size, fill, position_x, position_y. style holds values of the same
+    names, and the source_width and source_height of the timeline that they were taken from.
     """
-    s = style.limit(1).select(*[F.col(c).alias(f"s_{c}") for c in style.columns])
-    both = captions.join(timelines.select("comp_id", "width", "height"), "comp_id").crossJoin(F.broadcast(s))  # one row
+    both = captions.join(timelines.select("comp_id", "width", "height"), "comp_id")
+    kinds = dict(captions.dtypes) | {"source_width": "int", "source_height": "int"}
+    both = both.withColumns({f"s_{k}": F.lit(style.get(k)).cast(kinds[k]) for k in ("font", "size", "fill", "position_x", "position_y", "source_width", "source_height")})
     scale_x = F.col("width") / F.when(F.col("s_source_width") > 0, F.col("s_source_width"))
     scale_y = F.col("height") / F.when(F.col("s_source_height") > 0, F.col("s_source_height"))
     new = {

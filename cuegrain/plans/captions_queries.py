@@ -123,7 +123,16 @@ def _(spark, sf):
     return got.select("recording_id", "caption_no", "text", *r6("start", "end"), F.array_join("lines", "|").alias("lines"))
 
 
-@query("wrap_lines")
+WRAP = """WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations),
+ wr AS (SELECT conv_id, turn, ws, 0 AS i, '' AS line, CAST([] AS VARCHAR[]) AS done FROM t
+ UNION ALL SELECT conv_id, turn, ws, i + 1,
+    CASE WHEN len(done) < 2 AND line <> '' AND length(line || ' ' || ws[i + 1]) > 42 THEN ws[i + 1] WHEN line = '' THEN ws[i + 1] ELSE line || ' ' || ws[i + 1] END,
+    CASE WHEN len(done) < 2 AND line <> '' AND length(line || ' ' || ws[i + 1]) > 42 THEN list_append(done, line) ELSE done END
+    FROM wr WHERE i < len(ws))
+"""
+
+
+@query("wrap_lines", WRAP + "SELECT conv_id, turn, array_to_string(list_append(done, line), '|') AS lines FROM wr WHERE i = len(ws)")
 def _(spark, sf):
     turns = d.table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", F.array_join(G.wrap_lines(F.col("text"), 42, 3), "|").alias("lines"))

@@ -145,7 +145,7 @@ STYLED = LAY + ", st AS (SELECT comp_id, layer_id, 'font' || layer_id % 3 AS fon
 
 def _styled(spark, sf) -> DataFrame:
     captions = d.layers(spark, sf).where("tag = 'caption'").selectExpr("comp_id", "layer_id", "concat('font', layer_id % 3) AS font", "CAST(layer_id % 40 AS DOUBLE) AS size", "CASE WHEN layer_id % 2 = 0 THEN array(1.0D, 0.0D) END AS fill", "10.0D AS position_x", "CAST(layer_id % 100 AS DOUBLE) AS position_y")
-    style = spark.sql("SELECT '' AS font, 48.0D AS size, CAST(NULL AS array<double>) AS fill, 960.0D AS position_x, CAST(NULL AS DOUBLE) AS position_y, 1920 AS source_width, 1080 AS source_height")
+    style = {"font": "", "size": 48.0, "position_x": 960.0, "source_width": 1920, "source_height": 1080}
     return L.sync_style(captions, style, d.timelines(spark, sf))
 
 
@@ -312,7 +312,7 @@ def _(spark, sf):
     return d.table(spark, sf, "part").select("p_partkey", S.preset_slug(F.col("p_name")).alias("slug"))
 
 
-@query("preset_id")
+@query("preset_id", "SELECT p_partkey, substring(regexp_replace(regexp_replace(lower(substring(trim(p_name), 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 32) || '-' || lower(to_base(p_partkey * 1000003, 36)) AS id FROM part")
 def _(spark, sf):
     return d.table(spark, sf, "part").select("p_partkey", S.preset_id(F.col("p_name"), F.col("p_partkey") * 1000003).alias("id"))
 

@@ -125,7 +125,21 @@ def _(spark, sf):
     return words.words_in_overlaps(d.words(spark, sf), words.overlap_windows(_chunks(spark, sf))).select("recording_id", "idx", "text")
 
 
-@query("boundary_repeats")
+REPEATS = CHUNKED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+hw AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start, "end", chunk_id, idx) - 1 AS idx, text, start, "end" FROM heard),
+hm AS (SELECT *, lower(trim(text)) AS plain, EXISTS (SELECT 1 FROM shared_parts o WHERE o.recording_id = hw.recording_id AND hw.start BETWEEN o.overlap_start AND o.overlap_end) AS inside FROM hw),
+ho AS (SELECT *, inside AND coalesce(plain = lag(plain) OVER (PARTITION BY recording_id ORDER BY idx), false) AS goes_on FROM hm),
+fold AS (SELECT recording_id, idx, [idx] AS kept, start AS ks, "end" AS ke FROM ho WHERE idx = 0
+ UNION ALL SELECT h.recording_id, h.idx,
+    CASE WHEN NOT goes_on OR h.start > ke + 1e-6 THEN list_append(kept, h.idx) WHEN h."end" - h.start > ke - ks THEN list_append(kept[:-2], h.idx) ELSE kept END,
+    CASE WHEN NOT goes_on OR h.start > ke + 1e-6 OR h."end" - h.start > ke - ks THEN h.start ELSE ks END,
+    CASE WHEN NOT goes_on OR h.start > ke + 1e-6 OR h."end" - h.start > ke - ks THEN h."end" ELSE ke END
+    FROM fold f JOIN ho h ON h.recording_id = f.recording_id AND h.idx = f.idx + 1),
+stay AS (SELECT recording_id, unnest(arg_max(kept, idx)) AS idx FROM fold GROUP BY 1)
+"""
+
+
+@query("boundary_repeats", REPEATS + 'SELECT recording_id, idx, text, round(start, 6) AS start, round("end", 6) AS "end" FROM ho JOIN stay USING (recording_id, idx)')
 def _(spark, sf):
     heard = words.order_words(_heard(spark, sf), "chunk_id", "idx").drop("chunk_id")
     return words.drop_boundary_repeats(heard, words.overlap_windows(_chunks(spark, sf))).select("recording_id", "idx", "text", *r6("start", "end"))
