@@ -11,7 +11,7 @@ from cuegrain.llm import packing as P
 from cuegrain.llm import token_files as T
 from cuegrain.llm import tokens as K
 
-TEXTS = ["", None, " ", "a  b", " a", "a ", "\n\nx \n y", "don't 's  's", "<|endoftext|> hi <|endoftext|>", "é ñ 日本 語 　 z", "a\x1c b", "… ​ x", "😀 😀b 1a 2", "a\tb c\td", "word " * 5000, "x" * 20_000, "same", "same"]
+TEXTS = ["", None, " ", "a  b", " a", "a ", "\n\nx \n y", "don't 's  's", "<|endoftext|> hi <|endoftext|>", "é ñ 日本 語 　 z", "a\x1c b", "… ​ x", "😀 😀b 1a 2", "a\tb c\td", "x end. end, end end!' a<|endoftext|>. <|endoftext|>'s 12, é! €. a€. it's. 's' -- b-", "word " * 5000, "x" * 20_000, "same", "same"]
 
 
 @pytest.fixture(scope="module")
