@@ -30,7 +30,8 @@ UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|header|masthead|topbar|footer|bottom|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|form|search|comment|comments|commentlist|reply|replies|respond|disqus|discussion|feedback|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|complementary|contentinfo|hidden)(?:$|[\s_-]|\d)",
     re.I,
 )
-CONTAINERS = frozenset("article main section div td body blockquote".split())
+#: What may hold an article; "page" is the page itself, around all of its elements.
+CONTAINERS = frozenset("article main section div td body blockquote page".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -82,7 +83,7 @@ def read_blocks(html: str | None) -> list[tuple[list[str], list[int], str, int]]
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                out.append(([e.path for e in stack], [e.start for e in stack], text, min(linked, len(text))))
+                out.append((["page", *(e.path for e in stack)], [0, *(e.start for e in stack)], text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 

@@ -77,10 +77,10 @@ def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     for step in range(1, AHEAD + 1):
         a, b = p[:-step], p[step:]
         for g in range(len(GROUPS)):
-            ok = (a[:, g] >= 0) & (b[:, (g + step) % len(GROUPS)] >= 0)
-            t = np.flatnonzero(ok)
-            times.append(t)
-            codes.append((a[t, g] << 10) | (b[t, (g + step) % len(GROUPS)] << 2) | step)
+            for h in (g, (g + step) % len(GROUPS)):  # the same group later, and another in turn
+                t = np.flatnonzero((a[:, g] >= 0) & (b[:, h] >= 0))
+                times.append(t)
+                codes.append((a[t, g] << 10) | (b[t, h] << 2) | step)
     time, code = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((code, time))
     return time[order].astype(np.int32), code[order].astype(np.int32)

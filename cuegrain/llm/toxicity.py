@@ -31,6 +31,8 @@ BATCH = 64
 LEAST_TEXTS = 3
 #: N-grams without a vector that every mean includes, so that a few words decide little.
 PADDING = 300
+#: Log odds of a text without evidence: fixed, so that a text is toxic for what it says and not for what it lacks.
+NO_EVIDENCE = -2.0
 #: What means are multiplied by, so that a few words among hundreds count.
 SCALE = 200.0
 #: Training rows of each class at most, taken in the order of a hash of their id: the bound of the sample.
@@ -89,8 +91,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     place[used] = np.arange(len(used))
     bags = [(place[b][place[b] >= 0], s[place[b] >= 0] * np.float32(SCALE)) for b, s in bags]
     vectors = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
-    weights, bias = rng.normal(0, DIM**-0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
-    move_v, move_w, move_b = np.zeros_like(vectors), np.zeros_like(weights), np.zeros_like(bias)
+    weights, bias = rng.normal(0, DIM**-0.5, (DIM, 2)).astype(np.float32), np.array([0, NO_EVIDENCE if len(bags) else 0], np.float32)
+    move_v, move_w = np.zeros_like(vectors), np.zeros_like(weights)
     one_hot = np.eye(2, dtype=np.float32)[labels]
     for epoch in range(EPOCHS if len(bags) else 0):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -109,10 +111,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             grad = np.stack([np.bincount(idx, back[:, k], len(used)) for k in range(DIM)], axis=1).astype(np.float32)
             move_v = MOMENTUM * move_v + grad + DECAY * vectors
             move_w = MOMENTUM * move_w + mean.T @ error + DECAY * weights
-            move_b = MOMENTUM * move_b + error.sum(axis=0)
             vectors -= rate * move_v
             weights -= 0.1 * rate * move_w
-            bias -= 0.1 * rate * move_b
     full = np.zeros((BUCKETS, DIM), np.float32)
     full[used] = vectors
     return Model(full, weights * np.float32(SCALE), bias)
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) per row of docs.
 
-    A null or empty text gets the score of the bias alone. A null id is not held out. Without usable
+    A null or empty text has no evidence and a score below 0.5. A null id is not held out. Without usable
     labels every score is 0.5. Repeated rows score alike; other columns are not read.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
