@@ -93,7 +93,7 @@ def parse_timecode(text: Column, current: Column, rate: Column, frame_duration:
 
 
 def format_duration(seconds: Column) -> Column:
-    return F.format_string("%.2fs", F.greatest(seconds, F.lit(0.0)))
+    return F.format_string("%.2fs", F.greatest(seconds, F.lit(0.0)) + 0.0)  # not -0.00
 
 
 def clean_text(text: Column) -> Column:
