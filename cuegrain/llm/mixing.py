@@ -155,7 +155,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     last = F.least("size", (F.col("block") + 1) * b - F.col("begin"))
     spans = spread.select("s", "block", "row", first.alias("first"), (last - first).alias("words"))
     slots = _slots(spark, plan, shard_slots, block, seed)
-    taken = slots.join(spans, ["s", "block"]).select("shard", "slot", "pass", "row", "first", "words")
+    # Spark takes slots for as small as the runs that they are numbered from, and would broadcast them
+    taken = slots.join(spans.hint("merge"), ["s", "block"]).select("shard", "slot", "pass", "row", "first", "words")
     return rows.select("row", "id", "size", "source_size", "target"), taken
 
 
