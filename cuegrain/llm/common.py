@@ -1,43 +1,18 @@
-"""What the text operators share: the shared scratch folder, cut points and row numbers."""
+"""What the text operators share: texts, row numbers and bounded broadcasts; scratch files are for all operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuegrain.functions.scratch import cut, scratch_path, shared_folder  # noqa: F401
+
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 MASK64 = (1 << 64) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where the session names none."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/cuegrain/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    Later steps then start from files every executor sees, so a lost executor costs a reread and not
-    a recomputation. The folder is scratch space and may be cleared when the session ends.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cuegrain.functions.scalars import clean_text, round_half_up
+from cuegrain.functions.scratch import cut, scratch_path
 
 CAPTION_TAG, LEGACY_PREFIX, CONTROLLER_TAG = "caption", "caption:", "controller"
 #: Nested timelines are followed so deep when a caption is located.
@@ -115,26 +117,49 @@ def rebuild_captions(new: DataFrame, existing: DataFrame, ranges: DataFrame) ->
     return out, report.select("comp_id", F.when(F.col("error").isNull(), F.coalesce("n_new", zero)).otherwise(zero).alias("added"), (F.coalesce("n_before", zero) - F.coalesce("n_kept", zero)).alias("replaced"), "error")
 
 
-def nested_offsets(layers: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(root_id, comp_id, depth, offset): every timeline under every other, through caption-tagged holder layers.
+def nested_offsets(layers: DataFrame, deepest: int | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(root_id, comp_id, depth, offset, error): every timeline under every other, through caption-tagged holder layers.
 
-    Levels are followed one join at a time and as often as a holder leads on, at most `deepest` times.
+    Each level is one join, written once, and levels follow until one has no rows; to locate a timeline,
+    deepest is DEEPEST. A timeline met again inside itself is a row with an error and is not followed.
+    roots: root_id, all timelines if not given.
     """
+    spark = layers.sparkSession
     holders = layers.where(is_caption_layer(F.col("tag"), F.col("name")) & F.col("source_comp_id").isNotNull()).select(F.col("comp_id").alias("from_id"), "source_comp_id", "start_time")
-    level = layers.select(F.col("comp_id").alias("root_id"), "comp_id").distinct().select("root_id", "comp_id", F.lit(0).alias("depth"), F.lit(0.0).alias("offset"))
-    out = level
-    for depth in range(1, deepest + 1):
-        level = level.join(holders, F.col("comp_id") == F.col("from_id")).select("root_id", F.col("source_comp_id").alias("comp_id"), F.lit(depth).alias("depth"), (F.col("offset") + F.col("start_time")).alias("offset"))
-        out = out.unionByName(level)
-    return out
-
-
-def flatten_captions(layers: DataFrame, roots: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(root_id, depth, layer_id, text, start, end): captions of nested timelines on the outer timeline's time. roots: root_id."""
-    under = nested_offsets(layers, deepest).join(roots, "root_id", "left_semi")
+    holders = cut(holders, "holders")
+    start = layers.select(F.col("comp_id").alias("root_id"), "comp_id").distinct()
+    start = start if roots is None else start.join(roots.select("root_id"), "root_id", "left_semi")
+    level = start.select("root_id", "comp_id", F.lit(0.0).alias("offset"), F.array("comp_id").alias("path"), F.lit(None).cast("string").alias("error"))
+    folder, depth, schema = scratch_path(spark, "nested"), 0, level.schema
+    while True:
+        level.write.parquet(f"{folder}/depth={depth}")
+        level = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
+        if depth == deepest or level.isEmpty():
+            break
+        depth += 1
+        again = F.array_contains("path", F.col("source_comp_id"))
+        level = level.where("error IS NULL").join(holders, F.col("comp_id") == F.col("from_id")).select(
+            "root_id",
+            F.col("source_comp_id").cast(schema["comp_id"].dataType).alias("comp_id"),
+            (F.col("offset") + F.col("start_time")).alias("offset"),
+            F.concat("path", F.array(F.col("source_comp_id").cast(schema["comp_id"].dataType))).alias("path"),
+            F.when(again, "timeline inside itself").alias("error"),
+        )
+    kinds = StructType([*schema.fields, StructField("depth", IntegerType())])
+    return spark.read.schema(kinds).parquet(folder).select("root_id", "comp_id", "depth", "offset", "error")
+
+
+def flatten_captions(layers: DataFrame, roots: DataFrame, deepest: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(captions, errors): captions of nested timelines, of any depth, on the outer timeline's time. roots: root_id.
+
+    captions: root_id, depth, layer_id, text, start, end. errors: root_id, comp_id, depth, error, a row where
+    a timeline holds itself; its captions are there once for each way that leads to it without a repeat.
+    """
+    under = nested_offsets(layers, deepest, roots)
     captions = caption_layers(layers).where("source_comp_id IS NULL").select("comp_id", "layer_id", "text", "start", "end")
-    both = under.join(captions, "comp_id")
-    return both.select("root_id", "depth", "layer_id", "text", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"))
+    both = under.where("error IS NULL").join(captions, "comp_id")
+    errors = under.where("error IS NOT NULL").select("root_id", "comp_id", "depth", "error")
+    return both.select("root_id", "depth", "layer_id", "text", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end")), errors
 
 
 def sync_style(captions: DataFrame, style: dict, timelines: DataFrame) -> DataFrame:

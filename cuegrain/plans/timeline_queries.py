@@ -137,7 +137,22 @@ def _nested(spark, sf) -> DataFrame:
 def _(spark, sf):
     layers = _nested(spark, sf)
     roots = layers.select(F.col("comp_id").alias("root_id")).distinct()
-    return L.flatten_captions(layers, roots).select("root_id", "depth", "layer_id", "text", *r6("start", "end"))
+    return L.flatten_captions(layers, roots, L.DEEPEST)[0].select("root_id", "depth", "layer_id", "text", *r6("start", "end"))
+
+
+#: The same with an end to each chain: a customer whose number is a multiple of 20 holds no other timeline, and no level is cut.
+WHOLE_NESTED = """WITH RECURSIVE cl AS (SELECT o_custkey AS comp_id, o_orderkey AS layer_id, 'order ' || o_orderkey AS text, CAST(o_orderkey % 9000 AS DOUBLE) / 1000.0::DOUBLE AS start, CAST(o_orderkey % 9000 + 400 AS DOUBLE) / 1000.0::DOUBLE AS "end",
+    CAST(o_custkey % 50 AS DOUBLE) / 4.0::DOUBLE AS start_time, CASE WHEN o_custkey % 20 <> 0 AND o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN o_custkey + 1 END AS source_comp_id FROM orders),
+ hd AS (SELECT comp_id AS from_id, source_comp_id, start_time FROM cl WHERE source_comp_id IS NOT NULL),
+ tree AS (SELECT DISTINCT comp_id AS root_id, comp_id, 0 AS depth, 0.0::DOUBLE AS "offset" FROM cl UNION ALL SELECT root_id, source_comp_id, depth + 1, "offset" + start_time FROM tree JOIN hd ON from_id = comp_id)
+"""
+
+
+@query("flatten_whole_hierarchy", WHOLE_NESTED + 'SELECT root_id, depth, layer_id, text, round(l.start + "offset", 6) AS start, round(l."end" + "offset", 6) AS "end" FROM tree JOIN cl l ON l.comp_id = tree.comp_id WHERE source_comp_id IS NULL')
+def _(spark, sf):
+    layers = _nested(spark, sf).withColumn("source_comp_id", F.when(F.col("comp_id") % 20 != 0, F.col("source_comp_id")))
+    roots = layers.select(F.col("comp_id").alias("root_id")).distinct()
+    return L.flatten_captions(layers, roots)[0].select("root_id", "depth", "layer_id", "text", *r6("start", "end"))
 
 
 STYLED = LAY + ", st AS (SELECT comp_id, layer_id, 'font' || layer_id % 3 AS font, CAST(layer_id % 40 AS DOUBLE) AS size, CASE WHEN layer_id % 2 = 0 THEN [1.0::DOUBLE, 0.0::DOUBLE] END AS fill, 10.0::DOUBLE AS position_x, CAST(layer_id % 100 AS DOUBLE) AS position_y FROM layers WHERE tag = 'caption')"

@@ -156,6 +156,32 @@ def test_rebuild_refuses_unusable_ranges(spark):
     assert {(r.comp_id, r.added, r.replaced, r.error) for r in report.collect()} == {(1, 1, 1, None), (2, 0, 0, "unusable range")}
 
 
+def nest(spark, edges):
+    """A caption in each timeline, and a holder a second in for each edge."""
+    comps = sorted({x for e in edges for x in e})
+    rows = [(c, c, "caption", f"t{c}", 0.0, 1.0, 0.0, None) for c in comps] + [(a, 1000 + i, "caption", None, 0.0, 9.0, 1.0, b) for i, (a, b) in enumerate(edges)]
+    layers = spark.createDataFrame(rows, "comp_id long, layer_id long, tag string, text string, start double, end double, start_time double, source_comp_id long").withColumn("name", F.lit("x"))
+    return layers, spark.createDataFrame([(comps[0],)], "root_id long")
+
+
+def test_captions_of_any_depth_are_flattened(spark):
+    captions, errors = timeline.flatten_captions(*nest(spark, [(i, i + 1) for i in range(1, 13)]))
+    assert sorted((r.depth, r.text, r.start) for r in captions.collect()) == [(i, f"t{i + 1}", float(i)) for i in range(13)]
+    assert errors.count() == 0
+
+
+def test_timelines_inside_themselves_are_errors(spark):
+    captions, errors = timeline.flatten_captions(*nest(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 3), (4, 4)]))
+    # ways without a repeat: 1, 12, 13, 124, 134, 1245, 1345, 12453
+    assert sorted(r.text for r in captions.collect()) == ["t1", "t2", "t3", "t3", "t4", "t4", "t5", "t5"]
+    assert sorted((r.root_id, r.comp_id, r.depth) for r in errors.collect()) == [(1, 3, 4), (1, 4, 3), (1, 4, 3), (1, 4, 5)]
+
+
+def test_locating_stops_at_its_depth(spark):
+    layers, roots = nest(spark, [(i, i + 1) for i in range(1, 13)])
+    assert timeline.nested_offsets(layers, timeline.DEEPEST, roots).agg(F.max("depth")).first()[0] == timeline.DEEPEST == 8
+
+
 def test_settings():
     assert recognise.Settings.from_text({"align": " Off ", "lag_seconds": "0.2"}) == recognise.Settings(lag_seconds=0.2, align=False)
 
