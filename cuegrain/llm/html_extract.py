@@ -32,6 +32,8 @@ UNWANTED = re.compile(
 )
 #: What may hold an article; "page" is the page itself, around all of its elements.
 CONTAINERS = frozenset("article main section div td body blockquote page".split())
+#: What text of an article stands in.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt td th figcaption".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -180,6 +182,43 @@ def text_on(blocks: list[tuple[list[str], list[int], str, int]], path: str | Non
     return "\n\n".join(found) if found else None
 
 
+def lift(blocks: list[tuple[list[str], list[int], str, int]], path: str | None) -> str | None:
+    """The path of the whole article that the page's container is a part of.
+
+    That is the outermost article around it, else the outermost main. Without these, it is the outermost
+    container up to which no step adds more linked than unlinked text. The body, or the page, counts only
+    if all that it adds stands in headings, paragraphs and the like outside other divs and sections:
+    a div next to the article's on the page is no part of it.
+    """
+    paths = next((b[0] for b in blocks if path in b[0]), None)
+    if paths is None:
+        return path
+    around = paths[: paths.index(path) + 1]
+    tags = _tags(paths)
+    for tag in ("article", "main"):
+        if tag in tags[: len(around)]:
+            return around[tags.index(tag)]
+    for at in range(len(around) - 2, -1, -1):
+        if tags[at] not in CONTAINERS:
+            continue
+        added = [b for b in blocks if around[at] in b[0] and path not in b[0]]
+        own = [b for b in added if 2 * b[3] < len(b[2])]
+        if 2 * sum(len(b[2]) for b in own) < sum(len(b[2]) for b in added):
+            break
+        if tags[at] in ("body", "page"):
+            within = [set(_tags(b[0])[at + 1 :]) for b in own]
+            if any(w & {"div", "section"} or not w & TEXTUAL for w in within):
+                break
+        path = around[at]
+    return path
+
+
+def _tags(paths: list[str]) -> list[str]:
+    """The tag of each path's last step; a class may hold slashes, so a step is what its path adds."""
+    starts = [0, 0, *(len(p) + 1 for p in paths[1:-1])]
+    return [p[at:].partition(".")[0] for p, at in zip(paths, starts)]
+
+
 def host_votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path): the path with the highest sum of scores on each host."""
 
@@ -211,8 +250,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         out = []
         for page, winner in zip(html, path, strict=True):
             blocks = read_blocks(page)
-            text = text_on(blocks, winner)
-            out.append(text if text is not None else text_on(blocks, best_path(blocks)[0]) or "")
+            text = text_on(blocks, lift(blocks, winner))
+            out.append(text if text is not None else text_on(blocks, lift(blocks, best_path(blocks)[0])) or "")
         return pd.Series(out, dtype=object)
 
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))

@@ -153,6 +153,23 @@ def test_odd_pages(spark, html, text):
     assert H.extract_text(df).first().text == text
 
 
+@pytest.mark.parametrize(
+    "html,parts",
+    [
+        ("<body><nav>menu</nav><article><h1>Title</h1><div class=intro>{0}</div><div class=body>{1}</div></article><div>extra</div></body>", ["Title", 0, 1]),
+        ("<body><main><section class=a><h2>One</h2><p>{0}</p></section><section class=b><h2>Two</h2><p>{1}</p></section></main></body>", ["One", 0, "Two", 1]),
+        ("<body><article><h1>Title</h1><p>{0}</p><blockquote>{1}</blockquote><p>after</p></article></body>", ["Title", 0, 1, "after"]),
+        ("<body><div class='w-1/2'><h1>Title</h1><div class=intro>{0}</div><table><tr><td>{1}</td></tr></table></div><div class=more>extra</div></body>", ["Title", 0, 1]),
+        ("<body><h1>Title</h1><p>{0}</p><blockquote>{1}</blockquote></body>", ["Title", 0, 1]),
+        ("<body><div class=out><div class=list><a href='/x'>{0}</a></div><div class=body>{1}</div></div></body>", [1]),
+    ],
+)
+def test_whole_article_is_kept(spark, html, parts):
+    texts = ("short words of an intro. " * 4).strip(), ("long words of the body. " * 24).strip()
+    df = spark.createDataFrame([(1, "http://h/", html.format(*texts))], "page_id long, url string, html string")
+    assert H.extract_text(df).first().text == "\n\n".join(texts[p] if isinstance(p, int) else p for p in parts)
+
+
 def test_hosts_agree_on_a_path(spark):
     page = "<body><div class='story'><p>{}</p></div><div class='extra'><p>{}</p></div></body>"
     rows = [(i, f"http://h.org/{i}", page.format("the story of the day goes on for long " * 3, "more")) for i in range(5)]
