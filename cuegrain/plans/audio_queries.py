@@ -46,31 +46,41 @@ def _(spark, sf):
     return align.align_to_audio(d.words(spark, sf), energy(spark, sf)).select("recording_id", "idx", "text", *r6("start", "end"))
 
 
-def _wav_files(spark, sf) -> DataFrame:
-    """A 16-bit WAV of each recording's sample blocks; recording 3's is cut to its header and 7's is none."""
+#: Block numbers that one WAV file covers, so that files and rows stay small however long a recording is.
+BLOCKS_PER_FILE = 4096
+
+
+def _wav_files(spark, sf, blocks: int = BLOCKS_PER_FILE) -> DataFrame:
+    """16-bit WAVs of each recording's sample blocks, recording/part; recording 3's are cut to the header and 7's are none."""
 
     def build(batches):
         for batch in batches:
             rows = []
-            for label, blocks in zip(batch["recording_id"], batch["blocks"], strict=True):
-                x = (np.clip(np.concatenate([np.asarray(b["samples"], np.float64) for b in blocks]), -0.999, 0.999) * 32768).astype("<i2").tobytes()
+            for label, part, found in zip(batch["recording_id"], batch["part"], batch["blocks"], strict=True):
+                x = (np.clip(np.concatenate([np.asarray(b["samples"], np.float64) for b in found]), -0.999, 0.999) * 32768).astype("<i2").tobytes()
                 head = b"RIFF" + struct.pack("<I", 36 + len(x)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16)
                 data = head + b"data" + struct.pack("<I", len(x)) + x
-                rows.append((str(label), data[:30] if label == 3 else b"OggS" + data if label == 7 else data))
+                rows.append((f"{label}/{part}", data[:30] if label == 3 else b"OggS" + data if label == 7 else data))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    grouped = d.pcm_blocks(spark, sf).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "samples"))).alias("blocks"))
+    part = F.floor(F.col("block_no") / blocks).alias("part")
+    grouped = d.pcm_blocks(spark, sf).groupBy("recording_id", part).agg(F.array_sort(F.collect_list(F.struct("block_no", "samples"))).alias("blocks"))
     return grouped.mapInPandas(build, "path string, content binary")
 
 
+def _decoded(spark, sf, blocks: int = BLOCKS_PER_FILE) -> DataFrame:
+    """The decoded files under the names of their recordings."""
+    return pcm.decode_audio(_wav_files(spark, sf, blocks), 1000).withColumn("recording", F.substring_index("recording", "/", 1))
+
+
 @query("ingest_pcm", f"""WITH {d.PCM} SELECT CAST(recording_id AS VARCHAR) AS recording, 'WAV' AS container, 16000 AS rate, 1 AS channels, 16 AS bits, CAST(sum(len(samples)) AS BIGINT) AS samples, round(sum(len(samples)) / 16000.0::DOUBLE, 6) AS duration FROM pcm_blocks WHERE recording_id NOT IN (3, 7) GROUP BY 1""")
 def _(spark, sf):
-    return pcm.recordings(pcm.decode_audio(_wav_files(spark, sf), 1000)).select("recording", "container", "rate", "channels", "bits", "samples", *r6("duration"))
+    return pcm.recordings(_decoded(spark, sf)).select("recording", "container", "rate", "channels", "bits", "samples", *r6("duration"))
 
 
 @query("ingest_errors", "SELECT CAST(label AS VARCHAR) AS recording, CASE WHEN label = 3 THEN 'no format or no samples' ELSE 'neither WAV nor AIFF' END AS error FROM embeddings WHERE label IN (3, 7) GROUP BY label")
 def _(spark, sf):
-    return pcm.decode_audio(_wav_files(spark, sf)).where("error IS NOT NULL").select("recording", "error")
+    return _decoded(spark, sf).where("error IS NOT NULL").select("recording", "error").distinct()
 
 
 @query("recogniser_hook", f"""WITH {d.TURN_SPANS}, parts AS (SELECT recording_id, span_id, start, "end", unnest(range(0, CAST(greatest(0, ceil(("end" - start - 20.0::DOUBLE) / 18.0::DOUBLE)) AS BIGINT) + 1)) AS part FROM turn_spans WHERE "end" > start),

@@ -156,6 +156,17 @@ def test_rebuild_refuses_unusable_ranges(spark):
     assert {(r.comp_id, r.added, r.replaced, r.error) for r in report.collect()} == {(1, 1, 1, None), (2, 0, 0, "unusable range")}
 
 
+def test_long_recordings_are_files_of_bounded_size(spark):
+    from cuegrain.plans import audio_queries as A
+
+    sf = "/root/testdata/sf0.001"
+    blocks = spark.read.parquet(f"{sf}/embeddings.parquet").agg(F.countDistinct("label", F.floor(F.col("vec_id") / 16)), F.max(F.size("embedding"))).first()
+    sizes = [r[0] for r in A._wav_files(spark, sf, 16).select(F.length("content")).collect()]
+    assert len(sizes) == blocks[0] > 10 and max(sizes) <= 48 + 16 * 2 * blocks[1]
+    few, one = (pcm.recordings(A._decoded(spark, sf, n)) for n in (16, 1 << 40))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, one.collect()))
+
+
 def nest(spark, edges):
     """A caption in each timeline, and a holder a second in for each edge."""
     comps = sorted({x for e in edges for x in e})
