@@ -35,7 +35,7 @@ PADDING = 300
 NO_EVIDENCE = -2.0
 #: What means are multiplied by, so that a few words among hundreds count.
 SCALE = 200.0
-#: Training rows of each class at most, taken in the order of a hash of their id: the bound of the sample.
+#: Training rows of each class at most, after ids and texts met, in the order of a hash of their id: the bound of the sample.
 ROWS_PER_CLASS = 1500
 #: Words whose sums a worker keeps at most; later ones are summed each time.
 KNOWN_WORDS = 400_000
@@ -130,15 +130,16 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", per_class: int = ROWS_PER_CLASS) -> DataFrame:
-    """(text, label): labelled rows outside the held-out fold, the first per_class of each label by a hash of the id.
+    """(id, text, label): distinct labelled texts of ids outside the held-out fold, the first per_class of each label by a hash of the id.
 
-    Held out are ids with crc32(id as text) mod 5 = 0. Null ids, and labels other than 0 and 1, are not used.
+    Copies of a row count once, and texts of one id a row each, so no id takes more than the sample. Held out are ids with crc32(id as text) mod 5 = 0. Null ids, and labels other than 0 and 1, are not used.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND pmod(crc32(cast(id AS string)), 5) <> 0").distinct()
-    ranked = chosen.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")))
-    few = ranked.where(F.col("n") <= per_class).select("id", "label")  # at most 2 * per_class rows
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return texts.join(F.broadcast(few), "id").select("id", "text", "label")
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    keys = texts.select("id", "hash").distinct().join(chosen, "id")
+    ranked = keys.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "hash")))
+    few = ranked.where(F.col("n") <= per_class).select("id", "hash", "label")  # at most 2 * per_class rows
+    return texts.join(F.broadcast(few), ["id", "hash"]).dropDuplicates(["id", "hash", "label"]).select("id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:

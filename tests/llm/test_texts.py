@@ -223,6 +223,17 @@ def test_toxicity_does_not_see_the_held_out_fold(spark, judged):
     pd.testing.assert_frame_equal(got.sort_values("id", ignore_index=True), again.sort_values("id", ignore_index=True))
 
 
+def test_repeated_ids_stay_within_the_sample(spark):
+    kept = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}") for i in kept] + [(kept[k], f"other {k} {j % 30}") for k in range(20) for j in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")  # most without a document
+    few = Y.training_rows(docs, labels, per_class=12).toPandas()
+    assert few.groupby("label").size().to_dict() == {0: 12, 1: 12} and len(few.drop_duplicates()) == 24
+    whole = Y.training_rows(docs, labels, per_class=10_000).toPandas()
+    assert len(whole) == len(set(rows)) and set(zip(whole["id"], whole["text"], strict=True)) == set(rows)
+
+
 def test_toxicity_without_labels(spark, judged):
     docs, labels, _ = judged
     assert {r.score for r in Y.toxicity(docs.limit(5), labels.where("false")).collect()} == {0.5}
