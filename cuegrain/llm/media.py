@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 RATE = 8000
 UNIT = 64
 FRAME, HOP = 256, 128
+#: For a payload of one FRAME at most, which has frames to pair only if they are shorter; they are transformed as FRAME samples.
+SHORT_FRAME, SHORT_HOP = 16, 8
 #: Bands of the spectrum; each frame gives one peak per band group that stands out.
 GROUPS = ((1, 10), (10, 20), (20, 40), (40, 80), (80, 129))
 #: Frames that a peak looks ahead.
@@ -50,18 +52,19 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
         return w.readframes(w.getnframes()), w.getframerate()
 
 
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOWS = {n: np.hanning(n).astype(np.float32) for n in (FRAME, SHORT_FRAME)}
 
 
 def peaks(samples: bytes) -> np.ndarray:
     """The strongest band of each group in each frame (frames x groups), -1 where it doesn't stand out from its frame."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.pad(x, (0, (n - 1) * HOP + FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    size, hop = (FRAME, HOP) if len(x) > FRAME else (SHORT_FRAME, SHORT_HOP)
+    n = max(1, -(-(len(x) - size) // hop) + 1)
+    x = np.pad(x, (0, (n - 1) * hop + size - len(x)))
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
     out = np.empty((n, len(GROUPS)), np.int64)
     for i in range(0, n, CHUNK):
-        level = np.abs(np.fft.rfft(frames[i : i + CHUNK] * _WINDOW, axis=1))
+        level = np.abs(np.fft.rfft(frames[i : i + CHUNK] * _WINDOWS[size], FRAME, axis=1))
         mean = level.mean(axis=1, keepdims=True)
         for g, (lo, hi) in enumerate(GROUPS):
             band = level[:, lo:hi].argmax(axis=1)

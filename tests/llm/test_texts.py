@@ -317,6 +317,13 @@ def test_fingerprints_follow_the_sound():
     assert (whole[40:-40, 2] == 32).mean() > 0.95  # as in one piece, though cut into chunks
 
 
+def test_short_media_have_fingerprints_of_their_own():
+    texts = ["", "a short text", "another short text", "one line of words. " * 5, "two lines of text. " * 5, "x" * 256]
+    found = [M.fingerprints(M.payload_of(t.encode())) for t in texts]
+    assert all(len(times) for times, _ in found)
+    assert len({(times.tobytes(), codes.tobytes()) for times, codes in found}) == len(texts)
+
+
 def test_oracle_of_exact_dedup(spark):
     import duckdb
 
