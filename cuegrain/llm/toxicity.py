@@ -37,6 +37,8 @@ NO_EVIDENCE = -2.0
 SCALE = 200.0
 #: Training rows of each class at most, after ids and texts met, in the order of a hash of their id: the bound of the sample.
 ROWS_PER_CLASS = 1500
+#: Characters of the training texts of each class at most, in the same order; a text beyond the bound is not trained on.
+CHARS_PER_CLASS = 12_000_000
 #: Words whose sums a worker keeps at most; later ones are summed each time.
 KNOWN_WORDS = 400_000
 TEXTS = 500
@@ -87,8 +89,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     for buckets, _ in bags:
         texts[buckets] += 1
     used = np.flatnonzero(texts >= LEAST_TEXTS)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     bags = [(place[b][place[b] >= 0], s[place[b] >= 0] * np.float32(SCALE)) for b, s in bags]
     vectors = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     weights, bias = rng.normal(0, DIM**-0.5, (DIM, 2)).astype(np.float32), np.array([0, NO_EVIDENCE if len(bags) else 0], np.float32)
@@ -129,31 +131,51 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return known, (count / (len(buckets) + PADDING)).astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", per_class: int = ROWS_PER_CLASS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text", per_class: int = ROWS_PER_CLASS, chars_per_class: int = CHARS_PER_CLASS) -> DataFrame:
     """(id, text, label): distinct labelled texts of ids outside the held-out fold, the first per_class of each label by a hash of the id.
 
     Copies of a row count once, and texts of one id a row each, so no id takes more than the sample. Held out are ids with crc32(id as text) mod 5 = 0. Null ids, and labels other than 0 and 1, are not used.
+    Of those rows, the ones stay whose texts together have at most chars_per_class characters, counted in that order and past texts that alone are longer.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND pmod(crc32(cast(id AS string)), 5) <> 0").distinct()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-    keys = texts.select("id", "hash").distinct().join(chosen, "id")
-    ranked = keys.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "hash")))
-    few = ranked.where(F.col("n") <= per_class).select("id", "hash", "label")  # at most 2 * per_class rows
+    keys = texts.select("id", "hash", F.length("text").alias("chars")).where(F.col("chars") <= chars_per_class).distinct().join(chosen, "id")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "hash")
+    ranked = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class)  # at most 2 * per_class rows
+    few = ranked.withColumn("total", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= chars_per_class).select("id", "hash", "label")
     return texts.join(F.broadcast(few), ["id", "hash"]).dropDuplicates(["id", "hash", "label"]).select("id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
-    """Fit on the bounded sample: its bags, not its texts, come to the driver, in a fixed order."""
+    """Fit on the bounded sample, in one task: its bags meet there in a fixed order.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            made = [bag(t) for t in part["text"]]
-            yield pd.DataFrame({"id": part["id"].astype(str), "crc": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in part["text"]], "label": part["label"], "buckets": [b.tobytes() for b, _ in made], "shares": [s.tobytes() for _, s in made]})
+    The driver sees the model only: of each bucket that has a vector its number and DIM floats, 9 MB at most.
+    """
 
-    rows = training_rows(docs, labels, **columns).mapInPandas(run, "id string, crc long, label int, buckets binary, shares binary").toPandas()
-    rows = rows.sort_values(["id", "crc", "label"], ignore_index=True)
-    bags = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in zip(rows["buckets"], rows["shares"], strict=True)]
-    return train(bags, rows["label"].to_numpy(np.int64))
+    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                ids, texts, labels = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
+                made = [bag(t) for t in texts]
+                cols = [pa.array([str(i) for i in ids]), pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(labels, pa.int32()), pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "crc", "label", "buckets", "shares"])
+
+    def learn(sample: pa.Table) -> pa.Table:
+        rows = [(i, c, y, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for i, c, y, b, s in zip(*(sample[x].to_pylist() for x in ("id", "crc", "label", "buckets", "shares")), strict=True)]
+        rows.sort(key=lambda r: r[:3])
+        model = train([r[3:] for r in rows], np.array([r[2] for r in rows], np.int64))
+        used = np.flatnonzero(model.vectors.any(axis=1)).astype(np.int32)
+        parts = [used, model.vectors[used], model.weights.astype(np.float32), model.bias]
+        return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["used", "vectors", "weights", "bias"])
+
+    bags = training_rows(docs, labels, **columns).mapInArrow(bags_of, "id string, crc long, label int, buckets binary, shares binary")
+    found = bags.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "used binary, vectors binary, weights binary, bias binary").first()
+    if found is None:  # no usable label
+        return train([], np.zeros(0, np.int64))
+    used = np.frombuffer(found.used, np.int32)
+    vectors = np.zeros((BUCKETS, DIM), np.float32)
+    vectors[used] = np.frombuffer(found.vectors, np.float32).reshape(-1, DIM)
+    return Model(vectors, np.frombuffer(found.weights, np.float32).reshape(DIM, 2), np.frombuffer(found.bias, np.float32))
 
 
 class Scorer:
@@ -171,16 +193,15 @@ class Scorer:
         if new:
             new.sort()
             buckets, starts = ngram_buckets(new)
-            total = np.concatenate([[0.0], np.cumsum(self.margins[buckets], dtype=np.float64)])
+            # each word's own sum (every word has an n-gram), the same whatever words stand beside it
             self.place.update(zip(new, range(kept, kept + len(new)), strict=True))
-            self.sums = np.concatenate([self.sums[:kept], total[starts[1:]] - total[starts[:-1]]])
+            self.sums = np.concatenate([self.sums[:kept], np.add.reduceat(self.margins[buckets].astype(np.float64), starts[:-1])])
             self.counts = np.concatenate([self.counts[:kept], np.diff(starts)])
         get, out = self.place.__getitem__, []
         for words in split:
             at = np.fromiter(map(get, words), np.int64, len(words))
-            # sorted and rounded, so that the score does not depend on where a worker met a word
-            logit = self.bias + np.sort(self.sums[at]).sum() / (self.counts[at].sum() + PADDING)
-            logit = round(float(logit), 6)
+            # sorted, so that the score does not depend on the order of a set
+            logit = float(self.bias + np.sort(self.sums[at]).sum() / (self.counts[at].sum() + PADDING))
             out.append(float(1 / (1 + np.exp(-min(max(logit, -500.0), 500.0)))))
         if len(self.place) > KNOWN_WORDS:
             for w in new:
@@ -208,7 +229,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted) per row of docs.
 
     A null or empty text has no evidence and a score below 0.5. A null id is not held out. Without usable
-    labels every score is 0.5. Repeated rows score alike; other columns are not read.
+    labels every score is 0.5. Repeated rows score alike; other columns are not read. A very long text is
+    scored whole, by its distinct words. Ties of the sample's order fall to the id and the text's hash.
+    An empty table gives an empty result.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -234,6 +234,30 @@ def test_repeated_ids_stay_within_the_sample(spark):
     assert len(whole) == len(set(rows)) and set(zip(whole["id"], whole["text"], strict=True)) == set(rows)
 
 
+def test_the_sample_is_bounded_in_characters(spark):
+    kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "x" * (5_000 if i == kept[0] else 10)) for i in kept], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, toxic int")
+    few = Y.training_rows(docs, labels, chars_per_class=105).toPandas()
+    assert len(few) == 10 and set(few["text"]) == {"x" * 10}
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(0)
+    margins = rng.normal(0, 1, Y.BUCKETS).astype(np.float32)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 500, 30)) for _ in range(40)]
+    together = Y.Scorer(margins, -2.0).scores(texts)
+    assert together == [Y.Scorer(margins, -2.0).scores([t])[0] for t in texts]
+    assert together == Y.Scorer(margins, -2.0).scores(texts[::-1])[::-1]
+
+
+def test_repeated_rows_score_alike(spark, judged):
+    docs, labels, _ = judged
+    twice = docs.where("doc_id < 200").union(docs.where("doc_id < 200"))
+    scored = Y.toxicity(twice, labels)
+    assert scored.count() == 400 and scored.distinct().count() == 200
+
+
 def test_toxicity_without_labels(spark, judged):
     docs, labels, _ = judged
     assert {r.score for r in Y.toxicity(docs.limit(5), labels.where("false")).collect()} == {0.5}
