@@ -22,6 +22,16 @@ def smallest_first(id_col: str, row_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"), F.col(row_col).alias("row"))
 
 
-def broadcast_below(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Rows, and characters and bytes in their columns, of what is broadcast at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
+
+
+def broadcast_below(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and their strings and bytes at most `size`; else as it is, for a shuffled join.
+
+    df should be cheap to read twice, such as a written table.
+    """
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    total = sum(long, F.lit(0)).cast("long")
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found.n <= rows and found.size <= size else df

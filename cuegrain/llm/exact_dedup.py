@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrain.llm.common import SPACE_RUN, cut, smallest_first, text_or_empty
+from cuegrain.llm.common import SPACE_RUN, broadcast_below, cut, text_or_empty
 
 #: A digest with more than 1/HEAVY_SHARE of all rows counts as heavy; so there are fewer than HEAVY_SHARE of them.
 HEAVY_SHARE = 512
@@ -15,10 +15,12 @@ COUNTERS = 4096
 MERGERS = 64
 
 
-def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, digest): the SHA-256 of each text after turning white-space runs into one space."""
+def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, mark: Column | None = None) -> DataFrame:
+    """(id, mark, row, digest): the SHA-256 of each text after turning white-space runs into one space."""
     plain = F.regexp_replace(text_or_empty(text_col), SPACE_RUN, " ")
-    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(plain, 256).alias("digest"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    mark = F.lit(0).cast("long") if mark is None else mark
+    return docs.select(F.col(id_col).alias("id"), mark.alias("mark"), number.alias("row"), F.sha2(plain, 256).alias("digest"))
 
 
 def frequent_digests(digests: DataFrame) -> DataFrame:
@@ -38,13 +40,13 @@ def frequent_digests(digests: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(digests: DataFrame) -> DataFrame:
-    """digests (id, row, digest) with keep (struct void, id, row of the row that stays) and group_size.
+    """digests (id, mark, row, digest) with keep (struct void, id, mark, row of the row that stays) and group_size.
 
     Heavy digests: the candidates are counted exactly, and these winners, at most HEAVY_SHARE rows,
     are broadcast to the rows, which then need no shuffle. All others meet in an ordinary shuffle by
     digest, in groups of at most about 1/HEAVY_SHARE of the rows.
     """
-    ordered = digests.withColumn("order", smallest_first("id", "row"))
+    ordered = digests.withColumn("order", F.struct(F.col("id").isNull().alias("void"), "id", "mark", "row"))
     candidates = F.broadcast(frequent_digests(digests))
     winners = ordered.join(candidates, "digest").groupBy("digest").agg(F.min("order").alias("keep"), F.count("*").alias("group_size"))
     winners = cut(winners.coalesce(1), "heavy-digests")
@@ -55,14 +57,16 @@ def duplicate_groups(digests: DataFrame) -> DataFrame:
     return heavy.select("id", "row", "digest", "keep", "group_size").unionByName(rest.select("id", "row", "digest", "keep", "group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, mark: Column | None = None) -> DataFrame:
     """One row per input row: id, row, keep_id, group_size, kept, text_sha256.
 
     A null text is an empty one, and all empty texts form a group. The smallest id stays; a null id
-    stays only if the group has no other; of repeated rows with that id one stays. Other columns are
-    not read, whatever their names. An empty table gives an empty result.
+    stays only if the group has no other; of repeated rows with that id one stays, with the smallest
+    mark, if given, then the smallest row number. row_col numbers the rows if the caller needs to find
+    them again. Very long texts are digested whole. Other columns are not read, whatever their names.
+    An empty table gives an empty result.
     """
-    digests = cut(text_digests(docs, id_col, text_col), "digests")
+    digests = cut(text_digests(docs, id_col, text_col, row_col, mark), "digests")
     groups = duplicate_groups(digests)
     return groups.select("id", "row", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
@@ -70,12 +74,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns.
 
-    The kept (id, digest) pairs select the rows; of repeated rows with one id and text, one stays.
-    Pairs are matched null-safe; texts are shuffled only if the pairs are too many to broadcast.
+    docs is written once with row numbers, so that all reads number alike; each text is digested once,
+    and the numbers of the rows that go are broadcast, or meet the rows in a shuffle if they are many.
+    Of repeated rows with one id and text but other columns, the one with the smallest hash of its
+    columns (but maps) stays, so that reruns agree.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("__cg_id"), F.col("text_sha256").alias("__cg_kept"))
-    digest = F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE_RUN, " "), 256)
-    keyed = docs.withColumn("__cg_digest", digest)
-    both = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("__cg_id")) & (F.col("__cg_digest") == F.col("__cg_kept")), "left_semi")
-    one = Window.partitionBy("__cg_digest", id_col).orderBy("__cg_digest")
-    return both.withColumn("__cg_n", F.row_number().over(one)).where("__cg_n = 1").select(*docs.columns)
+    numbered = cut(docs.withColumn("__cg_row", F.monotonically_increasing_id()), "numbered")
+    mark = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    found = exact_dedup(numbered, id_col, text_col, row_col="__cg_row", mark=mark)
+    gone = cut(found.where("NOT kept").select(F.col("row").alias("__cg_row")), "gone")
+    return numbered.join(broadcast_below(gone), "__cg_row", "left_anti").select(*docs.columns)

@@ -232,10 +232,6 @@ def host_votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return sums.groupBy("host").agg(F.max_by("path", F.struct("score", -F.length("path"), "path")).alias("path"))
 
 
-#: Hosts whose paths are broadcast at most; beyond, pages and paths meet in a shuffle by host.
-BROADCAST_HOSTS = 200_000
-
-
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) per page.
 
@@ -255,5 +251,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return pd.Series(out, dtype=object)
 
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    both = read.join(broadcast_below(winners, BROADCAST_HOSTS), F.col("host") == F.col("its"), "left")
+    both = read.join(broadcast_below(winners), F.col("host") == F.col("its"), "left")
     return both.select("id", "url", extract("html", "path").alias("text"))

@@ -38,8 +38,6 @@ HUB_ROUNDS = 1
 DENSE = 32
 #: Rows, and shingles, of a block at most (on average: rows are dealt to blocks by hash).
 BLOCK_ROWS, BLOCK_ITEMS = 128, 500_000
-#: Ids of documents whose sets are needed again are broadcast up to this many (16 MB).
-BROADCAST_IDS = 1_000_000
 #: Rows of shingles hashed at a time, so that very long texts need bounded memory.
 CHUNK = 2048
 
@@ -179,7 +177,7 @@ class _Verifier:
         """(row, items) of some rows, made again from their texts."""
         width = self.width
         wanted = cut(self.reps.join(rows, "row", "left_semi").select("row", "id", "digest"), "wanted")
-        ids = broadcast_below(wanted.select(F.col("id").alias("wanted_id")).distinct(), BROADCAST_IDS)
+        ids = broadcast_below(cut(wanted.select(F.col("id").alias("wanted_id")).distinct(), "wanted-ids"))
         kind = self.docs.schema["id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +189,7 @@ class _Verifier:
 
         chosen = self.docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
         made = chosen.mapInArrow(run, f"id {kind}, digest binary, items binary").alias("m")
-        w = broadcast_below(wanted, BROADCAST_IDS).alias("w")
+        w = broadcast_below(wanted).alias("w")
         same = F.col("m.id").eqNullSafe(F.col("w.id")) & (F.col("m.digest") == F.col("w.digest"))
         # rows repeated with one id and text give one set, chosen as any of them
         return cut(made.join(w, same).select("w.row", "m.items").dropDuplicates(["row"]), "sets")
@@ -324,5 +322,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs that stay, one of each group of near-duplicates, with their columns."""
     numbered = cut(docs.withColumn("__cg_row", F.monotonically_increasing_id()), "numbered")  # written, so that both reads number alike
     gone = near_duplicates(numbered, id_col, text_col, row_col="__cg_row").where("NOT kept").select(F.col("row").alias("__cg_row"))
-    gone = broadcast_below(cut(gone, "gone"), BROADCAST_IDS)
+    gone = broadcast_below(cut(gone, "gone"))
     return numbered.join(gone, "__cg_row", "left_anti").select(*docs.columns)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuegrain.llm import near_dedup as N
+from cuegrain.llm.common import broadcast_below
 from cuegrain.llm.components import components
 from cuegrain.llm.exact_dedup import drop_exact_copies, exact_dedup, frequent_digests, text_digests
 
@@ -52,6 +53,20 @@ def test_exact_edge_cases(spark):
     assert sorted((r.doc_id is None, r.text) for r in kept.collect()) == [(False, "a"), (False, "c"), (True, "b")]
 
 
+def test_the_row_that_stays_does_not_depend_on_the_order(spark):
+    rows = [(1, "a  b", "en", f"s{k % 7}", k, "d", 7, 0) for k in range(40)]
+    one = {tuple(r) for r in drop_exact_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    two = {tuple(r) for r in drop_exact_copies(spark.createDataFrame(rows[::-1], DOCS).repartition(3)).collect()}
+    assert one == two and len(one) == 1
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(10)], "id long, host string")
+    hinted = lambda *bounds: "broadcast" in broadcast_below(df, *bounds)._jdf.queryExecution().logical().toString().lower()
+    assert hinted() and hinted(10, 1000) and not hinted(9, 1000) and not hinted(10, 999)
+    assert "broadcast" in broadcast_below(df.where("false"))._jdf.queryExecution().logical().toString().lower()
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
