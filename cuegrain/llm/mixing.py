@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrain.llm.common import WORD, cut, text_or_empty
+from cuegrain.llm.common import WORD, broadcast_below, cut, text_or_empty
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
@@ -25,38 +25,55 @@ PASSES = 3
 WEIGHTS = (1, 2, 3)
 #: Rows of a lane, about: a source's documents are laid end to end in lanes, so that no task orders a whole source.
 LANE_ROWS = 2_000
-#: Sources that the driver plans for; a mix's recipe is small by nature, and more raise an error.
-MOST_SOURCES = 100_000
+#: Groups of sources that a shard draws for at first; with more sources, each group then draws for its own.
+GROUPS = 4096
+#: Neighbours in an order whose running sums are made together, so that no task orders all of a hot source.
+STRETCH = 1024
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> pd.DataFrame:
-    """source, source_size, target for each row of sizes (source, source_size), null last.
+def _ranked(table: DataFrame, by: str) -> DataFrame:
+    """table with s, the place of each row in the order of `by`, null last; rows are sorted in ranges, not in one task."""
+    ordered = cut(table.orderBy(F.col(by).asc_nulls_last()).withColumn("__cg_at", F.monotonically_increasing_id()), "ranked")
+    place = F.col("__cg_at").bitwiseAND((1 << 33) - 1)
+    ranges = ordered.groupBy(F.shiftright("__cg_at", 33).alias("__cg_range")).agg(F.count("*").alias("n"))  # a row a task
+    ranges = ranges.select("__cg_range", (F.sum("n").over(Window.orderBy("__cg_range")) - F.col("n")).alias("__cg_before"))
+    return ordered.withColumn("__cg_range", F.shiftright("__cg_at", 33)).join(F.broadcast(ranges), "__cg_range").withColumn("s", place + F.col("__cg_before")).drop("__cg_at", "__cg_range", "__cg_before")
 
-    Sources in order of code points weigh `weights`, repeating, and share the sum of all sizes. A
-    source's target stops at passes * source_size; the excess is shared by weight among the others
-    until none is above.
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
+    """sizes (source, source_size, ...) with s and target for each row.
+
+    Sources in order of code points, null last, are numbered s and weigh `weights`, repeating, and share
+    the sum of all sizes. A source's target stops at passes * source_size; the excess is shared by weight
+    among the others until none is above. Each round is one aggregation over the table of sources.
     """
-    if sizes.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
-        raise ValueError(f"a mix is planned for at most {MOST_SOURCES} sources")
-    plan = sizes.toPandas()
-    keys = [(x is None, (x or "").encode("utf-8", "surrogatepass")) for x in plan["source"]]
-    plan = plan.iloc[sorted(range(len(keys)), key=keys.__getitem__)].reset_index(drop=True)
-    weight = np.array([weights[i % len(weights)] for i in range(len(plan))], np.float64)
-    size = plan["source_size"].to_numpy(np.float64)
-    target, free = np.zeros(len(plan)), np.ones(len(plan), bool)
-    while free.any():
-        left = size.sum() - target[~free].sum()
-        target[free] = left * weight[free] / weight[free].sum()
-        over = free & (target > passes * size)
-        if not over.any():
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    plan = cut(_ranked(sizes, "source").withColumn("weight", w).withColumn("cap", passes * F.col("source_size").cast("double")), "sources")
+    over, left, free = F.lit(False), 0.0, 1.0
+    total, known = plan.agg(F.sum("source_size")).first()[0] or 0, -1
+    while True:
+        found = plan.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)).alias("held"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("free")).first()
+        if found.n == known or not found.free:
             break
-        target[over] = passes * size[over]
-        free &= ~over
-    return plan.assign(target=target)
+        known, left, free = found.n, float(total - found.held), found.free
+        over = F.lit(left) * F.col("weight") / F.lit(free) > F.col("cap")
+    return plan.withColumn("target", F.when(over, F.col("cap")).otherwise(F.lit(left) * F.col("weight") / F.lit(free))).drop("weight", "cap")
+
+
+def _start(table: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """table with start: the sum of value over the rows of the same `by` whose order (from 0, each once) is smaller.
+
+    Sums are made in stretches of STRETCH neighbours, then over the stretches, so a hot key is many tasks' work.
+    """
+    table = table.withColumn("__cg_stretch", F.floor(F.col(order) / STRETCH))
+    stretches = table.groupBy(by, "__cg_stretch").agg(F.sum(value).alias("__cg_sum"))
+    stretches = stretches.select(by, "__cg_stretch", (F.sum("__cg_sum").over(Window.partitionBy(by).orderBy("__cg_stretch")) - F.col("__cg_sum")).alias("__cg_before"))
+    within = F.sum(value).over(Window.partitionBy(by, "__cg_stretch").orderBy(order)) - F.col(value)
+    return table.withColumn("__cg_within", within).join(stretches, [by, "__cg_stretch"]).withColumn("start", F.col("__cg_within") + F.col("__cg_before")).drop("__cg_stretch", "__cg_within", "__cg_before")
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -78,34 +95,58 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(spark, plan: pd.DataFrame, shard_slots: int, block: int, seed: int) -> DataFrame:
-    """(shard, slot, s, block): which block of which source fills each slot of each shard."""
-    size, target = plan["source_size"].to_numpy(np.int64), plan["target"].to_numpy(np.float64)
-    blocks = -(-size // block)
-    whole = np.where(size > 0, target // np.maximum(size, 1), 0).astype(np.int64)
-    # slots of each source: whole passes, and as many blocks more as come nearest to the target
-    quota = whole * blocks + np.minimum(np.rint((target - whole * size) / block).astype(np.int64), blocks)
-    quota = np.minimum(quota, PASSES * blocks)
-    total = int(quota.sum())
-    shards = -(-total // shard_slots)
-    share = quota / max(1, total)
-    names = np.arange(len(plan), dtype=np.int64)
+def _draws(recipe: DataFrame, sources: int, shards: int, shard_slots: int, total: int, seed: int) -> DataFrame:
+    """(shard, s, drawn): how many slots of each shard each source draws, of a multinomial over all quotas; none are left out.
+
+    A shard draws for GROUPS groups of sources (with fewer sources, for each), and a group that is drawn draws for its sources.
+    """
+    groups = min(sources, GROUPS)
+    quotas = recipe.groupBy((F.col("s") % max(1, groups)).alias("g")).agg(F.sum("quota").alias("quota")).orderBy("g").toPandas()  # at most GROUPS rows
+    share = quotas["quota"].to_numpy(np.float64) / max(1, total)
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["shard"]:
-                rng = np.random.default_rng([seed, int(shard)])
-                yield pd.DataFrame({"shard": shard, "s": names, "drawn": rng.multinomial(min(shard_slots, total - int(shard) * shard_slots), share)})
-
-    drawn = spark.range(shards).toDF("shard").mapInPandas(draw, "shard long, s long, drawn long")
-    ends = F.sum("drawn").over(Window.partitionBy("s").orderBy("shard"))
-    drawn = drawn.withColumn("end", ends).withColumn("start", F.col("end") - F.col("drawn"))
-    recipe = spark.createDataFrame(pd.DataFrame({"s": names, "blocks": blocks, "quota": quota}), "s long, blocks long, quota long")
-    drawn = cut(drawn.join(F.broadcast(recipe), "s"), "draws")
-    # draws beyond a source's slots are void, and a last shard settles what the draws left
-    inside = drawn.select("shard", "s", "blocks", "start", F.least("end", "quota").alias("end"))
-    settle = drawn.groupBy("s", "blocks", "quota").agg(F.max("end").alias("start")).select(F.lit(shards).cast("long").alias("shard"), "s", "blocks", "start", F.col("quota").alias("end"))
-    runs = inside.unionByName(settle).where("start < end")
+                n = np.random.default_rng([seed, int(shard)]).multinomial(min(shard_slots, total - int(shard) * shard_slots), share)
+                g = np.flatnonzero(n)
+                yield pd.DataFrame({"shard": shard, "g": g, "drawn": n[g]})
+
+    drawn = recipe.sparkSession.range(shards).toDF("shard").mapInPandas(first, "shard long, g long, drawn long")
+    if sources <= GROUPS:
+        return drawn.withColumnRenamed("g", "s")
+    members = cut(recipe.groupBy((F.col("s") % groups).alias("g")).agg(F.array_sort(F.collect_list(F.struct("s", "quota"))).alias("members")), "members")
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, g, drawn, its in zip(batch["shard"], batch["g"], batch["drawn"], batch["members"], strict=True):
+                s, quota = (np.array([m[k] for m in its]) for k in ("s", "quota"))
+                n = np.random.default_rng([seed, int(shard), int(g)]).multinomial(int(drawn), quota / quota.sum())
+                yield pd.DataFrame({"shard": shard, "s": s[n > 0], "drawn": n[n > 0]})
+
+    return drawn.join(members, "g").mapInPandas(second, "shard long, s long, drawn long")
+
+
+def _slots(plan: DataFrame, shard_slots: int, block: int, seed: int) -> DataFrame:
+    """(shard, slot, s, pass, block): which block of which source fills each slot of each shard. plan: s, source_size, target."""
+    size = F.col("source_size")
+    blocks = F.ceil(size / block)
+    whole = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0)
+    # slots of each source: whole passes, and as many blocks more as come nearest to the target
+    quota = F.col("whole") * F.col("blocks") + F.least(F.rint((F.col("target") - F.col("whole") * size) / block).cast("long"), "blocks")
+    recipe = plan.withColumns({"blocks": blocks, "whole": whole}).select("s", "blocks", F.least(quota, PASSES * F.col("blocks")).alias("quota"))
+    recipe = cut(recipe, "recipe")
+    sources, total = recipe.agg(F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
+    shards = -(-total // shard_slots)
+    drawn = _start(cut(_draws(recipe, sources, shards, shard_slots, total, seed), "draws"), "s", "shard", "drawn")
+    drawn = cut(drawn.join(broadcast_below(recipe), "s").withColumn("end", F.col("start") + F.col("drawn")), "drawn")
+    # draws beyond a source's slots are void, and last shards settle what the draws left
+    inside = drawn.select("shard", "s", "blocks", "start", F.least("end", "quota").alias("end")).where("start < end")
+    reached = drawn.groupBy("s").agg(F.max("end").alias("reached"))
+    left = recipe.join(reached, "s", "left").withColumn("reached", F.coalesce("reached", F.lit(0))).where("reached < quota")
+    left = left.withColumn("start", F.explode(F.sequence(F.col("reached"), F.col("quota") - 1, F.lit(shard_slots).cast("long"))))
+    extra = F.lit(shards) + F.floor((F.col("start") - F.col("reached")) / shard_slots)
+    settle = left.select(extra.alias("shard"), "s", "blocks", "start", F.least(F.col("start") + shard_slots, F.col("quota")).alias("end"))
+    runs = inside.unionByName(settle)
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,26 +168,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     rows: row, id, size, source_size, target. taken: shard, slot, pass, row, first, words (word
     positions from 0). A null text has no words; documents without words fill no slot. Null is a
-    source of its own, last in order. Repeated rows are documents each. The same documents and seed
-    give the same mix: within a source they are laid out by a hash of id and text. row_col numbers the
-    rows if the caller needs to find them again.
+    source of its own, last in order. Repeated rows are documents each; null ids come first in a lane.
+    A very long text spans many blocks. The same documents and seed give the same mix: within a source
+    they are laid out by a hash of id and text. row_col numbers the rows if the caller needs to find
+    them again. Other columns are not read. An empty table gives empty ones. The number of sources has
+    no bound: their table is planned, and drawn for, by Spark.
     """
-    spark = docs.sparkSession
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("mark"))
     rows = cut(rows, "sizes")
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = source_targets(counts)
-    recipe = pd.DataFrame({"source": plan["source"], "s": np.arange(len(plan)), "source_size": plan["source_size"], "target": plan["target"], "lanes": -(-plan["n"] // LANE_ROWS)})
-    known = spark.createDataFrame(recipe.astype(object).where(recipe.notna(), None), "source string, s long, source_size long, target double, lanes long") if len(recipe) else spark.createDataFrame([], "source string, s long, source_size long, target double, lanes long")
-    known = F.broadcast(known.withColumnRenamed("source", "name"))  # a row for each source, at most MOST_SOURCES
+    plan = cut(source_targets(counts, weights).withColumn("lanes", F.ceil(F.col("n") / LANE_ROWS)), "plan")
+    known = broadcast_below(plan.select(F.col("source").alias("name"), "s", "source_size", "target", "lanes"))
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     rows = rows.withColumn("lane", F.pmod(F.xxhash64("id", "mark"), "lanes"))
 
     # where each document begins in its source: lanes end to end, and in order within each lane
-    lanes = rows.groupBy("s", "lane").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("s").orderBy("lane")) - F.col("words")
-    lanes = lanes.select("s", "lane", before.alias("before"))
+    lanes = _start(rows.groupBy("s", "lane").agg(F.sum("size").alias("words")), "s", "lane", "words").select("s", "lane", F.col("start").alias("before"))
     within = F.sum("size").over(Window.partitionBy("s", "lane").orderBy("id", "mark", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = rows.where("size > 0").withColumn("begin", within).join(lanes, ["s", "lane"]).select("s", "row", "size", (F.col("begin") + F.col("before")).alias("begin"))
     b = F.lit(block).cast("long")
@@ -154,7 +192,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first = F.greatest(F.lit(0), F.col("block") * b - F.col("begin"))
     last = F.least("size", (F.col("block") + 1) * b - F.col("begin"))
     spans = spread.select("s", "block", "row", first.alias("first"), (last - first).alias("words"))
-    slots = _slots(spark, plan, shard_slots, block, seed)
+    slots = _slots(plan, shard_slots, block, seed)
     # Spark takes slots for as small as the runs that they are numbered from, and would broadcast them
     taken = slots.join(spans.hint("merge"), ["s", "block"]).select("shard", "slot", "pass", "row", "first", "words")
     return rows.select("row", "id", "size", "source_size", "target"), taken

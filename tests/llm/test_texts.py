@@ -38,15 +38,9 @@ def mix_docs(spark, sizes=(900, 20_000, 300, 5_000, 9_000)):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target int")
 
 
-def test_targets():
-    from unittest.mock import MagicMock
-
+def test_targets(spark):
     def plan(pairs):
-        frame = pd.DataFrame(pairs, columns=["source", "source_size"])
-        sizes = MagicMock()
-        sizes.limit.return_value.count.return_value = len(pairs)
-        sizes.toPandas.return_value = frame
-        return X.source_targets(sizes).set_index("source")["target"].to_dict()
+        return {r.source: r.target for r in X.source_targets(spark.createDataFrame(pairs, "source string, source_size long")).collect()}
 
     assert plan([("b", 100), ("a", 100), (None, 100)]) == {"a": 50.0, "b": 100.0, None: 150.0}
     got = plan([("a", 1000), ("b", 10), ("c", 10)])
@@ -54,6 +48,50 @@ def test_targets():
     assert plan([("a", 0)]) == {"a": 0.0} and plan([]) == {}
 
 
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(3)
+    sizes = {f"s{i:05}": int(x) for i, x in enumerate(rng.pareto(0.6, 500) * 10 + 1)}
+    got = {r.source: (r.s, r.target) for r in X.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)).collect()}
+    left, free, want = sum(sizes.values()), {n: (1, 2, 3)[i % 3] for i, n in enumerate(sorted(sizes))}, {}
+    while over := [n for n in free if left * free[n] / sum(free.values()) > 3 * sizes[n]]:
+        for n in over:
+            want[n] = 3 * sizes[n]
+        left = sum(sizes.values()) - sum(want.values())
+        free = {n: w for n, w in free.items() if n not in want}
+    want |= {n: left * w / sum(free.values()) for n, w in free.items()}
+    assert [got[n][0] for n in sorted(sizes)] == list(range(500))
+    assert {n: t for n, (_, t) in got.items()} == pytest.approx(want)
+
+
+def test_starts_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(X, "STRETCH", 4)
+    rng, rows = np.random.default_rng(1), []
+    for s in range(3):
+        for at in rng.choice(100, 30, replace=False).tolist():
+            rows.append((s, at, int(rng.integers(0, 9))))
+    got = {(r.s, r.at): r.start for r in X._start(spark.createDataFrame(rows, "s long, at long, v long"), "s", "at", "v").collect()}
+    assert got == {(s, at): sum(v for t, b, v in rows if t == s and b < at) for s, at, _ in rows}
+
+
+def test_groups_draw_for_their_sources(spark, monkeypatch):
+    monkeypatch.setattr(X, "GROUPS", 3)
+    got = X.mixed_sizes(mix_docs(spark), block=16, shard_slots=64).toPandas()
+    for _, its in got.groupby("source_size"):
+        assert abs(its["taken"].sum() - its["target"].iloc[0]) <= 16 and (its["taken"] <= 3 * its["size"]).all()
+    recipe = spark.createDataFrame([(s, q) for s, q in enumerate((0, 50, 200, 10, 340))], "s long, quota long")
+    drawn = X._draws(recipe, 5, 10, 60, 600, 1).toPandas()
+    assert (drawn["drawn"] > 0).all() and drawn.groupby("shard")["drawn"].sum().tolist() == [60] * 10 and 0 not in set(drawn["s"])
+    assert abs(drawn.groupby("s")["drawn"].sum()[4] - 340) < 80
+
+
+def test_mix_of_repeated_rows_null_ids_and_long_texts(spark):
+    rows = [(1, "a b c", "x")] * 3 + [(None, "d e", "x")] * 2 + [(2, "w " * 200_000, "y"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (X.mixed_sizes(docs, block=16, shard_slots=64).toPandas() for _ in range(2))
+    assert len(one) == 7 and (one["taken"] <= 3 * one["size"]).all() and sorted(one["taken"]) == sorted(two["taken"])
+    assert abs(one[one["id"] == 2]["taken"].sum() - one[one["id"] == 2]["target"].iloc[0]) <= 16
+
+
 def test_mix(spark):
     docs = mix_docs(spark)
     got = X.mixed_sizes(docs, block=16, shard_slots=64).toPandas()
