@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass, field
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -48,16 +49,19 @@ class PartVisitor:
 
     attachments: list[dict[str, Any]] = field(default_factory=list)
 
+    def flatten(self, parts: list[dict[str, Any]]) -> str:
+        """All parts in order. Neighbouring texts are escaped as one, so no control string is made where they meet."""
+        out = []
+        for is_text, its in groupby(parts, lambda p: (p.get("type") or "text") == "text"):
+            out += [escape("".join(p.get("text") or "" for p in its))] if is_text else [self.visit(p) for p in its]
+        return "".join(out)
+
     def visit(self, part: dict[str, Any]) -> str:
-        kind = part.get("type") or "text"
-        handler = getattr(self, f"visit_{kind}", None)
+        handler = getattr(self, f"visit_{part['type']}", None)
         if handler is None:
-            raise ValueError(f"unknown kind of part: {kind}")
+            raise ValueError(f"unknown kind of part: {part['type']}")
         return handler(part)
 
-    def visit_text(self, part: dict[str, Any]) -> str:
-        return escape(part.get("text") or "")
-
     def visit_image(self, part: dict[str, Any]) -> str:
         tiles = -(-int(part.get("width") or IMAGE_TILE) // IMAGE_TILE) * -(-int(part.get("height") or IMAGE_TILE) // IMAGE_TILE)
         return self.attach("image", part, tiles * IMAGE_TILE_TOKENS)
@@ -85,7 +89,7 @@ def format_conversation(turns: list[tuple[str, list[dict[str, Any]]]]) -> Format
     visitor, out, at, loss = PartVisitor(), [], 0, []
     for role, parts in turns:
         head = f"{START}{escape_role(role)}\n"
-        body = "".join(visitor.visit(p) for p in parts)
+        body = visitor.flatten(parts)
         if role in LOSS_ROLES:
             loss.append((at + len(head), len(body)))
         out += [head, body, END, "\n"]
@@ -106,6 +110,21 @@ def read_conversation(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def read_parts(formatted: str) -> list[tuple[str, list[str | int]]]:
+    """Role and parts of each turn, read back: a text as it went in, an attachment as its number."""
+    turns, at = [], 0
+    while at < len(formatted):
+        line = formatted.index("\n", at)
+        end = formatted.index(END, line)
+        split = _PLACEHOLDER.split(formatted[line + 1 : end])  # texts hold no control string, so these are attachments
+        parts: list[str | int] = [int(x) if i % 2 else unescape(x) for i, x in enumerate(split) if i % 2 or x]
+        turns.append((unescape_role(formatted[at + len(START) : line]), parts))
+        at = end + len(END) + 1
+    return turns
+
+
+_PLACEHOLDER = re.compile(r"<\|(?:image|audio|document):(\d+)\|>")
+
 FORMATTED = "conv_id {kind}, n_turns long, formatted string, loss_start array<long>, loss_length array<long>, attachments array<struct<index int, kind string, ref string, tokens long>>"
 
 
@@ -113,14 +132,17 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """One row per conversation: conv_id, n_turns, formatted, loss_start, loss_length, attachments.
 
     Turns are ordered by turn (null first), then role and text, so repeated rows are turns each and
-    reruns agree. A null role or text is empty; null conversation ids are one conversation. parts_col,
-    if given, holds a JSON list of parts (type, text, ref and measures) that stands for the text.
+    reruns agree. A null role or text is empty. A row without a conversation id belongs to no other row
+    and is a conversation of its own, so such rows meet nowhere. parts_col, if given, holds a JSON list
+    of parts (type, text, ref and measures) that stands for the text. Very long texts are formatted
+    whole. Other columns are not read. An empty table gives an empty result.
     A conversation is one string and so one task's work; conversations are spread by their ids.
     """
     kind = turns.schema[conv_col].dataType.simpleString()
     parts = F.col(parts_col) if parts_col else F.lit(None).cast("string")
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"), parts.cast("string").alias("parts"))
-    grouped = turns.select(F.col(conv_col).alias("conv_id"), row.alias("row")).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    lone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    grouped = turns.select(F.col(conv_col).alias("conv_id"), lone.alias("lone"), row.alias("row")).groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list("row")).alias("rows")).drop("lone")
 
     def run(batches):
         for batch in batches:
@@ -148,3 +170,18 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return formatted.select("conv_id", digest("formatted", "loss_start", "loss_length").alias("d")).select("conv_id", "d.*")
+
+
+def part_counts(formatted: DataFrame) -> DataFrame:
+    """(conv_id, images, audio, documents, attachment_tokens, text_chars) of each formatted conversation, its parts read back."""
+
+    @F.pandas_udf("images long, audio long, documents long, attachment_tokens long, text_chars long")
+    def count(text: pd.Series, attachments: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, its in zip(text, attachments, strict=True):
+            found = [p for _, parts in read_parts(x) for p in parts]
+            used = [its[p] for p in found if isinstance(p, int)]
+            out.append((*(sum(a["kind"] == k for a in used) for k in ("image", "audio", "document")), sum(a["tokens"] for a in used), sum(len(p) for p in found if isinstance(p, str))))
+        return pd.DataFrame(out, columns=["images", "audio", "documents", "attachment_tokens", "text_chars"])
+
+    return formatted.select("conv_id", count("formatted", "attachments").alias("d")).select("conv_id", "d.*")

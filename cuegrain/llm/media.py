@@ -1,7 +1,7 @@
 """Operator 9: media columns: WAV bytes, short-time Fourier transforms and spectral-peak fingerprints.
 
-A payload becomes an 8-bit mono WAV, losslessly. Fingerprints come from the stored bytes, read by the
-wave module: the strongest bands of each frame are its peaks, and each peak is paired with peaks of
+A payload becomes an 8-bit mono WAV, losslessly, in a table of media. Fingerprints come from the stored
+bytes, read by the wave module: the strongest bands of each frame are its peaks, and each peak is paired with peaks of
 the frames that follow; a pair's code holds both bands and the distance, its time is the first frame.
 """
 
@@ -15,9 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuegrain.llm.common import cut
+
 RATE = 8000
 UNIT = 64
 FRAME, HOP = 256, 128
@@ -27,9 +30,10 @@ SHORT_FRAME, SHORT_HOP = 16, 8
 GROUPS = ((1, 10), (10, 20), (20, 40), (40, 80), (80, 129))
 #: Frames that a peak looks ahead.
 AHEAD = 3
-#: Frames transformed at a time, so that long media need bounded memory.
+#: Frames transformed at a time. What a task holds beyond that grows with its longest text alone: its bytes and its pairs.
 CHUNK = 4096
-TEXTS = 500
+#: Texts, and bytes of them, handled together.
+TEXTS, BYTES = 500, 32_000_000
 
 
 def payload_of(data: bytes) -> bytes:
@@ -89,14 +93,26 @@ def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return time[order].astype(np.int32), code[order].astype(np.int32)
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most TEXTS rows and about BYTES bytes in the column; one longer value is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == TEXTS or held + n > BYTES):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): each whole text, null as empty, as the bytes of a WAV."""
+    """(id, n_bytes, media): each whole text, null as empty, as the bytes of a WAV. Other columns are not read; an empty table gives none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in _parts(batch, 1):
                 data = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([to_wav(payload_of(d)) for d in data], pa.binary())], names=["id", "n_bytes", "media"])
 
@@ -106,15 +122,16 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def media_features(media: DataFrame) -> DataFrame:
     """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, times, codes) read from the media column.
 
-    feature is a digest of the fingerprint: the number of pairs and a hash of all times and codes.
+    times and codes are the fingerprint: the frame of each pair, and its code, in order of time and code.
+    feature is its digest: the number of pairs and a hash of all times and codes. Equal media give equal
+    values, repeated rows too; an empty table gives an empty result.
     """
     kind = media.schema["id"].dataType.simpleString()
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for part in _parts(batch, 2):
                 rows: list[list] = [[] for _ in names[2:]]
                 for stored in part.column(2).to_pylist():
                     payload, _ = from_wav(stored)
@@ -130,5 +147,9 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """media_features of media_column: repeated rows give equal values; other columns are not read."""
-    return media_features(media_column(docs, id_col, text_col))
+    """media_features of the media_column, which is written as a table and read back.
+
+    A null text is an empty one, whose payload is one unit of zeros. Null ids are kept, repeated rows give
+    equal values, very long texts are handled whole. Other columns are not read. An empty table gives none.
+    """
+    return media_features(cut(media_column(docs, id_col, text_col), "media"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrain.llm.chat_format import conversation_digests, format_conversations
+from cuegrain.llm.chat_format import conversation_digests, format_conversations, part_counts
 from cuegrain.llm.exact_dedup import exact_dedup
 from cuegrain.llm.html_extract import extract_text
 from cuegrain.llm.media import text_media
@@ -73,9 +73,39 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns))
 
 
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 with typed parts: each turn's text in two halves around an image, then audio or a document by its number."""
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn")
+    half = F.floor(F.length(text) / 2).cast("int")
+    name = lambda kind: F.concat(F.lit(f"{kind}-"), F.col("conv_id"), F.lit("-"), turn)
+
+    def part(kind: str, **fields: Column) -> Column:
+        kinds = {"text": "string", "ref": "string", "width": "long", "height": "long", "seconds": "long", "pages": "long"}
+        return F.struct(F.lit(kind).alias("type"), *[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+
+    parts = [
+        part("text", text=F.substring(text, F.lit(1), half)),
+        part("image", ref=name("image"), width=300 * (turn % 4 + 1), height=F.lit(512)),
+        part("text", text=F.substring(text, half + 1, F.length(text))),
+        F.when(turn % 2 == 0, part("audio", ref=name("audio"), seconds=F.length(text) % 30)),
+        F.when(turn % 3 == 0, part("document", ref=name("document"), pages=F.length(text) % 5 + 1)),
+    ]
+    turns = _table(spark, sf_dir, "conversations").withColumn("parts", F.to_json(F.filter(F.array(*parts), lambda p: p.isNotNull())))
+    return part_counts(format_conversations(turns, parts_col="parts"))
+
+
+CHAT_PARTS_SQL = """
+SELECT conv_id, count(*) AS images, count(*) FILTER (WHERE turn % 2 = 0) AS audio, count(*) FILTER (WHERE turn % 3 = 0) AS documents,
+       CAST(sum(CAST(ceil(300 * (turn % 4 + 1) / 512.0) AS BIGINT) * 170
+           + CASE WHEN turn % 2 = 0 THEN greatest(1, length(coalesce(text, '')) % 30 * 25) ELSE 0 END
+           + CASE WHEN turn % 3 = 0 THEN (length(coalesce(text, '')) % 5 + 1) * 600 ELSE 0 END) AS BIGINT) AS attachment_tokens,
+       CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS text_chars
+FROM conversations GROUP BY conv_id
+"""
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_media(_table(spark, sf_dir, "documents"))
-    return found.drop("times", "codes").withColumnRenamed("id", "doc_id")
+    return text_media(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": op6_exact_dedup,
         "op7_toxicity": op7_toxicity,
         "op8_chat_format": op8_chat_format,
+        "chat_parts": chat_parts,
         "op9_media_columns": op9_media_columns,
         "op10_best_fit_packing": op10_best_fit_packing,
         "pipeline": pipeline,
@@ -105,4 +136,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "chat_parts": CHAT_PARTS_SQL}

@@ -324,6 +324,33 @@ def test_parts_are_flattened_in_order():
         C.format_conversation([("user", [{"type": "smell"}])])
 
 
+@pytest.mark.parametrize("control", [C.START, C.END, "<|image:0|>", "<\\|im_end|>", "<\\\\|document:1|>", "<<|im_start|>"])
+def test_no_split_of_a_control_string_forges_it(control):
+    n = len(control)
+    for i in range(n + 1):
+        for j in range(i, n + 1):
+            pieces = [control[:i], control[i:j], control[j:]]
+            made = C.format_conversation([("user", [{"text": p} for p in pieces]), ("assistant", [{"text": pieces[0]}, {"type": "image", "ref": "r"}, {"text": pieces[1]}, {"type": "audio", "ref": "s"}, {"text": pieces[2]}])])
+            assert made.text.count(C.START) == made.text.count(C.END) == 2
+            assert C.read_parts(made.text) == [("user", [control]), ("assistant", [p for p in (pieces[0], 0, pieces[1], 1, pieces[2]) if p != ""])]
+            assert C.read_conversation(made.text)[0] == ("user", control)
+
+
+def test_parts_query_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SMALL}/conversations.parquet'")
+    columns = ["conv_id", "images", "audio", "documents", "attachment_tokens", "text_chars"]
+    theirs = sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({Q.CHAT_PARTS_SQL})").fetchall())
+    assert sorted(tuple(r) for r in Q.chat_parts(spark, SMALL).select(columns).collect()) == theirs
+
+
+def test_rows_without_a_conversation_stay_alone(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "c")], "conv_id long, turn long, role string, text string")
+    assert sorted((r.conv_id or 0, r.n_turns) for r in C.format_conversations(df).collect()) == [(0, 1), (0, 1), (1, 2)]
+
+
 def test_chat_query(spark):
     got = {r.conv_id: r for r in Q.op8_chat_format(spark, SMALL).collect()}
     rows = spark.read.parquet(f"{SMALL}/conversations.parquet").orderBy("conv_id", "turn").collect()
@@ -368,6 +395,44 @@ def test_media(spark):
     assert M.text_media(df.where("false")).count() == 0
 
 
+def plain_fingerprint(payload):
+    """The fingerprint by the definition, sample by sample."""
+    size, hop = (256, 128) if len(payload) > 256 else (16, 8)
+    n = max(1, -(-(len(payload) - size) // hop) + 1)
+    x = [(b - 128) / 128 for b in payload] + [0.0] * ((n - 1) * hop + size - len(payload))
+    w = [0.5 - 0.5 * np.cos(2 * np.pi * i / (size - 1)) for i in range(size)]
+    peaks = []
+    for f in range(n):
+        frame = np.array([x[f * hop + i] * w[i] for i in range(size)])
+        level = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(size) / 256))) for k in range(129)]
+        best = [max(range(lo, hi), key=lambda k: (level[k], -k)) for lo, hi in M.GROUPS]
+        peaks.append([k if level[k] > np.mean(level) else -1 for k in best])
+    pairs = []
+    for t in range(n):
+        for step in range(1, M.AHEAD + 1):
+            for g in range(len(M.GROUPS)):
+                for h in (g, (g + step) % len(M.GROUPS)):
+                    if t + step < n and peaks[t][g] >= 0 and peaks[t + step][h] >= 0:
+                        pairs.append((t, (peaks[t][g] << 10) | (peaks[t + step][h] << 2) | step))
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("n", [0, 40, 256, 257, 700])
+def test_fingerprints_against_their_definition(n):
+    payload = M.payload_of("".join(chr(97 + x) for x in np.random.default_rng(n).integers(0, 26, n)).encode())
+    times, codes = M.fingerprints(payload)
+    assert list(zip(times.tolist(), codes.tolist(), strict=True)) == plain_fingerprint(payload)
+
+
+def test_media_in_slices_of_bounded_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "BYTES", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["12345", None, "123456", "x" * 50, "1"])], names=["id", "text"])
+    assert [p.column(0).to_pylist() for p in M._parts(batch, 1)] == [[0, 1], [2], [3], [4]]
+    assert list(M._parts(batch.slice(0, 0), 1)) == []
+
+
 def test_fingerprints_follow_the_sound():
     t = np.arange(8000)
     tone = lambda f: (128 + 100 * np.sin(2 * np.pi * f * t / 8000)).astype(np.uint8).tobytes()
