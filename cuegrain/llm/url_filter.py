@@ -1,7 +1,7 @@
 """Operator 3: URL filters: host and path rules, and logistic regression on hashed character n-grams.
 
-The classifier is trained from a small labelled URL table; the one here is an example that names the
-words of unwanted sites and of ordinary ones, and callers pass their own.
+The classifier is trained from a small labelled URL table. The one here is made by a rule from
+words of kinds of unwanted and of ordinary sites; callers may pass a table of (url, label) of their own.
 """
 
 from __future__ import annotations
@@ -24,69 +24,60 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-# Labelled URLs, fixed values: 1 is unwanted.
-LABELLED_URLS = (
-    ("http://www.cheap-pills.example.com/en/12", 1),
-    ("https://cheap-pills-online.example.net/order", 1),
-    ("https://discount-pharmacy.example.org/pills/7", 1),
-    ("http://buy-pills.example.com/no-prescription", 1),
-    ("https://m.free-bets.example.com/de/216.html", 1),
-    ("http://free-bets-today.example.org/sign-up", 1),
-    ("https://sports-betting.example.net/bets/odds", 1),
-    ("https://blog.casino-win.example.net/fr/9", 1),
-    ("http://casino-bonus.example.com/slots", 1),
-    ("https://online-casino.example.org/win/jackpot", 1),
-    ("http://win-poker-money.example.net/play", 1),
-    ("https://adult-x.example.com/es/8", 1),
-    ("http://adult-video-x.example.org/watch", 1),
-    ("https://xxx-cams.example.net/live", 1),
-    ("http://hot-singles.example.com/dating", 1),
-    ("https://www.spam-farm.example.org/en/1", 1),
-    ("http://link-farm.example.net/links/4", 1),
-    ("https://seo-spam.example.com/backlinks", 1),
-    ("http://spam-links.example.org/buy", 1),
-    ("https://m.ads-track.example.com/en/77", 1),
-    ("http://ads-tracker.example.net/pixel?id=1", 1),
-    ("https://click-track.example.org/redirect", 1),
-    ("http://banner-ads.example.com/serve", 1),
-    ("https://fast-loans.example.net/apply-now", 1),
-    ("http://get-rich-quick.example.org/money", 1),
-    ("https://fake-watches.example.com/replica", 1),
-    ("http://free-download-crack.example.net/keygen", 1),
-    ("https://win-free-phone.example.org/prize", 1),
-    ("https://tionsh.example.net/en/231", 0),
-    ("http://blog.ththan.example.net/en/78", 0),
-    ("https://therin.example.net/en/48", 0),
-    ("https://thther.example.org/de/606", 0),
-    ("http://www.therwh.example.org/en/297", 0),
-    ("https://m.ththor.example.net/es/12", 0),
-    ("https://news.example.org/2024/05/science", 0),
-    ("https://www.weather.example.com/today", 0),
-    ("http://library.example.org/books/history", 0),
-    ("https://university.example.net/courses/math", 0),
-    ("https://recipes.example.com/bread", 0),
-    ("http://museum.example.org/exhibits/5", 0),
-    ("https://docs.example.net/python/tutorial", 0),
-    ("https://blog.example.com/2023/garden", 0),
-    ("http://forum.example.org/thread/1234", 0),
-    ("https://city-council.example.net/minutes", 0),
-    ("https://health.example.org/articles/sleep", 0),
-    ("http://www.travel.example.com/fr/paris", 0),
-    ("https://music.example.net/reviews/89", 0),
-    ("https://shop.example.com/shoes", 0),
-    ("http://maps.example.org/region/north", 0),
-    ("https://en.encyclopedia.example.net/article/River", 0),
-    ("https://open-data.example.org/tables/3", 0),
-    ("http://school.example.com/de/klasse/7", 0),
-    ("https://sports.example.net/results/tennis", 0),
-    ("https://film.example.org/es/cine/44", 0),
-    ("http://code.example.com/project/readme", 0),
-    ("https://law.example.net/cases/1999", 0),
+# Words of unwanted and of ordinary sites, by kind; the labelled urls are made of them, apart from any table.
+UNWANTED_WORDS = (
+    "casino poker slots jackpot roulette betting bets odds gambling bingo lottery wager",
+    "pills pharmacy meds tablets drugs prescription generic viagra slimming diet",
+    "adult xxx sex nude cams webcams dating singles escort naughty hot",
+    "loans cash payday credit forex crypto profit rich earn income invest",
+    "spam backlinks links seo traffic farm bulk spinner directory",
+    "ads adserver banner click clicks tracker tracking track popunder pixel affiliate",
+    "replica fake cheap outlet keygen crack warez torrent serial cracked",
+    "prize winner win free claim giveaway survey verify miracle bonus offer",
 )
+ORDINARY_WORDS = (
+    "news herald times post journal review daily press weather editorial",
+    "university college school institute library museum archive research science physics",
+    "parliament council court city town government hospital health public records",
+    "docs code developer project linux reference guide forum tools data",
+    "garden kitchen recipes bread cooking hiking travel hotel mountain railway",
+    "music film theatre orchestra books novels art history culture festival",
+    "football tennis chess running cycling league club sports swimming rowing",
+    "shop furniture shoes bicycle market farm bakery repairs design studio",
+)
+NEUTRAL_PATHS = ("/", "/en/{}", "/page/{}", "/de/{}.html", "/fr/{}?page=2", "/es/{}", "/2024/05/{}", "/index.html")
+DOMAINS = ("com", "org", "net", "info")
+#: Syllables of invented names, which most ordinary sites have.
+SYLLABLES = "ba lor mi run ne tas ko vir da fel su gan pe hol zi mar".split()
+
+
+def labelled_urls() -> tuple[tuple[str, int], ...]:
+    """(url, label), 1 for unwanted: each word alone, before and after the next ones of its kind in a host, and in a path; and invented names."""
+    out = []
+    for label, kinds in ((1, UNWANTED_WORDS), (0, ORDINARY_WORDS)):
+        began = len(out)  # both labels go through the same numbers, paths and domains
+        for kind in kinds:
+            words = kind.split()
+            for i, w in enumerate(words):
+                near, far = words[(i + 1) % len(words)], words[(i + 3) % len(words)]
+                for j, host in enumerate((w, f"{w}-{near}", f"{near}{w}", f"www.{far}-{w}", "")):
+                    n = len(out) - began
+                    path = NEUTRAL_PATHS[n % len(NEUTRAL_PATHS)].format(n)
+                    host = host or ("abcdefgh"[n % 8] * 2 + "site")
+                    out.append((f"http{'s' * (n % 2)}://{host}.{DOMAINS[(n + j) % len(DOMAINS)]}{f'/{w}/{far}' if j == 4 else path}", label))
+    names = [f"{a}{b}{c}" for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES) for c in (SYLLABLES[(3 * i + j) % len(SYLLABLES)],)]
+    for n, name in enumerate(names):
+        host = ("", "www.", "m.", "blog.")[n // 4 % 4] + name
+        out.append((f"http{'s' * (n % 2)}://{host}.{DOMAINS[n % len(DOMAINS)]}{NEUTRAL_PATHS[n // 2 % len(NEUTRAL_PATHS)].format(n)}", 0))
+    return tuple(out)
+
+
+#: Log odds of a url without evidence: fixed, so that hosts of unknown words are allowed.
+NO_EVIDENCE = -1.0
 
 BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
-EPOCHS, RATE, RIDGE = 400, 4.0, 1e-3
+EPOCHS, RATE, RIDGE = 800, 4.0, 1e-4
 
 
 def host_of(url: Column) -> Column:
@@ -144,34 +135,46 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate({c: c + 32 for c in range(65, 91)}), rest[end:stop]
 
 
-def train(labelled: tuple[tuple[str, int], ...] = LABELLED_URLS) -> UrlModel:
+#: Rows of a labelled table that the model is fitted on at most, in the order of a hash of the url.
+MOST_LABELLED = 20_000
+
+
+def labelled_rows(table: DataFrame, url_col: str = "url", label_col: str = "label", most: int = MOST_LABELLED) -> tuple[tuple[str, int], ...]:
+    """Distinct (url, label) rows of a small labelled table, at most `most`; null urls, and labels other than 0 and 1, are not used."""
+    rows = table.select(F.col(url_col).alias("url"), F.col(label_col).cast("int").alias("label")).where("url IS NOT NULL AND label IN (0, 1)").distinct()
+    return tuple((r.url, r.label) for r in rows.orderBy(F.xxhash64("url"), "url", "label").limit(most).collect())
+
+
+def train(labelled: tuple[tuple[str, int], ...] | None = None) -> UrlModel:
     """Ridge-regularised logistic regression by gradient descent on n-gram counts over the root of their sum."""
+    labelled = labelled_urls() if labelled is None else labelled
     rows, cols = [], []
     for k, (url, _) in enumerate(labelled):
         host, path = split_url(url)
         found = ngrams(host, "h") + ngrams(path, "p")
         rows += [k] * len(found)
         cols += found
-    x = np.zeros((len(labelled), BUCKETS), np.float64)
-    np.add.at(x, (rows, cols), 1)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+    share = (1 / np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(labelled)))))[rows]
     y = np.array([label for _, label in labelled], np.float64)
-    weights, bias = np.zeros(BUCKETS), 0.0
-    for _ in range(EPOCHS):
-        error = 1 / (1 + np.exp(-(x @ weights + bias))) - y
-        weights -= RATE * (x.T @ error / len(y) + RIDGE * weights)
-        bias -= RATE * error.mean()
-    return UrlModel(weights, bias)
+    weights = np.zeros(BUCKETS)
+    for _ in range(EPOCHS if len(y) else 0):
+        z = NO_EVIDENCE + np.bincount(rows, weights[cols] * share, len(y))
+        error = 1 / (1 + np.exp(-z)) - y
+        weights -= RATE * (np.bincount(cols, error[rows] * share, BUCKETS) / len(y) + RIDGE * weights)
+    return UrlModel(weights, NO_EVIDENCE)
 
 
-def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, model: UrlModel | None = None) -> DataFrame:
+def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, model: UrlModel | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, score) per row.
 
     verdict is the longest fitting rule's; without one, block if the classifier's score is 0.5 or more,
     else allow. A null or malformed url has an empty host and path, fits no rule and is scored as such.
-    Repeated rows are judged alike; columns other than the two are not read.
+    Very long urls are judged whole. Repeated rows are judged alike; columns other than the two are not
+    read. An empty table gives an empty result. labelled (url, label) trains the classifier in the place
+    of the table here; model is a trained one.
     """
-    model = model or train()
+    model = model or train(None if labelled is None else labelled_rows(labelled))
     shared = pages.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     @F.pandas_udf("double")

@@ -162,11 +162,39 @@ def test_urls(spark):
     assert U.url_verdicts(pages.where("false")).count() == 0
 
 
-def test_url_model_knows_unseen_pages_of_a_kind():
+# Sites of names that the labelled table lacks: its precision and recall on them stand in the README.
+UNSEEN_UNWANTED = """http://grand-casino-nights.com/tables http://pokerstarsclub.net/en/4 https://bets-of-the-day.org/tips https://slotsmania.com/fr/2 https://cheap-tablets.example.org/buy
+http://meds-without-prescription.net/ https://diet-pills-store.com/de/9 http://adult-webcams.org/en/1 https://sexy-singles-chat.com/join http://xxx-movies.net/es/5 https://instant-cash-loan.org/apply
+http://crypto-profit-now.com/invest https://seo-links-market.net/order http://spamlinks.org/en/44 https://ads-banner-network.com/serve http://clicktracking.net/redirect?id=4 https://replica-bags-sale.com/
+http://keygen-crack-download.org/full https://claim-your-prize.net/winner http://secure-login-verify.com/account""".split()
+UNSEEN_ORDINARY = """https://eveningpost.com/world/treaty http://www.villagenews.org/en/sports https://chemistry.institute.edu/lectures http://nationalarchive.gov/records/1850 https://docs.compiler.io/reference/types
+http://breadbakers.net/recipes/rye https://mountainhuts.org/routes/north http://stadtmuseum.de/de/ausstellung https://ecole-du-sud.fr/fr/cours http://universidad.es/es/noticias/41 https://stringquartet.org/concerts
+http://bookreview.net/novels/2020 https://rowingclub.com/results http://hospitaltrust.org/visitors https://geology.edu/maps/coast http://oakfurniture.com/chairs https://blog.thering.example.org/en/5.html
+http://www.ththat.example.net/de/410 https://ththin.example.com/en/3 http://m.ousely.org/es/77 https://eaux-reau.example.net/fr/9 http://inerly.com/en/2024/a?page=2 https://nicht-aulich.de/de/7 http://asonci.net/12""".split()
+
+
+def test_url_model_on_unseen_names():
     m = U.train()
     p = lambda u: m.probability(*(m.part(x, k) for x, k in zip(U.split_url(u), "hp", strict=True)))
-    assert all(p(u) >= 0.5 for u in ("https://casino-win.example.org/de/4", "http://adult-x.example.net/en/99", "https://cheap-pills.example.org/en/7/"))
-    assert all(p(u) < 0.5 for u in ("https://blog.thering.example.org/en/5.html", "http://www.ththat.example.net/de/410", "https://news.example.net/politics"))
+    hosts = {U.split_url(u)[0] for u, _ in U.labelled_urls()}
+    assert not hosts & {U.split_url(u)[0] for u in UNSEEN_UNWANTED + UNSEEN_ORDINARY}
+    caught, wrong = sum(p(u) >= 0.5 for u in UNSEEN_UNWANTED), sum(p(u) >= 0.5 for u in UNSEEN_ORDINARY)
+    assert caught >= 0.75 * len(UNSEEN_UNWANTED) and wrong <= 0.05 * len(UNSEEN_ORDINARY)
+
+
+def test_labelled_urls_are_no_pages_of_the_tables(spark):
+    hosts = {r.host for r in spark.read.parquet(f"{SMALL}/pages.parquet").select(U.host_of(F.col("url")).alias("host")).collect()}
+    assert not hosts & {U.split_url(u)[0] for u, _ in U.labelled_urls()}
+
+
+def test_a_labelled_table_and_odd_urls(spark):
+    labelled = spark.createDataFrame([(f"http://bad{i}.net/zzz", 1) for i in range(9)] + [(f"http://good{i}.net/aaa", 0) for i in range(9)] + [(None, 1), ("http://x/", None), ("http://bad1.net/zzz", 1)], "url string, label int")
+    assert len(U.labelled_rows(labelled)) == 18
+    rows = [(1, "http://bad77.org/zzz"), (1, "http://bad77.org/zzz"), (2, "http://good77.org/aaa"), (3, "http://h.org/" + "q" * 500_000), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = U.url_verdicts(pages, labelled=labelled).collect()
+    assert len(got) == 5 and [r.verdict for r in got if r.id == 1] == ["block"] * 2 and [r.verdict for r in got if r.id == 2] == ["allow"]
+    assert [len(r.path) for r in got if r.id == 3] == [500_001] and U.train(()).weights.sum() == 0
 
 
 # --- html -----------------------------------------------------------------------------------------
