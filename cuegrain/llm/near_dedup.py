@@ -144,19 +144,6 @@ def _prune(threshold: float):
     return survives
 
 
-def _exact(percent: int):
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(a, b, strict=True):
-            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pd.Series(out, dtype=bool)
-
-    return linked
-
-
 class _Verifier:
     """Decides pairs (low, high) of rows: Bayesian pruning on signatures, then the full sets."""
 
@@ -168,13 +155,15 @@ class _Verifier:
         b = self.reps.select(F.col("row").alias("high"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         near = pairs.join(a, "low").join(b, "high").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
         near = cut(near.where(_prune(self.percent / 100)("sa", "sb")).select("low", "high"), "survivors")
-        sets = self.sets(near.select(F.col("low").alias("row")).union(near.select("high")).distinct())
+        sets = self.sets(near.select(F.col("low").alias("row")).union(near.select("high")).distinct(), "array<long>")
         p = sets.select(F.col("row").alias("low"), F.col("items").alias("pa"))
         q = sets.select(F.col("row").alias("high"), F.col("items").alias("pb"))
-        return near.join(p, "low").join(q, "high").where(_exact(self.percent)("pa", "pb")).select("low", "high")
+        common = F.size(F.array_intersect("pa", "pb"))
+        both = near.join(p, "low").join(q, "high")
+        return both.where(100 * common >= self.percent * (F.size("pa") + F.size("pb") - common)).select("low", "high")
 
-    def sets(self, rows: DataFrame) -> DataFrame:
-        """(row, items) of some rows, made again from their texts."""
+    def sets(self, rows: DataFrame, form: str) -> DataFrame:
+        """(row, items) of some rows, made again from their texts; form is array<long>, or binary for numpy."""
         width = self.width
         wanted = cut(self.reps.join(rows, "row", "left_semi").select("row", "id", "digest"), "wanted")
         ids = broadcast_below(cut(wanted.select(F.col("id").alias("wanted_id")).distinct(), "wanted-ids"))
@@ -184,11 +173,13 @@ class _Verifier:
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    items = [shingles(t, width).tobytes() for t in part.column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([blake2b(x, digest_size=16).digest() for x in items], pa.binary()), pa.array(items, pa.binary())], names=["id", "digest", "items"])
+                    items = [shingles(t, width) for t in part.column(1).to_pylist()]
+                    digests = pa.array([blake2b(x.tobytes(), digest_size=16).digest() for x in items], pa.binary())
+                    held = pa.array([x.tobytes() for x in items], pa.binary()) if form == "binary" else pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), digests, held], names=["id", "digest", "items"])
 
         chosen = self.docs.join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
-        made = chosen.mapInArrow(run, f"id {kind}, digest binary, items binary").alias("m")
+        made = chosen.mapInArrow(run, f"id {kind}, digest binary, items {form}").alias("m")
         w = broadcast_below(wanted).alias("w")
         same = F.col("m.id").eqNullSafe(F.col("w.id")) & (F.col("m.digest") == F.col("w.digest"))
         # rows repeated with one id and text give one set, chosen as any of them
@@ -252,7 +243,7 @@ def _links_in_dense(verifier: _Verifier, dense: DataFrame) -> tuple[DataFrame, D
     hubs = dense.groupBy("key").agg(F.min("node").alias("low"))
     clusters = components(dense.join(hubs, "key").where("low < node").select("low", F.col("node").alias("high")))
     clusters = cut(clusters.withColumnRenamed("component", "cluster"), "clusters")
-    sets = verifier.sets(clusters.select(F.col("node").alias("row")))
+    sets = verifier.sets(clusters.select(F.col("node").alias("row")), "binary")
     known = dense.select("node", "component").distinct()
     rows = clusters.join(known, "node").withColumnRenamed("node", "row").join(sets, "row").join(verifier.reps.select("row", "n", "sig"), "row")
     rows = cut(rows, "dense-rows")

@@ -40,7 +40,7 @@ ROWS_PER_CLASS = 1500
 #: Characters of the training texts of each class at most, in the same order; a text beyond the bound is not trained on.
 CHARS_PER_CLASS = 12_000_000
 #: Words whose sums a worker keeps at most; later ones are summed each time.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 TEXTS = 500
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +83,10 @@ class Model:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
-    """Vectors and softmax together, by stochastic gradient descent with momentum. bags: distinct buckets and their shares of a document."""
+    """Vectors and softmax together, by stochastic gradient descent with momentum. bags: distinct buckets and their shares of a document.
+
+    The list is emptied as its bags are laid end to end, so that the sample is held once.
+    """
     rng = np.random.default_rng(seed)
     texts = np.zeros(BUCKETS, np.int32)
     for buckets, _ in bags:
@@ -91,17 +94,24 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     used = np.flatnonzero(texts >= LEAST_TEXTS)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    bags = [(place[b][place[b] >= 0], s[place[b] >= 0] * np.float32(SCALE)) for b, s in bags]
+    ends = np.cumsum([0, *(int((texts[b] >= LEAST_TEXTS).sum()) for b, _ in bags)])
+    flat, shares = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    n = len(bags)
+    for i in range(n - 1, -1, -1):
+        buckets, share = bags.pop()
+        known = place[buckets] >= 0
+        flat[ends[i] : ends[i + 1]] = place[buckets[known]]
+        shares[ends[i] : ends[i + 1]] = share[known] * np.float32(SCALE)
     vectors = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
-    weights, bias = rng.normal(0, DIM**-0.5, (DIM, 2)).astype(np.float32), np.array([0, NO_EVIDENCE if len(bags) else 0], np.float32)
+    weights, bias = rng.normal(0, DIM**-0.5, (DIM, 2)).astype(np.float32), np.array([0, NO_EVIDENCE if n else 0], np.float32)
     move_v, move_w = np.zeros_like(vectors), np.zeros_like(weights)
     one_hot = np.eye(2, dtype=np.float32)[labels]
-    for epoch in range(EPOCHS if len(bags) else 0):
+    for epoch in range(EPOCHS if n else 0):
         rate = RATE * (1 - epoch / EPOCHS)
-        for chosen in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // BATCH)):
-            idx = np.concatenate([bags[i][0] for i in chosen])
-            share = np.concatenate([bags[i][1] for i in chosen])
-            sizes = np.array([len(bags[i][0]) for i in chosen])
+        for chosen in np.array_split(rng.permutation(n), max(1, n // BATCH)):
+            idx = np.concatenate([flat[ends[i] : ends[i + 1]] for i in chosen])
+            share = np.concatenate([shares[ends[i] : ends[i + 1]] for i in chosen])
+            sizes = ends[chosen + 1] - ends[chosen]
             row = np.repeat(np.arange(len(chosen)), sizes)
             mean = np.zeros((len(chosen), DIM), np.float32)
             if len(idx):
@@ -110,8 +120,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = (p / p.sum(axis=1, keepdims=True) - one_hot[chosen]) / len(chosen)
             back = (error @ weights.T)[row] * share[:, None]
-            grad = np.stack([np.bincount(idx, back[:, k], len(used)) for k in range(DIM)], axis=1).astype(np.float32)
-            move_v = MOMENTUM * move_v + grad + DECAY * vectors
+            move_v *= MOMENTUM
+            for k in range(DIM):
+                move_v[:, k] += np.bincount(idx, back[:, k], len(used)).astype(np.float32)
+            move_v += DECAY * vectors
             move_w = MOMENTUM * move_w + mean.T @ error + DECAY * weights
             vectors -= rate * move_v
             weights -= 0.1 * rate * move_w
@@ -161,9 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "crc", "label", "buckets", "shares"])
 
     def learn(sample: pa.Table) -> pa.Table:
-        rows = [(i, c, y, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for i, c, y, b, s in zip(*(sample[x].to_pylist() for x in ("id", "crc", "label", "buckets", "shares")), strict=True)]
-        rows.sort(key=lambda r: r[:3])
-        model = train([r[3:] for r in rows], np.array([r[2] for r in rows], np.int64))
+        keys = list(zip(*(sample[x].to_pylist() for x in ("id", "crc", "label")), strict=True))
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        buckets, shares = sample["buckets"], sample["shares"]  # numpy looks at their buffers: no copy
+        bags = [(np.frombuffer(buckets[i].as_buffer(), np.int32), np.frombuffer(shares[i].as_buffer(), np.float32)) for i in order]
+        model = train(bags, np.array([keys[i][2] for i in order], np.int64))
         used = np.flatnonzero(model.vectors.any(axis=1)).astype(np.int32)
         parts = [used, model.vectors[used], model.weights.astype(np.float32), model.bias]
         return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["used", "vectors", "weights", "bias"])
