@@ -6,6 +6,9 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cuegrain.llm.common import cut
@@ -16,6 +19,19 @@ from cuegrain.llm.packing import best_fit_packing
 from cuegrain.llm.toxicity import drop_toxic
 
 
+#: Rows handed to Python at a time. Whole texts may be long, and each task holds some copies of such a batch.
+BATCH_ROWS = 2_000
+
+
+def _in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -37,11 +53,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", without_toxic),
-    ("exact_dedup", without_exact_copies),
-    ("near_dedup", without_near_copies),
-    ("mixing", mixed),
-    ("packing", packed),
+    ("toxicity", _in_small_batches(without_toxic)),
+    ("exact_dedup", _in_small_batches(without_exact_copies)),
+    ("near_dedup", _in_small_batches(without_near_copies)),
+    ("mixing", _in_small_batches(mixed)),
+    ("packing", _in_small_batches(packed)),
 ]
 
 #: The toxicity stage is a trained model, which SQL cannot express; tests hold run() against a brute-force version.
