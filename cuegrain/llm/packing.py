@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrain.llm.common import cut
-from cuegrain.llm.tokens import END_ID, encoder, tokenizer_path
+from cuegrain.llm.tokens import END_ID, Encoder, encoder, tokenizer_path
 
 ROOM = 1024
 #: Pieces of a group, about; each group is packed on its own and wastes at most about one sequence more.
@@ -20,17 +20,19 @@ GROUP_PIECES = 50_000
 TEXTS = 500
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, room: int = ROOM, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, room: int = ROOM, end_id: int = END_ID, keep_ids: bool = False, known_words: int | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document; the first piece may be shorter.
 
     A document of at most `room` ids is one piece. Of a longer one the first piece takes what is left
     over and all others are full. A null text is an empty one, which has its end id only.
+    A worker remembers the ids of words from one task to the next; with known_words, it remembers that
+    many and only within a task, which takes less memory and more time.
     """
     tokenizer = tokenizer or tokenizer_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id) if known_words is None else Encoder(tokenizer, end_id, known_words)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
@@ -123,9 +125,11 @@ def pack_pieces(found: DataFrame, room: int = ROOM, group_pieces: int = GROUP_PI
     return dealt.groupBy("packing_group").applyInPandas(run, placed)
 
 
-def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, room: int = ROOM) -> DataFrame:
+def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, room: int = ROOM, group_pieces: int = GROUP_PIECES, known_words: int | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) per piece of every document.
 
-    Repeated rows are packed each. Columns other than the two are not read. An empty table gives none.
+    A null or empty text is one piece, its end id; null ids are kept; a very long text is cut into full
+    pieces. Ties in length keep the order of rows. Repeated rows are packed each. Columns other than the
+    two are not read. An empty table gives none.
     """
-    return pack_pieces(pieces(docs, id_col, text_col, tokenizer, room), room)
+    return pack_pieces(pieces(docs, id_col, text_col, tokenizer, room, known_words=known_words), room, group_pieces)

@@ -89,8 +89,11 @@ class Blob:
         return self.range(int(self.firsts[k]), int(self.firsts[k + 1]))
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
-    """Encode every whole text, null as empty, and write the ids in ascending id order (null ids first)."""
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None, blob_ids: int = BLOB_IDS) -> None:
+    """Encode every whole text, null as empty, and write the ids in ascending id order (null ids first, rows of one id by their texts).
+
+    A text of any length is one document of one blob; a blob ends with the document that fills it.
+    """
     tokenizer = tokenizer or tokenizer_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -112,7 +115,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 for name, ids in zip(piece.column(0).to_pylist(), encode.encode(piece.column(1).to_pylist()), strict=True):
                     held.append(ids), names.append(name)
                     total += len(ids) // 4
-                    if total >= BLOB_IDS:
+                    if total >= blob_ids:
                         yield close()
                         part, held, names, total = part + 1, [], [], 0
         if held:
@@ -120,19 +123,22 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id")
+    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     dealt.mapInArrow(run, f"shard int, part int, n_ids long, ids array<{kind}>, blob binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) per document, unpacked from the written blobs.
 
-    start counts the ids of all documents before it; the running total is over blobs, a row each.
+    start counts the ids of all documents before it; running totals are over a shard's blobs, then over
+    the shards, a row each.
     """
     blobs = spark.read.parquet(path)
     kind = blobs.schema["ids"].dataType.elementType.simpleString()
-    before = F.sum("n_ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids")
-    offsets = blobs.select("shard", "part", "n_ids").select("shard", "part", before.alias("before"))
+    inside = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part")) - F.col("n_ids")
+    shards = blobs.groupBy("shard").agg(F.sum("n_ids").alias("all"))
+    shards = shards.select("shard", (F.sum("all").over(Window.orderBy("shard")) - F.col("all")).alias("earlier"))
+    offsets = blobs.select("shard", "part", inside.alias("inside")).join(shards, "shard").select("shard", "part", (F.col("inside") + F.col("earlier")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,12 +156,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return got.join(offsets, ["shard", "part"]).select("id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, **options) -> DataFrame:
     """Write the ids of docs to path (scratch space if none) and read them back.
 
-    Every row counts, repeated ones too; rows with one id are in any order among themselves. Columns
-    other than the two are not read. An empty table writes an empty folder and gives no rows.
+    Every row counts, repeated ones too; null ids come first, and rows with one id stand in the order of
+    their texts. Very long texts are encoded whole. Columns other than the two are not read. An empty
+    table writes an empty folder and gives no rows.
     """
     path = path or scratch_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, id_col, text_col, tokenizer)
+    write_tokens(docs, path, id_col, text_col, tokenizer, **options)
     return read_tokens(docs.sparkSession, path)

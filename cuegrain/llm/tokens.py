@@ -32,12 +32,13 @@ class Encoder:
     ids one after another: the same ids as from the whole text, in a fraction of the time.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, known_words: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end_id.to_bytes(4, "little")
+        self.most = KNOWN_WORDS if known_words is None else known_words
         self.heads: dict[str, bytes] = {}  # the first part of a text, without a space before it
         self.known: dict[str, bytes] = {}  # any other part, as if after a space
 
@@ -105,7 +106,7 @@ class Encoder:
         new = [x for x, k, u in zip(distinct, known, used.tolist(), strict=True) if k is None and u]
         ids = self.learn(new) if new else {}
         table = [k if k is not None else ids.get(x, b"") for x, k in zip(distinct, known, strict=True)] if new else [k or b"" for k in known]
-        if len(self.known) < KNOWN_WORDS:
+        if len(self.known) < self.most:
             self.known |= ids
         # one table of ids for parts, first parts and the end; each text is a row of its places
         table += [self.heads[h] for h in heads]
@@ -119,7 +120,7 @@ class Encoder:
         stop = np.cumsum(n)
         got = flat[np.repeat(begin - (stop - n), n) + np.arange(stop[-1])].tobytes()
         cuts = (4 * stop[ends[1:] + np.arange(len(texts))]).tolist()
-        if len(self.heads) > KNOWN_WORDS // 10:
+        if len(self.heads) > self.most // 10:
             self.heads.clear()
         return [got[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 

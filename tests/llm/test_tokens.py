@@ -60,8 +60,9 @@ def test_ids_take_the_fewest_bits():
         T.Blob(b"x" * 64)
 
 
-def test_token_files(spark, plain, monkeypatch):
-    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in T.token_files(docs(spark)).collect()}
+@pytest.mark.parametrize("options", [{}, {"blob_ids": 50}, {"blob_ids": 1, "partitions": 1}])
+def test_token_files(spark, plain, options):
+    got = {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in T.token_files(docs(spark), **options).collect()}
     start = 0
     for i, t in enumerate(TEXTS):
         ids = plain(t)
@@ -103,6 +104,20 @@ def test_packing(spark, plain):
     assert P.best_fit_packing(docs(spark, [])).count() == 0
 
 
+def test_packing_in_groups_and_of_repeated_rows(spark, plain):
+    rng = random.Random(1)
+    texts = ["word " * rng.randint(0, 900) for _ in range(60)]
+    placed = P.best_fit_packing(docs(spark, texts), group_pieces=10).collect()
+    lengths = {i: len(plain(t)) for i, t in enumerate(texts)}
+    want = {(r.id, r.piece): (r.start, r.length, r.ids_crc32) for r in placed}
+    assert {i: sum(n for (k, _), (_, n, _) in want.items() if k == i) for i in lengths} == lengths
+    bins, groups = check_packing(placed, want), len({r.sequence_id >> 32 for r in placed})
+    assert groups > 3 and bins <= -(-sum(lengths.values()) // P.ROOM) + 3 * groups
+    twice = docs(spark, ["same", None]).union(docs(spark, ["same", None])).selectExpr("CASE WHEN doc_id = 0 THEN 7 END AS doc_id", "text")
+    few = P.best_fit_packing(twice, known_words=3).collect()
+    assert sorted((r.id or 0, r.length) for r in few) == [(0, 1), (0, 1), (7, 2), (7, 2)] and sorted(r.offset for r in few) == [0, 2, 4, 5]
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     rng = random.Random(4)
     for _ in range(30):
