@@ -48,8 +48,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+#: Words whose ids a packing task remembers: workers stay for the next stages, and so would what they hold.
+KNOWN_WORDS = 200_000
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs).withColumnRenamed("id", "doc_id")
+    return best_fit_packing(docs, known_words=KNOWN_WORDS).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
