@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +38,11 @@ def broadcast_below(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROAD
     total = sum(long, F.lit(0)).cast("long")
     found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(total), F.lit(0)).alias("size")).first()
     return F.broadcast(df) if found.n <= rows and found.size <= size else df
+
+
+def give_back() -> None:
+    """Returns memory that Python has freed to the system; workers live on from task to task. Without glibc, only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrain.llm.common import broadcast_below, cut, smallest_first
+from cuegrain.llm.common import broadcast_below, cut, give_back, smallest_first
 from cuegrain.llm.components import components
 
 WIDTH = 5

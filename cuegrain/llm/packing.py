@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrain.llm.common import cut
+from cuegrain.llm.common import cut, give_back
 from cuegrain.llm.tokens import END_ID, Encoder, encoder, tokenizer_path
 
 ROOM = 1024
@@ -51,6 +51,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     cols.append(pa.array(held, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        del encode
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)

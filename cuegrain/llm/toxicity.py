@@ -8,16 +8,17 @@ words share n-grams with the words seen in training.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from cuegrain.llm.common import text_or_empty
+from cuegrain.llm.common import give_back, text_or_empty
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -85,7 +86,7 @@ class Model:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
     """Vectors and softmax together, by stochastic gradient descent with momentum. bags: distinct buckets and their shares of a document.
 
-    The list is emptied as its bags are laid end to end, so that the sample is held once.
+    Bags are read where they lie, a batch at a time, so training adds little to the memory of the sample.
     """
     rng = np.random.default_rng(seed)
     texts = np.zeros(BUCKETS, np.int32)
@@ -94,14 +95,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     used = np.flatnonzero(texts >= LEAST_TEXTS)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    ends = np.cumsum([0, *(int((texts[b] >= LEAST_TEXTS).sum()) for b, _ in bags)])
-    flat, shares = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
     n = len(bags)
-    for i in range(n - 1, -1, -1):
-        buckets, share = bags.pop()
-        known = place[buckets] >= 0
-        flat[ends[i] : ends[i + 1]] = place[buckets[known]]
-        shares[ends[i] : ends[i + 1]] = share[known] * np.float32(SCALE)
     vectors = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     weights, bias = rng.normal(0, DIM**-0.5, (DIM, 2)).astype(np.float32), np.array([0, NO_EVIDENCE if n else 0], np.float32)
     move_v, move_w = np.zeros_like(vectors), np.zeros_like(weights)
@@ -109,10 +103,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     for epoch in range(EPOCHS if n else 0):
         rate = RATE * (1 - epoch / EPOCHS)
         for chosen in np.array_split(rng.permutation(n), max(1, n // BATCH)):
-            idx = np.concatenate([flat[ends[i] : ends[i + 1]] for i in chosen])
-            share = np.concatenate([shares[ends[i] : ends[i + 1]] for i in chosen])
-            sizes = ends[chosen + 1] - ends[chosen]
-            row = np.repeat(np.arange(len(chosen)), sizes)
+            idx = place[np.concatenate([bags[i][0] for i in chosen])]
+            known = idx >= 0
+            row = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])[known]
+            idx, share = idx[known], np.concatenate([bags[i][1] for i in chosen])[known] * np.float32(SCALE)
+            sizes = np.bincount(row, minlength=len(chosen))
             mean = np.zeros((len(chosen), DIM), np.float32)
             if len(idx):
                 mean[sizes > 0] = np.add.reduceat(vectors[idx] * share[:, None], (np.cumsum(sizes) - sizes)[sizes > 0])
@@ -178,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
         buckets, shares = sample["buckets"], sample["shares"]  # numpy looks at their buffers: no copy
         bags = [(np.frombuffer(buckets[i].as_buffer(), np.int32), np.frombuffer(shares[i].as_buffer(), np.float32)) for i in order]
         model = train(bags, np.array([keys[i][2] for i in order], np.int64))
+        give_back()
         used = np.flatnonzero(model.vectors.any(axis=1)).astype(np.int32)
         parts = [used, model.vectors[used], model.weights.astype(np.float32), model.bias]
         return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["used", "vectors", "weights", "bias"])
@@ -223,20 +219,21 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with the score of every whole text, null as empty. The model sent to tasks has BUCKETS floats."""
+def _scored(docs: DataFrame, model: Model, text_col: str, take: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """What `take` makes of each batch of docs and its scores; every whole text is scored, null as empty. Tasks get the model's BUCKETS sums."""
     shared = docs.sparkSession.sparkContext.broadcast((model.margins(), float(model.bias[1] - model.bias[0])))
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for texts in batches:
-            out: list[float] = []
-            for i in range(0, len(texts), TEXTS):
-                out += scorer.scores(texts.iloc[i : i + TEXTS].tolist())
-            yield pd.Series(out, dtype="float64")
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
+                yield take(part, pa.array(scorer.scores(part.column(at).to_pylist()), pa.float64()))
+        del scorer
+        give_back()
 
-    return docs.withColumn(score_col, scores(text_col))
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,12 +246,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = StructType([rows.schema["id"]]).add("score", "double")
+    scored = _scored(rows, model, "text", lambda part, scores: pa.RecordBatch.from_arrays([part.column(0), scores], names=["id", "score"]), schema)
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    scored = score(rows, model).select("id", held.alias("held_out"), "score")
+    scored = scored.select("id", held.alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is below 0.5, with their columns; `known` has the texts of labelled rows if docs hasn't."""
     model = fit(known if known is not None else docs, labels, id_col=id_col, text_col=text_col)
-    return score(docs, model, text_col, "__cg_score").where("__cg_score < 0.5").select(*docs.columns)
+    return _scored(docs, model, text_col, lambda part, scores: part.filter(pc.less(scores, 0.5)), docs.schema)
