@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,29 +101,29 @@ def _draws(recipe: DataFrame, sources: int, shards: int, shard_slots: int, total
     A shard draws for GROUPS groups of sources (with fewer sources, for each), and a group that is drawn draws for its sources.
     """
     groups = min(sources, GROUPS)
-    quotas = recipe.groupBy((F.col("s") % max(1, groups)).alias("g")).agg(F.sum("quota").alias("quota")).orderBy("g").toPandas()  # at most GROUPS rows
-    share = quotas["quota"].to_numpy(np.float64) / max(1, total)
+    quotas = recipe.groupBy((F.col("s") % max(1, groups)).alias("g")).agg(F.sum("quota").alias("quota")).orderBy("g").collect()  # at most GROUPS rows
+    share = np.array([r.quota for r in quotas], np.float64) / max(1, total)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch["shard"]:
-                n = np.random.default_rng([seed, int(shard)]).multinomial(min(shard_slots, total - int(shard) * shard_slots), share)
+            for shard in batch.column(0).to_pylist():
+                n = np.random.default_rng([seed, shard]).multinomial(min(shard_slots, total - shard * shard_slots), share)
                 g = np.flatnonzero(n)
-                yield pd.DataFrame({"shard": shard, "g": g, "drawn": n[g]})
+                yield _batch(shard=np.full(len(g), shard), g=g, drawn=n[g])
 
-    drawn = recipe.sparkSession.range(shards).toDF("shard").mapInPandas(first, "shard long, g long, drawn long")
+    drawn = recipe.sparkSession.range(shards).toDF("shard").mapInArrow(first, "shard long, g long, drawn long")
     if sources <= GROUPS:
         return drawn.withColumnRenamed("g", "s")
     members = cut(recipe.groupBy((F.col("s") % groups).alias("g")).agg(F.array_sort(F.collect_list(F.struct("s", "quota"))).alias("members")), "members")
 
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, g, drawn, its in zip(batch["shard"], batch["g"], batch["drawn"], batch["members"], strict=True):
-                s, quota = (np.array([m[k] for m in its]) for k in ("s", "quota"))
-                n = np.random.default_rng([seed, int(shard), int(g)]).multinomial(int(drawn), quota / quota.sum())
-                yield pd.DataFrame({"shard": shard, "s": s[n > 0], "drawn": n[n > 0]})
+            for row in batch.to_pylist():
+                s, quota = (np.array([m[k] for m in row["members"]]) for k in ("s", "quota"))
+                n = np.random.default_rng([seed, row["shard"], row["g"]]).multinomial(row["drawn"], quota / quota.sum())
+                yield _batch(shard=np.full((n > 0).sum(), row["shard"]), s=s[n > 0], drawn=n[n > 0])
 
-    return drawn.join(members, "g").mapInPandas(second, "shard long, s long, drawn long")
+    return drawn.join(members, "g").mapInArrow(second, "shard long, s long, drawn long")
 
 
 def _slots(plan: DataFrame, shard_slots: int, block: int, seed: int) -> DataFrame:
@@ -148,19 +148,22 @@ def _slots(plan: DataFrame, shard_slots: int, block: int, seed: int) -> DataFram
     settle = left.select(extra.alias("shard"), "s", "blocks", "start", F.least(F.col("start") + shard_slots, F.col("quota")).alias("end"))
     runs = inside.unionByName(settle)
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                n = (part["end"] - part["start"]).to_numpy()
-                row = np.repeat(np.arange(len(part)), n)
-                j = part["start"].to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                s, blocks = part["s"].to_numpy()[row], part["blocks"].to_numpy()[row]
-                turn = j // blocks
-                key = (np.uint64(seed) * np.uint64(1_000_003) + s.astype(np.uint64)) * np.uint64(PASSES + 1) + turn.astype(np.uint64)
-                yield pd.DataFrame({"shard": part["shard"].to_numpy()[row], "slot": j, "s": s, "pass": turn, "block": permuted(j % blocks, blocks, key)})
+            for i in range(0, batch.num_rows, 64):
+                shard, s, blocks, start, end = (c.to_numpy() for c in batch.slice(i, 64).columns)
+                n = end - start
+                row = np.repeat(np.arange(len(n)), n)
+                j = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                turn = j // blocks[row]
+                key = (np.uint64(seed) * np.uint64(1_000_003) + s[row].astype(np.uint64)) * np.uint64(PASSES + 1) + turn.astype(np.uint64)
+                yield _batch(shard=shard[row], slot=j, s=s[row], **{"pass": turn}, block=permuted(j % blocks[row], blocks[row], key))
 
-    return runs.mapInPandas(number, "shard long, slot long, s long, pass long, block long")
+    return runs.select("shard", "s", "blocks", "start", "end").mapInArrow(number, "shard long, slot long, s long, pass long, block long")
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns.values()], names=list(columns))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -217,15 +220,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = taken.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("__cg_spans"))
     both = keyed.join(parts, F.col("__cg_row") == F.col("row")).withColumn("__cg_size", word_count(F.col(text_col)))
 
-    @F.pandas_udf("string")
-    def cut_text(texts: pd.Series, spans: pd.Series, sizes: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def cut_text(texts: pa.Array, spans: pa.Array, sizes: pa.Array) -> pa.Array:
         import re
 
         word = re.compile(r"[^\x20\x09-\x0D]+")
         out = []
         for text, its, size in zip(texts, spans, sizes, strict=True):
-            its = sorted((int(x["first"]), int(x["words"])) for x in its)
-            if sum(n for _, n in its) == size:
+            text, its = text.as_py(), sorted((x["first"], x["words"]) for x in its.as_py())
+            if sum(n for _, n in its) == size.as_py():
                 out.append(text)
                 continue
             at = [m.span() for m in word.finditer(text)]
@@ -236,7 +239,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 else:
                     joined.append([first, first + n])
             out.append(" ".join(text[at[a][0] : at[b - 1][1]] for a, b in joined))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     mixed = both.withColumn("__cg_text", cut_text(text_col, "__cg_spans", "__cg_size"))
     new = {text_col: F.col("__cg_text")}

@@ -13,7 +13,6 @@ from hashlib import blake2b
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -129,17 +128,17 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def _prune(threshold: float):
     kept = least_matches(threshold)
 
-    @F.pandas_udf("boolean")
-    def survives(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), "<u2").reshape(-1, VERIFY)
-        y = np.frombuffer(b"".join(b), "<u2").reshape(-1, VERIFY)
+    @F.arrow_udf("boolean")
+    def survives(a: pa.Array, b: pa.Array) -> pa.Array:
+        x = np.frombuffer(b"".join(a.to_pylist()), "<u2").reshape(-1, VERIFY)
+        y = np.frombuffer(b"".join(b.to_pylist()), "<u2").reshape(-1, VERIFY)
         alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
         for n, least in kept.items():  # only pairs still alive are compared further
             matches[alive] += (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(axis=1)
             alive = alive[matches[alive] >= least]
         out = np.zeros(len(x), bool)
         out[alive] = True
-        return pd.Series(out)
+        return pa.array(out)
 
     return survives
 

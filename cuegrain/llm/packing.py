@@ -6,10 +6,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from cuegrain.llm.common import cut, give_back
 from cuegrain.llm.tokens import END_ID, Encoder, encoder, tokenizer_path
@@ -113,18 +113,16 @@ def pack_pieces(found: DataFrame, room: int = ROOM, group_pieces: int = GROUP_PI
     """
     found = cut(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-found.count() // group_pieces))
-    kind = found.schema
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "row"], ascending=[False, True], kind="stable", ignore_index=True)
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("row", "ascending")])
         where, offset = best_fit(rows["length"].to_numpy(), room)
-        return rows.assign(sequence_id=(np.int64(key[0]) << np.int64(32)) + where, offset=offset)[[*placed.names]]
+        kept = rows.select([f.name for f in placed.fields][:-2])
+        return kept.append_column("sequence_id", pa.array((np.int64(key[0].as_py()) << np.int64(32)) + where)).append_column("offset", pa.array(offset))
 
-    from pyspark.sql.types import LongType, StructType
-
-    placed = StructType([*(f for f in kind.fields if f.name != "row")]).add("sequence_id", LongType()).add("offset", LongType())
+    placed = StructType([*(f for f in found.schema.fields if f.name != "row")]).add("sequence_id", LongType()).add("offset", LongType())
     dealt = found.withColumn("packing_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return dealt.groupBy("packing_group").applyInPandas(run, placed)
+    return dealt.groupBy("packing_group").applyInArrow(run, placed)
 
 
 def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, room: int = ROOM, group_pieces: int = GROUP_PIECES, known_words: int | None = None) -> DataFrame:

@@ -154,32 +154,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
-    """Fit on the bounded sample, in one task: its bags meet there in a fixed order.
+    """Fit on the bounded sample, in one task: its texts meet there, in a fixed order, and bags are made there.
 
     The driver sees the model only: of each bucket that has a vector its number and DIM floats, 9 MB at most.
     """
 
-    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                ids, texts, labels = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
-                made = [bag(t) for t in texts]
-                cols = [pa.array([str(i) for i in ids]), pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(labels, pa.int32()), pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "crc", "label", "buckets", "shares"])
-
     def learn(sample: pa.Table) -> pa.Table:
-        keys = list(zip(*(sample[x].to_pylist() for x in ("id", "crc", "label")), strict=True))
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        buckets, shares = sample["buckets"], sample["shares"]  # numpy looks at their buffers: no copy
-        bags = [(np.frombuffer(buckets[i].as_buffer(), np.int32), np.frombuffer(shares[i].as_buffer(), np.float32)) for i in order]
-        model = train(bags, np.array([keys[i][2] for i in order], np.int64))
+        rows = sorted((str(i), zlib.crc32(t.encode("utf-8", "surrogatepass")), y, t) for i, t, y in zip(*(sample[x].to_pylist() for x in ("id", "text", "label")), strict=True))
+        model = train([bag(r[3]) for r in rows], np.array([r[2] for r in rows], np.int64))
         give_back()
         used = np.flatnonzero(model.vectors.any(axis=1)).astype(np.int32)
         parts = [used, model.vectors[used], model.weights.astype(np.float32), model.bias]
         return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["used", "vectors", "weights", "bias"])
 
-    bags = training_rows(docs, labels, **columns).mapInArrow(bags_of, "id string, crc long, label int, buckets binary, shares binary")
-    found = bags.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "used binary, vectors binary, weights binary, bias binary").first()
+    sample = training_rows(docs, labels, **columns).withColumn("one", F.lit(0))
+    found = sample.groupBy("one").applyInArrow(learn, "used binary, vectors binary, weights binary, bias binary").first()
     if found is None:  # no usable label
         return train([], np.zeros(0, np.int64))
     used = np.frombuffer(found.used, np.int32)
