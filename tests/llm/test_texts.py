@@ -208,9 +208,9 @@ WANT = "Ti&tle é\n\nFirst paragraph goes on, with 1 < 2 and a link.\n\nSecond o
 
 
 def test_page_text():
-    blocks = H.read_blocks(PAGE)
-    path, _ = H.best_path(blocks)
-    assert path.endswith("div.main.x#/div.post-#") and H.text_on(blocks, path) == WANT
+    page = H.Page(PAGE)
+    path, _ = page.best()
+    assert page.name(path).endswith("div.main.x#/div.post-#") and page.text(path) == WANT
 
 
 @pytest.mark.parametrize("html,text", [(None, ""), ("", ""), ("<p>", ""), ("plain", "plain"), ("<article><h1>A</h1><p><b>x<br><p>y</p></article><footer>f", "A\n\nx\n\ny"), ("<div><p>cut off <b>he", "cut off he"), ("<nav>only a menu</nav>", ""), ("<p>a < b</p>", "a < b"), ("<article>" + "<p>x</p>" * 3000 + "</article>", "\n\n".join(["x"] * 3000))])
@@ -236,6 +236,90 @@ def test_whole_article_is_kept(spark, html, parts):
     assert H.extract_text(df).first().text == "\n\n".join(texts[p] if isinstance(p, int) else p for p in parts)
 
 
+ARTICLE = "<h1>Title</h1><p>" + "A long text of an article goes on and on. " * 12 + "</p><p>And it ends here.</p>"
+ARTICLE_TEXT = "Title\n\n" + ("A long text of an article goes on and on. " * 12).strip() + "\n\nAnd it ends here."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div class='content-with-sidebar'>{}<div class='sidebar'><p>Side text of the page.</p></div></div>",
+        "<div class='wrap sidebar-right'>{}</div><div class='widget'><p>Widget.</p></div>",
+        "<article id='search-engines'>{}</article>",
+        "<form action='/'><div class='x'>{}</div><label>Name</label><input><button>Go</button></form>",
+        "<article><div class='entry-header'>{}</div><div id='comments'><p>Reader comment, rather long for what it says.</p></div></article>",
+        "<div class='popup-page'><main>{}</main></div><div class='cookie'><p>We use cookies.</p></div>",
+        "<div role='navigation'><p>Go there.</p></div><div>{}</div><div hidden><p>Unseen.</p></div><div style='display: none'><p>Unseen.</p></div>",
+    ],
+)
+def test_the_vote_and_not_a_word_decides(spark, html):
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", html.format(ARTICLE)) for i in range(2)], "page_id long, url string, html string")
+    assert [r.text for r in H.extract_text(df).collect()] == [ARTICLE_TEXT] * 2
+
+
+def test_paragraphs_named_for_what_they_say_stay():
+    page = H.Page("<article><p class='related-work'>Related work is cited.</p><p class='ad'>Buy now.</p><div class='related'><p>More to read.</p></div><p>" + "text " * 50 + "</p></article>")
+    assert page.text(page.best()[0]) == "Related work is cited.\n\n" + ("text " * 50).strip()
+
+
+def plain_article(html):
+    """The text of a small well-formed page by a plain walk: blocks of the one article, without what is dropped or marked."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out, self.now = [], [], []
+
+        def end_block(self):
+            if text := " ".join("".join(self.now).split()):
+                self.out.append(text)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in H.BLOCK:
+                self.end_block()
+            if tag == "br":
+                self.now.append(" ")
+            elif tag not in H.VOID:
+                self.open.append((tag, tag in H.DROPPED or any(k in ("class", "id") and v in ("ad", "comments") for k, v in attrs)))
+
+        def handle_endtag(self, tag):
+            if tag in H.BLOCK:
+                self.end_block()
+            assert self.open.pop()[0] == tag
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.open) and not any(gone for _, gone in self.open):
+                self.now.append(data)
+
+    walk = Walk()
+    walk.feed(html)
+    return "\n\n".join(walk.out)
+
+
+def test_small_pages_against_a_plain_walk(spark):
+    rng, rows = np.random.default_rng(8), []
+    for i in range(60):
+        inside = ["<h1>T&amp;t {}</h1>"] + [str(rng.choice(["<p>a {} <b>bold</b> word &eacute;<br>x</p>", "<div class=part><p>part {}</p></div>", "<ul><li>item {}</li><li>two</li></ul>", "<div class='ad'>buy {}</div>", "<blockquote><p>said {}</p></blockquote>", "<script>x({})</script>", "<div id='comments'><p>reader {}</p></div>", "<table><tr><td>cell {}</td><td>c</td></tr></table>"])) for _ in range(8)] + ["<p>" + "words of the text " * 20 + "{}</p>"]
+        html = f"<html><body><nav><a href='/'>m</a></nav><div class='ad'>ad</div><article>{''.join(x.format(rng.integers(99)) for x in inside)}</article><footer>f</footer></body></html>"
+        rows.append((i, f"http://h{i % 3}.org/{i}", html))
+    got = {r.id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: plain_article(html) for i, _, html in rows}
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "deep", "<font>" * 100_000 + "<p>x" * 1000, "<div class='a'>" * 50_000 + "</span>" * 50_000 + "y", "<a href=x>" * 100_000 + "z", "<p>" * 100_000 + "w", "<span hidden>" * 50_000 + "<p>" * 50_000, "<a \"" * 100_000, "<h1>x" * 50_000, "<a b='" * 50_000 + ">"])
+def test_odd_pages_take_linear_time(html):
+    import time
+
+    began = time.process_time()
+    page = H.Page(html)
+    best = page.best()[0]
+    text = page.text(best) if best is not None else ""
+    page.keys()
+    assert time.process_time() - began < 5 and len(text) <= len(html)
+
+
 def test_hosts_agree_on_a_path(spark):
     page = "<body><div class='story'><p>{}</p></div><div class='extra'><p>{}</p></div></body>"
     rows = [(i, f"http://h.org/{i}", page.format("the story of the day goes on for long " * 3, "more")) for i in range(5)]
