@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cuegrain.llm.common import give_back, text_or_empty
+from cuegrain.llm.common import cut, give_back, text_or_empty
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
@@ -147,12 +147,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", la
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND pmod(crc32(cast(id AS string)), 5) <> 0").distinct()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     keys = texts.select("id", "hash", F.length("text").alias("chars")).where(F.col("chars") <= chars_per_class).distinct().join(chosen, "id")
+    keys = _first_hashes(cut(keys, "labelled"), per_class)
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "hash")
     ranked = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class)  # at most 2 * per_class rows
     few = ranked.withColumn("total", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("total") <= chars_per_class).select("id", "hash", "label")
     return texts.join(F.broadcast(few), ["id", "hash"]).dropDuplicates(["id", "hash", "label"]).select("id", "text", "label")
 
 
+def _first_hashes(keys: DataFrame, per_class: int) -> DataFrame:
+    """Rows of keys (id, label) whose id's hash is among the lowest, some times per_class for each label: no task then orders a whole class.
+
+    A share of the range of hashes is taken by the number of rows. Should it hold too few of a label, all rows are left in.
+    """
+    hashed = F.xxhash64("id")
+    found = {r.label: r.n for r in keys.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    limits = {y: -(1 << 63) + (1 << 64) * 4 * per_class // n for y, n in found.items() if n > 8 * per_class}
+    low = keys
+    for y, limit in limits.items():
+        low = low.where((F.col("label") != y) | (hashed < limit))
+    held = {r.label: r.n for r in low.groupBy("label").agg(F.count("*").alias("n")).collect()} if limits else found
+    return low if all(held.get(y, 0) >= min(n, 2 * per_class) for y, n in found.items()) else keys
+
+
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
     """Fit on the bounded sample, in one task: its texts meet there, in a fixed order, and bags are made there.
 

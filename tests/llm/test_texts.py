@@ -384,6 +384,17 @@ def test_repeated_ids_stay_within_the_sample(spark):
     assert len(whole) == len(set(rows)) and set(zip(whole["id"], whole["text"], strict=True)) == set(rows)
 
 
+def test_a_large_class_is_cut_by_its_hashes_first(spark):
+    keys = spark.createDataFrame([(i, int(i % 100 == 0), i) for i in range(3000)] + [(7, 0, 10_000 + i) for i in range(200)], "id long, label int, hash long")
+    low = Y._first_hashes(keys, 20)
+    n = {r.label: r["count"] for r in low.groupBy("label").count().collect()}
+    assert n[1] == 30 and 40 <= n[0] < 400
+    first = [r.id for r in keys.where("label = 0").select("id").distinct().orderBy(F.xxhash64("id")).limit(20).collect()]
+    assert set(first) <= {r.id for r in low.where("label = 0").collect()}
+    hot = spark.createDataFrame([(7, 0, i) for i in range(1000)], "id long, label int, hash long")
+    assert Y._first_hashes(hot, 20).count() == 1000  # all or none is below the limit
+
+
 def test_the_sample_is_bounded_in_characters(spark):
     kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
     docs = spark.createDataFrame([(i, "x" * (5_000 if i == kept[0] else 10)) for i in kept], "doc_id long, text string")
