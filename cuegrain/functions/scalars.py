@@ -70,25 +70,30 @@ def format_timecode(seconds: Column, rate: Column, frame_duration: Column, flagg
 
 
 def parse_timecode(text: Column, current: Column, rate: Column, frame_duration: Column, flagged: Column, display_start: Column) -> Column:
-    """struct(seconds, error) of what a user typed: a full, partial or digits-only timecode, +n/-n frames from
-    the current time, or seconds like 4.5s."""
+    """struct(seconds, error) of what a user typed, on a frame: a full, partial or digits-only timecode, +n/-n
+    frames from the current time, or seconds of the display like 4.5s, .5s or 4.5S."""
     t = trimmed(F.coalesce(text, F.lit("")))
     base, drop = frame_base(rate), drops_frames(rate, flagged)
-    nudge = current + F.regexp_replace(t, "\\s", "").cast("int") * frame_duration
-    plain = F.regexp_extract(t, "^(\\d+(?:\\.\\d+)?)\\s*s\\z", 1).cast("double")
-    digits = F.regexp_replace(t, "[^0-9]", "")
-    padded = F.lpad(digits, 8, "0")
-    parts = F.when(t.rlike("^\\d+\\z"), F.array(*[F.substring(padded, i, 2) for i in (1, 3, 5, 7)])).otherwise(F.split(F.regexp_replace(t, "[;.]", ":"), ":"))
-    number = F.transform(F.concat(F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(4) - F.size(parts))), parts), lambda x: x.cast("long"))
-    h, m, s, f = (F.element_at(number, i) for i in (1, 2, 3, 4))
+    is_nudge, is_seconds = t.rlike("^[+-]\\s*\\d+\\z"), t.rlike("^(\\d+(\\.\\d+)?|\\.\\d+)\\s*[sS]\\z")
+    is_digits, is_code = t.rlike("^\\d+\\z"), t.rlike("^\\d+([:;.]\\d+){1,3}\\z")
+    nudge = snap(current + F.regexp_replace(t, "\\s", "").try_cast("long") * frame_duration, frame_duration)
+    plain = snap(F.regexp_extract(t, "^([0-9.]+)", 1).try_cast("double") - display_start, frame_duration)
+    padded = F.lpad(t, 8, "0")
+    parts = F.when(is_digits, F.array(*[F.substring(padded, i, 2) for i in (1, 3, 5, 7)])).otherwise(F.split(t, "[:;.]"))
+    number = F.transform(F.concat(F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(4) - F.size(parts))), parts), lambda x: x.try_cast("long"))
+    h, m, s, f = (F.get(number, F.lit(i)) for i in range(4))
     label = ((h * 60 + m) * 60 + s) * base + f
-    minutes = h * 60 + m + F.floor((s * base + f) / (base * 60))
+    minutes = h * 60 + m  # labels are skipped by the minutes as written, whatever the seconds add up to
     lost = F.when(base == 60, 4).otherwise(2)
-    frames = F.when(drop, label - lost * (minutes - F.floor(minutes / 10))).otherwise(label)
-    coded = frames * frame_duration - display_start
-    is_code = t.rlike("^\\d{1,8}\\z") | t.rlike("^\\d+([:;.]\\d+){1,3}\\z")
-    seconds = F.when(t.rlike("^[+-]\\s*\\d{1,9}\\z"), nudge).when(t.rlike("^\\d+(\\.\\d+)?\\s*s\\z"), plain).when(is_code, coded)
-    error = F.when(t == "", "empty").when(seconds.isNull(), "not a time").when(seconds < -1e-6, "before the start")
+    coded = F.when(drop, label - lost * (minutes - F.floor(minutes / 10))).otherwise(label) * frame_duration - display_start
+    seconds = F.when(is_nudge, nudge).when(is_seconds, plain).when(is_digits | is_code, coded)
+    error = (
+        F.when(t == "", "empty")
+        .when(is_nudge & current.isNull(), "nothing to nudge from")
+        .when(is_digits & (F.length(t) > 8), "too many digits")
+        .when(seconds.isNull(), "not a time")
+        .when(seconds < -1e-6, "before the start")
+    )
     return F.struct(F.when(error.isNull(), F.greatest(seconds, F.lit(0.0))).alias("seconds"), error.alias("error"))
 
 
@@ -144,11 +149,19 @@ def preset_id(name: Column, millis: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Sortable array: three numbers (missing and junk are 0), then 0 for a pre-release and 1 for a release."""
-    bare = F.regexp_replace(trimmed(version), "^[vV]", "")
-    core = F.split(F.split(bare, "[-+]").getItem(0), "\\.")
-    number = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.regexp_extract(F.get(core, i), "^(\\d{1,9})", 1).try_cast("int"), F.lit(0)))
-    return F.concat(number, F.array(F.when(bare.contains("-"), 0).otherwise(1)))
+    """Sortable struct(numbers, release, pre): all numbers of the dotted part (junk is 0, zeros at the end don't count), 0 for a
+    pre-release and 1 for a release, and the pre-release's text, which is what follows the first dash."""
+    bare = F.regexp_replace(trimmed(F.coalesce(version, F.lit(""))), "^[vV]", "")
+    numbers = F.transform(F.split(F.substring_index(bare, "-", 1), "\\."), lambda n: F.coalesce(F.regexp_extract(n, "^\\s*(\\d{1,18})", 1).try_cast("long"), F.lit(0).cast("long")))
+    last = F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1).otherwise(0)))
+    pre = F.when(bare.contains("-"), F.regexp_replace(bare, "(?s)^[^-]*-", "")).otherwise("")
+    return F.struct(F.slice(numbers, F.lit(1), last).alias("numbers"), F.when(pre != "", 0).otherwise(1).alias("release"), pre.alias("pre"))
+
+
+def compare_versions(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: whether version a is older than, equal to or newer than b."""
+    x, y = version_key(a), version_key(b)
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
 def bare_word(text: Column) -> Column:
@@ -171,3 +184,19 @@ def occurrences(text: Column, query: Column, match_case: bool = False) -> Column
     if not match_case:
         flat, q = F.lower(flat), F.lower(q)
     return F.when(F.length(q) > 0, ((F.length(flat) - F.length(F.replace(flat, q))) / F.length(q)).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def occurrence_positions(text: Column, query: Column, match_case: bool = False) -> Column:
+    """array of places, from 0, of the matches of query in text, from the left and without overlaps; a line break counts as a space."""
+    flat, q = F.translate(text, "\n", " "), query
+    if not match_case:
+        flat, q = F.lower(flat), F.lower(q)
+    pieces = F.split(flat, F.concat(F.lit("\\Q"), F.replace(q, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
+    # what stands before a match: all pieces up to it, and the matches between them
+    ends = F.aggregate(
+        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda acc, p: F.struct((acc.at + F.length(p) + F.length(q)).alias("at"), F.concat(acc.found, F.array(acc.at + F.length(p))).alias("found")),
+        lambda acc: acc.found,
+    )
+    return F.when(F.length(q) > 0, ends).otherwise(F.array().cast("array<int>"))

@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 from cuegrain.functions.scalars import trimmed
 
 PRESET = "struct<id:string,name:string,basedOn:string,`in`:string,`out`:string>"
-FILE = f"struct<version:int,presets:array<{PRESET}>>"
 
 
 def scan_presets(files: DataFrame) -> DataFrame:
-    """(file, pos, id, name, based_on, in_phase, out_phase, custom) of preset files (file, content).
+    """(file, pos, id, name, based_on, in_phase, out_phase, custom, entry) of preset files (file, content).
 
-    A malformed file gives no rows; entries without id, name or in-phase are dropped; the first of an id stays.
+    A malformed file gives no rows. Entries stay that have an id and a name, and whose phases, where they
+    are there, are objects whose properties, where they are there, are a list; the first of an id stays.
+    entry is the whole entry as JSON, with every field that it came with.
     """
     # field by field as JSON text, so that one odd entry does not spoil its file
     read = files.select("file", F.from_json("content", "struct<version:int,presets:array<string>>").alias("p"))
-    rows = read.select("file", F.posexplode("p.presets").alias("pos", "entry")).select("file", "pos", F.from_json("entry", PRESET).alias("e"))
-    good = rows.where("trim(e.id) <> '' AND trim(e.name) <> '' AND e.`in` IS NOT NULL")
+    rows = read.select("file", F.posexplode("p.presets").alias("pos", "entry")).select("file", "pos", F.trim("entry").alias("entry"), F.from_json("entry", PRESET).alias("e"))
+
+    def usable(phase: str) -> Column:
+        found = F.trim(F.get_json_object("entry", f"$.{phase}"))
+        properties = F.trim(F.get_json_object("entry", f"$.{phase}.properties"))
+        listed = F.get_json_object("entry", f"$.{phase}").rlike('"properties"\\s*:\\s*null') | properties.isNull() | properties.startswith("[")
+        return found.isNull() | found.startswith("[") | (found.startswith("{") & ~found.rlike('^\\{\\s*"properties"\\s*:\\s*null') & listed)
+
+    good = rows.where("trim(e.id) <> '' AND trim(e.name) <> ''").where(usable("in") & usable("out"))
     first = F.row_number().over(Window.partitionBy("file", "e.id").orderBy("pos"))
-    return good.withColumn("n", first).where("n = 1").select("file", "pos", "e.id", "e.name", F.col("e.basedOn").alias("based_on"), F.col("e.in").alias("in_phase"), F.col("e.out").alias("out_phase"), F.lit(True).alias("custom"))
+    return good.withColumn("n", first).where("n = 1").select("file", "pos", "e.id", "e.name", F.col("e.basedOn").alias("based_on"), F.col("e.in").alias("in_phase"), F.col("e.out").alias("out_phase"), F.lit(True).alias("custom"), "entry")
 
 
 def write_presets(presets: DataFrame, key: str) -> DataFrame:
-    """(key, content): one JSON of version 1 for each key. presets: key, pos, id, name."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "id", "name")))
-    plain = F.transform(ordered, lambda p: F.struct(p.id.alias("id"), p["name"].alias("name")))
-    return presets.groupBy(key).agg(F.to_json(F.struct(F.lit(1).alias("version"), plain.alias("presets"))).alias("content"))
+    """(key, content): one JSON of version 1 for each key. presets: key, pos, id, name, and entry, if there, which is written whole and marked as custom."""
+    plain = F.to_json(F.struct("id", "name"))
+    entry = F.coalesce("entry", plain) if "entry" in presets.columns else plain
+    marked = F.when(F.get_json_object(entry, "$.custom").isNull(), F.concat(F.regexp_replace(entry, "\\s*\\}\\s*\\z", ""), F.lit(',"custom":true}'))).otherwise(entry)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", marked.alias("entry"))))
+    content = F.concat(F.lit('{"version":1,"presets":['), F.array_join(F.transform(ordered, lambda x: x.entry), ","), F.lit("]}"))
+    return presets.groupBy(key).agg(content.alias("content"))
 
 
 def preset_library(built_in: DataFrame, user: DataFrame) -> DataFrame:

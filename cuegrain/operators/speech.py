@@ -56,8 +56,8 @@ def vad_thresholds(frames: DataFrame) -> DataFrame:
 
 def silence_thresholds(frames: DataFrame) -> DataFrame:
     """(recording_id, level): the level below which a frame is silent, null if loud and quiet are too close or frames too few."""
-    db = 20 * F.log10(F.col("rms") + 1e-9)
-    p = frames.groupBy("recording_id").agg(F.percentile(db, 0.01).alias("lo"), F.percentile(db, 0.99).alias("hi"), F.count("*").alias("n"), F.max("rms").alias("most"))
+    db = lambda share: 20 * F.log10(F.percentile("rms", share) + 1e-9)  # noqa: E731  percentiles of levels, then decibels
+    p = frames.groupBy("recording_id").agg(db(0.01).alias("lo"), db(0.99).alias("hi"), F.count("*").alias("n"), F.max("rms").alias("most"))
     level = F.pow(F.lit(10.0), F.greatest(F.col("lo") + 3, F.col("hi") - 20) / 20)
     usable = (F.col("n") >= 4) & (F.col("most") > 0) & (F.col("hi") - F.col("lo") >= SEPARATION_DB)
     return p.select("recording_id", F.when(usable, level).alias("level"))

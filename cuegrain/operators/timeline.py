@@ -162,25 +162,30 @@ def flatten_captions(layers: DataFrame, roots: DataFrame, deepest: int | None =
     return both.select("root_id", "depth", "layer_id", "text", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end")), errors
 
 
+#: Style fields that an empty or zero value leaves as they are, and those that any value sets.
+STYLE_IF_FILLED = ("font", "size", "fill", "stroke", "scale")
+STYLE_IF_GIVEN = ("tracking", "leading", "justification", "apply_fill", "apply_stroke", "stroke_width", "stroke_over_fill")
+
+
 def sync_style(captions: DataFrame, style: dict, timelines: DataFrame) -> DataFrame:
-    """captions with one style applied to all: absent, zero and empty values keep the old, positions scale with the timeline.
+    """captions with one style applied to all: absent values keep the old, of some fields empty and zero ones too.
 
-    captions: comp_id, layer_id, font, size, fill, position_x, position_y. style holds values of the same
-    names, and the source_width and source_height of the timeline that they were taken from.
+    captions: comp_id, layer_id and any of the style's fields, position_x and position_y among them. style
+    holds values of the same names, and the source_width and source_height of the timeline that they were
+    taken from. The position scales with the timeline; it moves only if both its parts and both sizes are known.
     """
     both = captions.join(timelines.select("comp_id", "width", "height"), "comp_id")
-    kinds = dict(captions.dtypes) | {"source_width": "int", "source_height": "int"}
-    both = both.withColumns({f"s_{k}": F.lit(style.get(k)).cast(kinds[k]) for k in ("font", "size", "fill", "position_x", "position_y", "source_width", "source_height")})
-    scale_x = F.col("width") / F.when(F.col("s_source_width") > 0, F.col("s_source_width"))
-    scale_y = F.col("height") / F.when(F.col("s_source_height") > 0, F.col("s_source_height"))
-    new = {
-        "font": F.coalesce(F.when(F.col("s_font") != "", F.col("s_font")), "font"),
-        "size": F.coalesce(F.when(F.col("s_size") > 0, F.col("s_size")), "size"),
-        "fill": F.coalesce("s_fill", "fill"),
-        "position_x": F.coalesce(F.col("s_position_x") * scale_x, "position_x"),
-        "position_y": F.coalesce(F.col("s_position_y") * scale_y, "position_y"),
-    }
-    return both.withColumns(new).select(*captions.columns)
+    kinds = dict(captions.dtypes)
+    new = {}
+    for name in (*STYLE_IF_FILLED, *STYLE_IF_GIVEN):
+        value = style.get(name)
+        if name in kinds and value is not None and (name in STYLE_IF_GIVEN or value not in ("", 0)):
+            new[name] = (F.array(*map(F.lit, value)) if isinstance(value, (list, tuple)) else F.lit(value)).cast(kinds[name])
+    x, y, width, height = (style.get(k) for k in ("position_x", "position_y", "source_width", "source_height"))
+    if x is not None and y is not None and width and height:
+        new["position_x"] = F.col("width") * F.lit(x / width)
+        new["position_y"] = F.col("height") * F.lit(y / height)
+    return both.withColumns({k: v for k, v in new.items() if k in kinds}).select(*captions.columns)
 
 
 def sync_report(synced: DataFrame) -> DataFrame:

@@ -120,27 +120,28 @@ def _(spark, sf):
 
 
 #: A timeline for each customer, a layer for each order; a customer's first order holds the next customer's timeline.
+#: A chain ends at every 25th customer, so results grow with the orders; no level is cut.
 NESTED = """WITH RECURSIVE cl AS (SELECT o_custkey AS comp_id, o_orderkey AS layer_id, 'order ' || o_orderkey AS text, CAST(o_orderkey % 9000 AS DOUBLE) / 1000.0::DOUBLE AS start, CAST(o_orderkey % 9000 + 400 AS DOUBLE) / 1000.0::DOUBLE AS "end",
-    CAST(o_custkey % 50 AS DOUBLE) / 4.0::DOUBLE AS start_time, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN o_custkey + 1 END AS source_comp_id FROM orders),
+    CAST(o_custkey % 50 AS DOUBLE) / 4.0::DOUBLE AS start_time, CASE WHEN o_custkey % 25 <> 0 AND o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN o_custkey + 1 END AS source_comp_id FROM orders),
  hd AS (SELECT comp_id AS from_id, source_comp_id, start_time FROM cl WHERE source_comp_id IS NOT NULL),
- tree AS (SELECT DISTINCT comp_id AS root_id, comp_id, 0 AS depth, 0.0::DOUBLE AS "offset" FROM cl UNION ALL SELECT root_id, source_comp_id, depth + 1, "offset" + start_time FROM tree JOIN hd ON from_id = comp_id WHERE depth < 8)
+ tree AS (SELECT DISTINCT comp_id AS root_id, comp_id, 0 AS depth, 0.0::DOUBLE AS "offset" FROM cl UNION ALL SELECT root_id, source_comp_id, depth + 1, "offset" + start_time FROM tree JOIN hd ON from_id = comp_id)
 """
 
 
-def _nested(spark, sf) -> DataFrame:
+def _nested(spark, sf, chain: int = 25) -> DataFrame:
     first = F.col("o_orderkey") == F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
     o = d.table(spark, sf, "orders").withColumn("first", first)
-    return o.selectExpr("o_custkey AS comp_id", "o_orderkey AS layer_id", "concat('layer ', o_orderkey) AS name", "'caption' AS tag", "concat('order ', o_orderkey) AS text", "CAST(o_orderkey % 9000 AS DOUBLE) / 1000.0D AS start", "CAST(o_orderkey % 9000 + 400 AS DOUBLE) / 1000.0D AS end", "CAST(o_custkey % 50 AS DOUBLE) / 4.0D AS start_time", "CASE WHEN first THEN o_custkey + 1 END AS source_comp_id")
+    return o.selectExpr("o_custkey AS comp_id", "o_orderkey AS layer_id", "concat('layer ', o_orderkey) AS name", "'caption' AS tag", "concat('order ', o_orderkey) AS text", "CAST(o_orderkey % 9000 AS DOUBLE) / 1000.0D AS start", "CAST(o_orderkey % 9000 + 400 AS DOUBLE) / 1000.0D AS end", "CAST(o_custkey % 50 AS DOUBLE) / 4.0D AS start_time", f"CASE WHEN first AND o_custkey % {chain} <> 0 THEN o_custkey + 1 END AS source_comp_id")
 
 
 @query("flatten_hierarchy", NESTED + 'SELECT root_id, depth, layer_id, text, round(l.start + "offset", 6) AS start, round(l."end" + "offset", 6) AS "end" FROM tree JOIN cl l ON l.comp_id = tree.comp_id WHERE source_comp_id IS NULL')
 def _(spark, sf):
     layers = _nested(spark, sf)
     roots = layers.select(F.col("comp_id").alias("root_id")).distinct()
-    return L.flatten_captions(layers, roots, L.DEEPEST)[0].select("root_id", "depth", "layer_id", "text", *r6("start", "end"))
+    return L.flatten_captions(layers, roots)[0].select("root_id", "depth", "layer_id", "text", *r6("start", "end"))
 
 
-#: The same with an end to each chain: a customer whose number is a multiple of 20 holds no other timeline, and no level is cut.
+#: The same with chains of 20 customers.
 WHOLE_NESTED = """WITH RECURSIVE cl AS (SELECT o_custkey AS comp_id, o_orderkey AS layer_id, 'order ' || o_orderkey AS text, CAST(o_orderkey % 9000 AS DOUBLE) / 1000.0::DOUBLE AS start, CAST(o_orderkey % 9000 + 400 AS DOUBLE) / 1000.0::DOUBLE AS "end",
     CAST(o_custkey % 50 AS DOUBLE) / 4.0::DOUBLE AS start_time, CASE WHEN o_custkey % 20 <> 0 AND o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN o_custkey + 1 END AS source_comp_id FROM orders),
  hd AS (SELECT comp_id AS from_id, source_comp_id, start_time FROM cl WHERE source_comp_id IS NOT NULL),
@@ -150,23 +151,30 @@ WHOLE_NESTED = """WITH RECURSIVE cl AS (SELECT o_custkey AS comp_id, o_orderkey
 
 @query("flatten_whole_hierarchy", WHOLE_NESTED + 'SELECT root_id, depth, layer_id, text, round(l.start + "offset", 6) AS start, round(l."end" + "offset", 6) AS "end" FROM tree JOIN cl l ON l.comp_id = tree.comp_id WHERE source_comp_id IS NULL')
 def _(spark, sf):
-    layers = _nested(spark, sf).withColumn("source_comp_id", F.when(F.col("comp_id") % 20 != 0, F.col("source_comp_id")))
+    layers = _nested(spark, sf, 20)
     roots = layers.select(F.col("comp_id").alias("root_id")).distinct()
     return L.flatten_captions(layers, roots)[0].select("root_id", "depth", "layer_id", "text", *r6("start", "end"))
 
 
-STYLED = LAY + ", st AS (SELECT comp_id, layer_id, 'font' || layer_id % 3 AS font, CAST(layer_id % 40 AS DOUBLE) AS size, CASE WHEN layer_id % 2 = 0 THEN [1.0::DOUBLE, 0.0::DOUBLE] END AS fill, 10.0::DOUBLE AS position_x, CAST(layer_id % 100 AS DOUBLE) AS position_y FROM layers WHERE tag = 'caption')"
+STYLED = LAY + """, st AS (SELECT comp_id, layer_id, 'font' || layer_id % 3 AS font, CASE WHEN layer_id % 2 = 0 THEN [1.0::DOUBLE, 0.0::DOUBLE] END AS fill, CAST(layer_id % 5 AS DOUBLE) AS "leading" FROM layers WHERE tag = 'caption')"""
 
 
 def _styled(spark, sf) -> DataFrame:
     captions = d.layers(spark, sf).where("tag = 'caption'").selectExpr("comp_id", "layer_id", "concat('font', layer_id % 3) AS font", "CAST(layer_id % 40 AS DOUBLE) AS size", "CASE WHEN layer_id % 2 = 0 THEN array(1.0D, 0.0D) END AS fill", "10.0D AS position_x", "CAST(layer_id % 100 AS DOUBLE) AS position_y")
-    style = {"font": "", "size": 48.0, "position_x": 960.0, "source_width": 1920, "source_height": 1080}
+    captions = captions.selectExpr("*", "layer_id % 7 AS tracking", "CAST(layer_id % 5 AS DOUBLE) AS leading", "'left' AS justification", "layer_id % 2 = 0 AS apply_fill", "true AS apply_stroke", "array(0.0D, 0.0D) AS stroke", "2.0D AS stroke_width", "true AS stroke_over_fill", "array(100.0D, 100.0D) AS scale")
+    style = {"font": "", "size": 48.0, "position_x": 960.0, "position_y": 810.0, "source_width": 1920, "source_height": 1080}
+    style |= {"tracking": 0, "leading": None, "justification": "center", "apply_fill": False, "apply_stroke": False, "stroke": [1.0, 0.5], "stroke_width": 0.0, "stroke_over_fill": False, "scale": [80.0, 90.0]}
     return L.sync_style(captions, style, d.timelines(spark, sf))
 
 
-@query("style_sync", STYLED + " SELECT comp_id, layer_id, font, 48.0::DOUBLE AS size, array_to_string(fill, ',') AS fill, round(960.0 * (width / 1920), 6) AS position_x, position_y FROM st JOIN timelines USING (comp_id)")
+_joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query("style_sync", STYLED + """ SELECT comp_id, layer_id, font, 48.0::DOUBLE AS size, array_to_string(fill, ',') AS fill, round(960.0 * (width / 1920), 6) AS position_x, round(810.0 * (height / 1080), 6) AS position_y,
+    0::BIGINT AS tracking, "leading", 'center' AS justification, false AS apply_fill, false AS apply_stroke, '1.0,0.5' AS stroke, 0.0::DOUBLE AS stroke_width, false AS stroke_over_fill, '80.0,90.0' AS scale FROM st JOIN timelines USING (comp_id)""")
 def _(spark, sf):
-    return _styled(spark, sf).select("comp_id", "layer_id", "font", "size", F.array_join(F.transform("fill", lambda x: x.cast("string")), ",").alias("fill"), *r6("position_x"), "position_y")
+    plain = ("tracking", "leading", "justification", "apply_fill", "apply_stroke", "stroke_width", "stroke_over_fill")
+    return _styled(spark, sf).select("comp_id", "layer_id", "font", "size", *[_joined(c).alias(c) for c in ("fill", "stroke", "scale")], *r6("position_x", "position_y"), *plain)
 
 
 @query("style_report", STYLED + " SELECT count(*) AS updated, count(DISTINCT comp_id) AS comps, CASE WHEN count(*) = 0 THEN 'no captions' END AS error FROM st JOIN timelines USING (comp_id)")
@@ -178,15 +186,17 @@ def _(spark, sf):
 
 
 def _preset_files(spark, sf) -> DataFrame:
-    """A file of three to five presets per customer: some lack names, repeat ids or are cut short."""
+    """A file of four presets per customer: some lack names or a phase, repeat ids, have odd phases or are cut short."""
     c = d.table(spark, sf, "customer")
-    one = lambda i: f"concat('{{\"id\":\"p', (c_custkey + {i}) % 3, '\",\"name\":', CASE WHEN (c_custkey + {i}) % 7 = 0 THEN 'null' ELSE concat('\"Preset ', c_custkey % 5, ' {i}\"') END, ',\"in\":{{\"seconds\":0.', {i} + 1, '}}}}')"
+    body = lambda i: f"CASE (c_custkey + {i}) % 4 WHEN 0 THEN ',\"in\":{{\"seconds\":0.{i + 1}}}' WHEN 1 THEN ',\"description\":\"plain\"' WHEN 2 THEN ',\"in\":{{\"properties\":[1]}},\"out\":null' ELSE ',\"out\":{{\"properties\":{{}}}}' END"
+    one = lambda i: f"concat('{{\"id\":\"p', (c_custkey + {i}) % 3, '\",\"name\":', CASE WHEN (c_custkey + {i}) % 7 = 0 THEN 'null' ELSE concat('\"Preset ', c_custkey % 5, ' {i}\"') END, {body(i)}, '}}')"
     text = f"concat('{{\"version\":1,\"presets\":[', {one(0)}, ',', {one(1)}, ',', {one(2)}, ',', {one(3)}, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE ']}}' END)"
     return c.selectExpr("c_custkey AS file", f"{text} AS content")
 
 
-PRESETS = """WITH pf AS (SELECT c_custkey AS file, i AS pos, 'p' || (c_custkey + i) % 3 AS id, CASE WHEN (c_custkey + i) % 7 = 0 THEN NULL ELSE 'Preset ' || c_custkey % 5 || ' ' || i END AS name FROM customer, unnest(range(0, 4)) AS u(i) WHERE c_custkey % 11 <> 0),
-ps AS (SELECT file, CAST(pos AS INT) AS pos, id, name FROM pf WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file, id ORDER BY pos) = 1)
+PRESETS = """WITH pf AS (SELECT c_custkey AS file, i AS pos, 'p' || (c_custkey + i) % 3 AS id, CASE WHEN (c_custkey + i) % 7 = 0 THEN NULL ELSE 'Preset ' || c_custkey % 5 || ' ' || i END AS name,
+    CASE (c_custkey + i) % 4 WHEN 0 THEN ',"in":{"seconds":0.' || (i + 1) || '}' WHEN 1 THEN ',"description":"plain"' WHEN 2 THEN ',"in":{"properties":[1]},"out":null' END AS rest FROM customer, unnest(range(0, 4)) AS u(i) WHERE c_custkey % 11 <> 0),
+ps AS (SELECT file, CAST(pos AS INT) AS pos, id, name, rest FROM pf WHERE name IS NOT NULL AND rest IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file, id ORDER BY pos) = 1)
 """
 
 
@@ -195,7 +205,7 @@ def _(spark, sf):
     return P.scan_presets(_preset_files(spark, sf)).select("file", "pos", "id", "name", "custom")
 
 
-@query("preset_write", PRESETS + """SELECT file, '{"version":1,"presets":[' || string_agg('{"id":"' || id || '","name":"' || name || '"}', ',' ORDER BY pos) || ']}' AS content FROM ps GROUP BY 1""")
+@query("preset_write", PRESETS + """SELECT file, '{"version":1,"presets":[' || string_agg('{"id":"' || id || '","name":"' || name || '"' || rest || ',"custom":true}', ',' ORDER BY pos) || ']}' AS content FROM ps GROUP BY 1""")
 def _(spark, sf):
     return P.write_presets(P.scan_presets(_preset_files(spark, sf)), "file")
 
@@ -290,6 +300,24 @@ def _(spark, sf):
     return coded.select("o_orderkey", parsed.alias("p")).select("o_orderkey", F.round("p.seconds", 5).alias("seconds"), "p.error")
 
 
+TYPED = TIMES + """, ty AS (SELECT o_orderkey, frame_duration AS f, base, dropped, o_orderkey % 10 AS kind, o_orderkey % 90 AS n FROM fd),
+ rd AS (SELECT *, CASE kind WHEN 0 THEN 10.0 + n * f WHEN 1 THEN n + 0.5 - 3.0 WHEN 2 THEN 0.5 - 3.0 WHEN 3 THEN n * f - 3.0
+    WHEN 4 THEN ((1 * 60 + 12) * 60 + 75) * base * f - (CASE WHEN dropped THEN (CASE WHEN base = 60 THEN 4 ELSE 2 END) * (72 - 7) ELSE 0 END) * f - 3.0
+    WHEN 5 THEN (n * base + 3) * f - 3.0 END AS raw FROM ty),
+ sn AS (SELECT *, CASE WHEN kind IN (0, 1, 2) THEN floor(raw / f + 0.5) * f ELSE raw END AS sec FROM rd)
+"""
+
+
+@query("typed_timecode", TYPED + """SELECT o_orderkey, CASE WHEN sec >= -1e-6 THEN round(greatest(sec, 0), 4) END AS seconds,
+    CASE kind WHEN 6 THEN 'nothing to nudge from' WHEN 7 THEN 'too many digits' WHEN 8 THEN 'not a time' WHEN 9 THEN 'empty' ELSE CASE WHEN sec < -1e-6 THEN 'before the start' END END AS error FROM sn""")
+def _(spark, sf):
+    n, kind = F.col("o_orderkey") % 90, F.col("o_orderkey") % 10
+    forms = [F.concat(F.lit("+ "), n), F.concat(n, F.lit(".5 S")), F.lit(".5s"), F.concat(n), F.lit("1:12;75.0"), F.concat(n, F.lit(":3")), F.lit("-4"), F.lit("123456789"), F.lit("1:2:3:4:5"), F.lit("  ")]
+    typed = F.get(F.array(*[f.cast("string") for f in forms]), kind.cast("int"))
+    parsed = S.parse_timecode(typed, F.when(kind != 6, F.lit(10.0)), F.col("rate"), F.col("frame_duration"), F.col("flagged"), F.lit(3.0))
+    return _times(spark, sf).select("o_orderkey", parsed.alias("p")).select("o_orderkey", F.round("p.seconds", 4).alias("seconds"), "p.error")
+
+
 @query("format_duration", TIMES + "SELECT o_orderkey, CAST(round(CAST(CASE WHEN o_orderkey % 9 = 0 THEN 0.0 ELSE t END AS DECIMAL(18, 6)), 2) AS DECIMAL(18, 2)) || 's' AS label FROM fd")
 def _(spark, sf):
     return _times(spark, sf).select("o_orderkey", S.format_duration(F.when(F.col("o_orderkey") % 9 == 0, -F.col("t")).otherwise(F.col("t"))).alias("label"))
@@ -305,6 +333,12 @@ def _(spark, sf):
     return d.table(spark, sf, "conversations").select("conv_id", "turn", S.occurrences(F.col("text"), F.lit("en"), True).alias("n"))
 
 
+@query("occurrence_positions", "SELECT conv_id, turn, array_to_string(list_transform(range(1, len(p)), lambda i: length(array_to_string(p[1:i], 'en'))), ',') AS places FROM (SELECT conv_id, turn, string_split(text, 'en') AS p FROM conversations)")
+def _(spark, sf):
+    places = S.occurrence_positions(F.col("text"), F.lit("en"), True)
+    return d.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.transform(places, lambda x: x.cast("string")), ",").alias("places"))
+
+
 @query("safe_file_name", "SELECT page_id, CASE WHEN s = '' THEN 'captions' ELSE s END AS name FROM (SELECT page_id, regexp_replace(trim(regexp_replace(url || (CASE WHEN page_id % 3 = 0 THEN ' .. ' ELSE '' END), '[\\\\/:*?\"<>|\\r\\n]+', '-', 'g')), '[. ]+$', '') AS s FROM pages)")
 def _(spark, sf):
     url = F.concat("url", F.when(F.col("page_id") % 3 == 0, " .. ").otherwise(""))
@@ -336,7 +370,19 @@ def _(spark, sf):
 def _(spark, sf):
     text = "concat(CASE WHEN o_orderkey % 2 = 0 THEN 'v' ELSE '' END, o_orderkey % 4, '.', CASE WHEN o_orderkey % 5 = 4 THEN 'x' ELSE CAST(o_orderkey % 5 AS STRING) END, CASE WHEN o_orderkey % 3 = 0 THEN '-beta.2' ELSE '' END)"
     key = S.version_key(F.expr(text))
-    return d.table(spark, sf, "orders").select("o_orderkey", key.alias("k")).select("o_orderkey", F.get("k", F.lit(0)).alias("major"), F.get("k", F.lit(1)).alias("minor"), F.get("k", F.lit(3)).alias("release"))
+    return d.table(spark, sf, "orders").select("o_orderkey", key.alias("k")).select("o_orderkey", *[F.coalesce(F.get("k.numbers", F.lit(i)).cast("int"), F.lit(0)).alias(n) for i, n in enumerate(("major", "minor"))], "k.release")
+
+
+VERSIONS = """WITH v AS (SELECT o_orderkey, o_orderkey % 3 AS a1, o_orderkey % 2 AS a4, CASE o_orderkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta.2' ELSE '' END AS ap,
+    o_custkey % 3 AS b1, o_custkey % 2 AS b4, CASE o_custkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta.2' ELSE '' END AS bp FROM orders)
+"""
+
+
+@query("version_order", VERSIONS + """SELECT o_orderkey, CAST(CASE WHEN (a1, a4) < (b1, b4) THEN -1 WHEN (a1, a4) > (b1, b4) THEN 1 WHEN ap = bp THEN 0 WHEN ap = '' THEN 1 WHEN bp = '' THEN -1 WHEN ap < bp THEN -1 ELSE 1 END AS INT) AS sign FROM v""")
+def _(spark, sf):
+    text = "concat('v', {0} % 3, '.0.x', CASE WHEN {0} % 2 = 1 THEN '.1' ELSE '.0.0' END, CASE {0} % 4 WHEN 0 THEN '-alpha' WHEN 1 THEN '-beta.2' ELSE '' END)"
+    a, b = F.expr(text.format("o_orderkey")), F.expr(text.format("o_custkey"))
+    return d.table(spark, sf, "orders").select("o_orderkey", S.compare_versions(a, b).alias("sign"))
 
 
 @query("stable_bare_word", f"WITH {d.WORDS} SELECT recording_id, idx, regexp_replace(lower(text), '[^a-z'']', '', 'g') AS bare FROM words")

@@ -181,7 +181,7 @@ kept AS (SELECT * FROM detected WHERE recording_id IN (SELECT recording_id FROM
 every AS (SELECT * FROM kept UNION ALL SELECT recording_id, 0.0::DOUBLE, duration FROM whole WHERE recording_id NOT IN (SELECT recording_id FROM kept)),
 spans AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start) - 1 AS span_id, start, "end" FROM every WHERE "end" > 0),
 sil AS (SELECT recording_id, CASE WHEN n >= 4 AND most > 0 AND hi - lo >= 12 THEN pow(10.0::DOUBLE, greatest(lo + 3, hi - 20) / 20) END AS level FROM
-    (SELECT recording_id, quantile_cont(20 * log10(rms + 1e-9), 0.01) AS lo, quantile_cont(20 * log10(rms + 1e-9), 0.99) AS hi, count(*) AS n, max(rms) AS most FROM frames GROUP BY 1)),
+    (SELECT recording_id, 20 * log10(quantile_cont(rms, 0.01) + 1e-9) AS lo, 20 * log10(quantile_cont(rms, 0.99) + 1e-9) AS hi, count(*) AS n, max(rms) AS most FROM frames GROUP BY 1)),
 quiet AS (SELECT f.recording_id, frame_idx, frame_idx - row_number() OVER (PARTITION BY f.recording_id ORDER BY frame_idx) AS run FROM frames f JOIN sil USING (recording_id) WHERE rms <= level),
 silent AS (SELECT recording_id, min(frame_idx) * 0.03::DOUBLE AS start, (max(frame_idx) + 1) * 0.03::DOUBLE AS "end" FROM quiet GROUP BY recording_id, run HAVING (max(frame_idx) - min(frame_idx) + 1) * 0.03::DOUBLE >= 0.12::DOUBLE)
 """

@@ -19,13 +19,13 @@ def test_srt_timecode(spark, seconds, code):
     assert one(spark, S.srt_timecode(F.lit(seconds))) == code
 
 
-@pytest.mark.parametrize("typed,rate,flagged,seconds", [("01:00:00:12", 24.0, False, 3600.5), ("12:10", 25.0, False, 12.4), ("110", 30.0, False, 1 + 10 / 30), ("+5", 25.0, False, 10.2), ("-5", 25.0, False, 9.8), ("4.5s", 25.0, False, 4.5), ("00:01:00;02", 29.97, True, 1800 / 29.97), ("00:10:00;00", 29.97, True, 17982 / 29.97)])
+@pytest.mark.parametrize("typed,rate,flagged,seconds", [("01:00:00:12", 24.0, False, 3600.5), ("12:10", 25.0, False, 12.4), ("110", 30.0, False, 1 + 10 / 30), ("+5", 25.0, False, 10.2), ("-5", 25.0, False, 9.8), ("4.5s", 24.0, False, 4.5), ("4.5 S", 25.0, False, 4.52), (".5s", 24.0, False, 0.5), ("00:01:75;00", 29.97, True, (135 * 30 - 2) / 29.97), ("00:01:00;02", 29.97, True, 1800 / 29.97), ("00:10:00;00", 29.97, True, 17982 / 29.97)])
 def test_parse_timecode(spark, typed, rate, flagged, seconds):
     got = one(spark, S.parse_timecode(F.lit(typed), F.lit(10.0), F.lit(rate), F.lit(1 / rate), F.lit(flagged), F.lit(0.0)))
     assert got.error is None and got.seconds == pytest.approx(seconds)
 
 
-@pytest.mark.parametrize("typed,error", [("", "empty"), ("soon", "not a time"), ("-400", "before the start")])
+@pytest.mark.parametrize("typed,error", [("", "empty"), ("soon", "not a time"), ("-400", "before the start"), ("123456789", "too many digits"), ("1:2:3:4:5", "not a time")])
 def test_parse_timecode_errors(spark, typed, error):
     got = one(spark, S.parse_timecode(F.lit(typed), F.lit(1.0), F.lit(25.0), F.lit(0.04), F.lit(False), F.lit(0.0)))
     assert got.error == error and got.seconds is None
@@ -41,6 +41,11 @@ def test_scalars(spark):
     assert one(spark, S.reading_speed(F.lit(10), F.lit(0.0))) == math.inf
     keys = [one(spark, S.version_key(F.lit(v))) for v in ("1.2", "v1.10.0-beta", "1.10", "junk")]
     assert keys[3] < keys[0] < keys[1] < keys[2]
+    signs = [one(spark, S.compare_versions(F.lit(a), F.lit(b))) for a, b in (("1.2.3.4", "1.2.3.5"), ("1.0-alpha", "1.0-beta"), ("1.0.0.0", "v1"), ("1.0-", "1.0"), ("2", "1.9.9.9.9"))]
+    assert signs == [-1, -1, 0, 0, 1]
+    assert one(spark, S.occurrence_positions(F.lit("Aa\naA aaa"), F.lit("aa"))) == [0, 3, 6]
+    nudged = S.parse_timecode(F.lit("+1"), F.lit(None).cast("double"), F.lit(25.0), F.lit(0.04), F.lit(False), F.lit(0.0))
+    assert one(spark, nudged).error == "nothing to nudge from"
     assert one(spark, S.occurrences(F.lit("Aa\naA"), F.lit("a a"))) == 1
 
 
