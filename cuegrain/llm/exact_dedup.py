@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,13 +75,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns.
 
-    docs is written once with row numbers, so that all reads number alike; each text is digested once,
-    and the numbers of the rows that go are broadcast, or meet the rows in a shuffle if they are many.
-    Of repeated rows with one id and text but other columns, the one with the smallest hash of its
-    columns (but maps) stays, so that reruns agree.
+    Each text is digested once, and the keys of the rows that go are broadcast, or meet the rows in a
+    shuffle if they are many. A row's key is its file and place, if docs is a table of files as it is
+    read; else docs is written once with row numbers, so that both reads number alike. Of repeated rows
+    with one id and text but other columns, the one with the smallest hash of its columns (but maps)
+    stays, so that reruns agree.
     """
-    numbered = cut(docs.withColumn("__cg_row", F.monotonically_increasing_id()), "numbered")
-    mark = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    found = exact_dedup(numbered, id_col, text_col, row_col="__cg_row", mark=mark)
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = _with_file_keys(docs) or cut(docs.withColumn("__cg_row", F.monotonically_increasing_id()), "numbered")
+    found = exact_dedup(keyed, id_col, text_col, row_col="__cg_row", mark=F.xxhash64(*plain))
     gone = cut(found.where("NOT kept").select(F.col("row").alias("__cg_row")), "gone")
-    return numbered.join(broadcast_below(gone), "__cg_row", "left_anti").select(*docs.columns)
+    return keyed.join(broadcast_below(gone), "__cg_row", "left_anti").select(*docs.columns)
+
+
+def _with_file_keys(docs: DataFrame) -> DataFrame | None:
+    """docs with __cg_row: a hash of the file that holds the row, and its place there; None if docs is not files as they are read."""
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        return docs.withColumn("__cg_row", key)
+    except AnalysisException:
+        return None

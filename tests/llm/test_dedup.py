@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cuegrain.llm import near_dedup as N
 from cuegrain.llm.common import broadcast_below
 from cuegrain.llm.components import components
-from cuegrain.llm.exact_dedup import drop_exact_copies, exact_dedup, frequent_digests, text_digests
+from cuegrain.llm.exact_dedup import _with_file_keys, drop_exact_copies, exact_dedup, frequent_digests, text_digests
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, row long, __x int"
 
@@ -60,6 +60,18 @@ def test_the_row_that_stays_does_not_depend_on_the_order(spark):
     assert one == two and len(one) == 1
 
 
+def test_rows_of_files_are_told_apart_by_their_place(spark, tmp_path):
+    rows = [(k % 9 if k % 5 else None, f"text {k % 4}", "en", f"s{k % 3}", k, "d", 7, 0) for k in range(90)]
+    df = spark.createDataFrame(rows, DOCS)
+    df.repartition(5).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    keyed = _with_file_keys(read)
+    assert keyed.select("__cg_row").distinct().count() == 90 and _with_file_keys(df) is None
+    kept = drop_exact_copies(read)
+    assert kept.columns == read.columns and {tuple(r) for r in kept.collect()} == {tuple(r) for r in drop_exact_copies(df).collect()}
+    assert kept.count() == 4
+
+
 def test_broadcasts_are_bounded_in_rows_and_bytes(spark):
     df = spark.createDataFrame([(i, "x" * 100) for i in range(10)], "id long, host string")
     hinted = lambda *bounds: "broadcast" in broadcast_below(df, *bounds)._jdf.queryExecution().logical().toString().lower()
