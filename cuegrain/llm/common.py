@@ -46,3 +46,27 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+#: Parts at most into which the rows of a group are dealt when they meet the group's totals.
+SLICES = 64
+
+
+def slice_of(member: str) -> Column:
+    return F.pmod(F.xxhash64(member), F.lit(SLICES)).cast("int")
+
+
+def slices_of(member: str) -> Column:
+    """An aggregate: the slices that a group's members fall in, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slice_of(member)))
+
+
+def meet_totals(rows: DataFrame, totals: DataFrame, key: str, member: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group's row in totals, which has `slices`, made by slices_of(member).
+
+    The join is by key and slice, so the rows of a hot key are up to SLICES tasks' work, and a group
+    of a few rows makes no more rows than it has itself. `how` is inner or left.
+    """
+    each = F.explode(F.expr(f"filter(sequence(0, {SLICES - 1}), s -> getbit(slices, s) = 1)"))
+    spread = totals.withColumn("__slice", each).drop("slices")
+    return rows.withColumn("__slice", slice_of(member)).join(spread, [key, "__slice"], how).drop("__slice")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrain.llm.common import cut
+from cuegrain.llm.common import cut, meet_totals, slices_of
 
 
 def _state(links: DataFrame) -> tuple:
@@ -16,16 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (low < high); component is the smallest node reached.
 
     Each step replaces links by links to the smallest neighbour, which keeps what is connected and
-    ends with one star per component. Every step is a grouped minimum and a join, so no component is
-    gathered in one place; the number of steps grows with the logarithm of the longest path.
+    ends with one star per component. Every step is a grouped minimum and a join in which the neighbours
+    of a hub are dealt to several tasks, so no component is gathered in one place; the number of steps grows with the logarithm of the longest path.
     """
     links = cut(links.select("low", "high").distinct(), "links")
     before = _state(links)
     while before[0]:
         both = links.union(links.select(F.col("high").alias("low"), F.col("low").alias("high")))
-        least = both.groupBy(F.col("low").alias("node")).agg(F.min("high").alias("m")).select("node", F.least("m", "node").alias("m"))
+        least = both.groupBy("low").agg(F.min("high").alias("m"), slices_of("high").alias("slices")).withColumn("m", F.least("m", "low"))
         # large star: the larger neighbours of a node go to the smallest of its neighbourhood
-        large = both.where("high > low").join(least, F.col("low") == F.col("node")).select(F.col("m").alias("low"), "high").where("low < high")
+        large = meet_totals(both.where("high > low"), least, "low", "high").select(F.col("m").alias("low"), "high").where("low < high")
         # small star: the smaller neighbours of a node, and the node itself, go to the smallest of them
         small = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("m"))
         moved = large.join(small, F.col("high") == F.col("node")).select("m", F.col("low").alias("other")).where("m < other")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrain.llm.common import broadcast_below, cut, give_back, smallest_first
+from cuegrain.llm.common import broadcast_below, cut, give_back, meet_totals, slices_of, smallest_first
 from cuegrain.llm.components import components
 
 WIDTH = 5
@@ -30,13 +30,10 @@ BANDS, ROWS = 52, 5
 VERIFY, BATCH = 128, 16
 #: Probability that a pair at or above the threshold is dropped at one batch.
 MISS = 1e-7
-#: Rounds in which a bucket's members are compared with one of them before the rest meets in pairs or blocks.
-#: One joins groups of true copies; more help little where texts are only alike, and each costs some dozens of stages.
-HUB_ROUNDS = 1
-#: Buckets with more rows than this after those rounds are compared in blocks, not in pairs.
+#: Buckets with more rows than this after the round with one of them are compared in blocks, not in pairs.
 DENSE = 32
 #: Rows, and shingles, of a block at most (on average: rows are dealt to blocks by hash).
-BLOCK_ROWS, BLOCK_ITEMS = 128, 500_000
+BLOCK_ROWS, BLOCK_ITEMS = 512, 1_000_000
 #: Rows of shingles hashed at a time, so that very long texts need bounded memory.
 CHUNK = 2048
 
@@ -204,30 +201,31 @@ def _compare_blocks(percent: int):
     """Links between the rows of two blocks that are in different components: Bayesian pruning, then the full sets."""
     kept = least_matches(percent / 100)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in batch.to_pylist():
-                a, b = pair["a"], pair["b"]
-                ca, cb = (np.array([r["component"] for r in x]) for x in (a, b))
-                na, nb = (np.array([r["row"] for r in x]) for x in (a, b))
-                x, y = (np.frombuffer(b"".join(r["sig"] for r in z), "<u2").reshape(-1, VERIFY) for z in (a, b))
-                i, j = np.nonzero((ca[:, None] != cb[None, :]) & ((na[:, None] < nb[None, :]) | (pair["i"] != pair["j"])))
-                matches = np.zeros(len(i), np.int64)
-                for n, least in kept.items():
-                    matches += (x[i, n - BATCH : n] == y[j, n - BATCH : n]).sum(axis=1)
-                    i, j, matches = (v[matches >= least] for v in (i, j, matches))
-                if not len(i):
-                    continue
-                ua, ub = np.unique(i), np.unique(j)
-                sa, sb = ([np.frombuffer(z[k]["items"], np.uint64) for k in u] for z, u in ((a, ua), (b, ub)))
-                common = _counts(sa, sb)[np.searchsorted(ua, i), np.searchsorted(ub, j)]
-                la, lb = np.array([len(v) for v in sa]), np.array([len(v) for v in sb])
-                total = la[np.searchsorted(ua, i)] + lb[np.searchsorted(ub, j)] - common
-                ok = 100 * common >= percent * total
-                p, q = na[i[ok]], nb[j[ok]]
-                # one link for each two components is enough
-                _, one = np.unique(np.stack([ca[i[ok]], cb[j[ok]]]), axis=1, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)[one]), pa.array(np.maximum(p, q)[one])], names=["low", "high"])
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, first, second = (k.as_py() for k in key)
+        block, row, component = (table.column(c).to_numpy() for c in ("block", "row", "component"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, VERIFY)
+        sides = [np.flatnonzero(block == z) for z in (first, second)]
+        i, j = (side[z] for side, z in zip(sides, np.nonzero(component[sides[0]][:, None] != component[sides[1]][None, :]), strict=True))
+        if first == second:
+            i, j = i[row[i] < row[j]], j[row[i] < row[j]]
+        matches = np.zeros(len(i), np.int64)
+        for n, least in kept.items():
+            matches += (sig[i, n - BATCH : n] == sig[j, n - BATCH : n]).sum(axis=1)
+            i, j, matches = (v[matches >= least] for v in (i, j, matches))
+        if len(i):
+            items = table.column("items")
+            ua, ub = np.unique(i), np.unique(j)
+            sa, sb = ([np.frombuffer(items[int(k)].as_py(), np.uint64) for k in u] for u in (ua, ub))
+            at, to = np.searchsorted(ua, i), np.searchsorted(ub, j)
+            common = _counts(sa, sb)[at, to]
+            total = np.array([len(v) for v in sa])[at] + np.array([len(v) for v in sb])[to] - common
+            ok = 100 * common >= percent * total
+            i, j = i[ok], j[ok]
+            # one link for each two components is enough
+            _, one = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)
+            i, j = i[one], j[one]
+        return pa.table({"low": pa.array(np.minimum(row[i], row[j]), pa.int64()), "high": pa.array(np.maximum(row[i], row[j]), pa.int64())})
 
     return run
 
@@ -236,23 +234,24 @@ def _links_in_dense(verifier: _Verifier, dense: DataFrame) -> tuple[DataFrame, D
     """Links between rows that dense buckets join, and (node, cluster).
 
     dense: (key, node, component). Rows joined by dense buckets form a cluster; a cluster's rows are
-    dealt to blocks by hash, each block meets each other one once, and a task compares two blocks at a
-    time. Only links leave the task, so the rows made grow with the blocks and not with the pairs.
+    dealt to blocks by hash. Each row goes once to every pair of blocks that its own is in, and these
+    pairs are the keys by which the rows are shuffled, so a hot cluster is many keys of at most two
+    blocks each. Only links leave a task.
     """
-    hubs = dense.groupBy("key").agg(F.min("node").alias("low"))
-    clusters = components(dense.join(hubs, "key").where("low < node").select("low", F.col("node").alias("high")))
+    hubs = dense.groupBy("key").agg(F.min("node").alias("low"), slices_of("node").alias("slices"))
+    clusters = components(meet_totals(dense, hubs, "key", "node").where("low < node").select("low", F.col("node").alias("high")))
     clusters = cut(clusters.withColumnRenamed("component", "cluster"), "clusters")
     sets = verifier.sets(clusters.select(F.col("node").alias("row")), "binary")
     known = dense.select("node", "component").distinct()
     rows = clusters.join(known, "node").withColumnRenamed("node", "row").join(sets, "row").join(verifier.reps.select("row", "n", "sig"), "row")
     rows = cut(rows, "dense-rows")
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ITEMS)).alias("blocks"))
-    dealt = rows.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
-    blocks = cut(dealt.groupBy("cluster", "block").agg(F.collect_list(F.struct("row", "component", "sig", "items")).alias("rows")), "blocks")
-    a = blocks.select("cluster", F.col("block").alias("i"), F.col("rows").alias("a"))
-    b = blocks.select("cluster", F.col("block").alias("j"), F.col("rows").alias("b"))
-    kind = "low long, high long"
-    return a.join(b, "cluster").where("i <= j").select("i", "j", "a", "b").mapInArrow(_compare_blocks(verifier.percent), kind), clusters
+    fill = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_ITEMS)
+    # a cluster that is one component has nothing to link
+    sizes = rows.groupBy("cluster").agg(F.ceil(fill).alias("blocks"), slices_of("row").alias("slices"), F.min("component").alias("a"), F.max("component").alias("b"))
+    dealt = meet_totals(rows, sizes.where("a <> b").drop("a", "b"), "cluster", "row").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    pairs = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    pairs = pairs.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "component", "sig", "items")
+    return pairs.groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(verifier.percent), "low long, high long"), clusters
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
@@ -266,46 +265,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketches = sketch(docs, id_col, text_col, width, row_col)
     # equal sets are one node: the smallest row of each
-    nodes = sketches.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"))
+    nodes = sketches.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), slices_of("row").alias("slices"))
+    nodes = cut(nodes, "nodes")
     reps = cut(sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi"), "representatives")
     verifier = _Verifier(docs, sketches, reps, id_col, text_col, width, percent)
 
+    # each bucket's members meet the smallest of them
     keyed = reps.select(F.col("row").alias("node"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    open_rows = cut(keyed.join(shared, "key").withColumn("component", F.col("node")), "buckets")
-    links, found = None, None
-    for turn in range(HUB_ROUNDS):
-        if open_rows.isEmpty():
-            break
-        # each bucket's members meet one of them, the smallest at first, then one drawn by hash, unless links join them already
-        rank = F.col("node") if not turn else F.xxhash64("node", "key", F.lit(turn))
-        hubs = open_rows.groupBy("key").agg(F.min_by(F.struct("node", "component"), rank).alias("hub"))
-        met = open_rows.join(hubs, "key").where("node <> hub.node")
-        unlike = met.where("component <> hub.component").select(F.least("node", "hub.node").alias("low"), F.greatest("node", "hub.node").alias("high"))
-        new = cut(verifier.links(unlike.distinct()), "links")
-        links = new if links is None else links.union(new)
-        found = cut(components(links), "components")
-        # a bucket stays open while its members, the hub aside, are in several components
-        rest = met.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members")).where("a <> b").select("key", "members")
-        open_rows = cut(rest.join(split, "key").select("key", "node", "component", "members"), "buckets")
-    if links is not None and not open_rows.isEmpty():
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), slices_of("node").alias("slices")).where("n > 1").drop("n")
+    met = cut(meet_totals(keyed, hubs, "key", "node").where("node <> hub"), "buckets")
+    links = cut(verifier.links(met.select(F.col("hub").alias("low"), F.col("node").alias("high")).distinct()), "links")
+    found = cut(components(links), "components")
+    # a bucket stays open while its members, the hub aside, are in several components
+    rest = met.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("members"), slices_of("node").alias("slices"))
+    open_rows = cut(meet_totals(rest, split.where("a <> b").drop("a", "b"), "key", "node"), "buckets")
+    if not open_rows.isEmpty():
         in_blocks, clusters = _links_in_dense(verifier, open_rows.where(f"members > {DENSE}"))
         sparse = open_rows.where(f"members <= {DENSE}").join(clusters, "node", "left")
         other = sparse.select("key", F.col("node").alias("other"), F.col("component").alias("its"), F.col("cluster").alias("there"))
         pairs = sparse.join(other, "key").where("node < other AND component <> its AND NOT coalesce(cluster = there, false)")
         new = cut(verifier.links(pairs.select(F.col("node").alias("low"), F.col("other").alias("high")).distinct()), "links")
-        links = links.union(new).union(cut(in_blocks, "links"))
-    if links is not None:
-        found = components(links)
-    else:
-        found = docs.sparkSession.createDataFrame([], "node long, component long")
-
-    labelled = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    rows = sketches.select("row", "id", "n", "digest").join(labelled, "digest", "left").withColumn("component", F.coalesce("component", "row"))
+        found = components(links.union(new).union(cut(in_blocks, "links")))
+
+    labelled = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), "slices")
+    rows = meet_totals(sketches.select("row", "id", "n", "digest"), labelled, "digest", "row", "left").withColumn("component", F.coalesce("component", "row"))
     rows = cut(rows.select("row", "id", "n", "component"), "labelled")
-    first = rows.groupBy("component").agg(F.min(smallest_first("id", "row")).alias("first"))
-    return rows.join(first, "component").select("row", "id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
+    first = rows.groupBy("component").agg(F.min(smallest_first("id", "row")).alias("first"), slices_of("row").alias("slices"))
+    rows = meet_totals(rows, first, "component", "row")
+    return rows.select("row", "id", F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,7 +128,6 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A group of like but mostly unlinked texts is compared in blocks, and no link is lost."""
     monkeypatch.setattr(N, "DENSE", 2)
     monkeypatch.setattr(N, "BLOCK_ROWS", 5)
-    monkeypatch.setattr(N, "HUB_ROUNDS", 1)
     base, rng, rows = words(5, 150), np.random.default_rng(3), []
     for i in range(60):
         w = base.copy()
