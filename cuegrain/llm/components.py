@@ -27,9 +27,9 @@ def components(links: DataFrame) -> DataFrame:
         # large star: the larger neighbours of a node go to the smallest of its neighbourhood
         large = meet_totals(both.where("high > low"), least, "low", "high").select(F.col("m").alias("low"), "high").where("low < high")
         # small star: the smaller neighbours of a node, and the node itself, go to the smallest of them
-        small = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("m"))
-        moved = large.join(small, F.col("high") == F.col("node")).select("m", F.col("low").alias("other")).where("m < other")
-        links = cut(moved.union(small.select("m", "node")).toDF("low", "high").distinct(), "links")
+        small = large.groupBy("high").agg(F.min("low").alias("m"), slices_of("low").alias("slices"))
+        moved = meet_totals(large, small, "high", "low").select("m", F.col("low").alias("other")).where("m < other")
+        links = cut(moved.union(small.select("m", "high")).toDF("low", "high").distinct(), "links")
         after = _state(links)
         if after == before:
             break
