@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME_SECONDS = 0.03
@@ -39,11 +39,20 @@ def frame_rms(blocks: DataFrame, frame_length: int) -> DataFrame:
     """
     order = Window.partitionBy("recording_id").orderBy("block_no")
     begin = F.sum(F.size("samples")).over(order) - F.size("samples")
-    placed = blocks.select("recording_id", "samples", begin.cast("long").alias("begin"))  # before the blocks are exploded
-    samples = placed.select("recording_id", "begin", F.posexplode("samples").alias("pos", "x"))
-    frame = F.floor((F.col("begin") + F.col("pos")) / frame_length).cast("long")
-    x = F.col("x").cast("double")
-    sums = samples.groupBy("recording_id", frame.alias("frame_idx")).agg(F.sum(x * x).alias("energy"), F.count("*").alias("n"))
+    placed = blocks.where(F.size("samples") > 0).select("recording_id", "samples", begin.cast("long").alias("begin"))
+    # each block is reduced to a row per frame that it touches; only frames cut by the end of a block meet another's part
+    first, last = F.col("begin"), F.col("begin") + F.size("samples") - 1
+
+    def part(frame: Column) -> Column:
+        lo = F.greatest(frame * frame_length, first)
+        n = F.least((frame + 1) * frame_length - 1, last) - lo + 1
+        inside = F.slice("samples", (lo - first + 1).cast("int"), n.cast("int"))
+        energy = F.aggregate(inside, F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double"))
+        return F.struct(frame.alias("frame_idx"), energy.alias("energy"), n.alias("n"))
+
+    touched = F.sequence(F.floor(first / frame_length).cast("long"), F.floor(last / frame_length).cast("long"))
+    parts = placed.select("recording_id", F.inline(F.transform(touched, part)))
+    sums = parts.groupBy("recording_id", "frame_idx").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n"))
     return sums.where(F.col("n") == frame_length).select("recording_id", "frame_idx", F.sqrt(F.col("energy") / frame_length).alias("rms"))
 
 

@@ -138,9 +138,10 @@ def _(spark, sf):
     return turns.select("conv_id", "turn", F.array_join(G.wrap_lines(F.col("text"), 42, 3), "|").alias("lines"))
 
 
-@query("choose_layout", f"WITH {d.TIMELINES} SELECT comp_id, CASE WHEN width <= 0 OR height <= 0 THEN 'unknown' WHEN width / height < 0.9 THEN 'vertical' WHEN width / height <= 1.2 THEN 'square' ELSE 'horizontal' END AS orientation FROM timelines")
+@query("choose_layout", """WITH t AS (SELECT o_orderkey, o_orderkey % 1999 AS width, o_custkey % 1499 AS height FROM orders)
+ SELECT o_orderkey, CASE WHEN width <= 0 OR height <= 0 THEN 'unknown' WHEN width / height < 0.9 THEN 'vertical' WHEN width / height <= 1.2 THEN 'square' ELSE 'horizontal' END AS orientation FROM t""")
 def _(spark, sf):
-    return d.timelines(spark, sf).select("comp_id", G.orientation(F.col("width"), F.col("height")).alias("orientation"))
+    return d.table(spark, sf, "orders").select("o_orderkey", G.orientation(F.col("o_orderkey") % 1999, F.col("o_custkey") % 1499).alias("orientation"))
 
 
 @query("reading_speed", ROUGH + "SELECT comp_id, caption_no, CASE WHEN caption_no % 10 = 0 THEN 'infinity'::DOUBLE ELSE round(length(text) / (\"end\" - start), 6) END AS speed FROM rough")

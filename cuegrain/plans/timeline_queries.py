@@ -64,9 +64,9 @@ def _(spark, sf):
     return L.layer_times(d.layers(spark, sf), True).select("comp_id", "layer_id", "name", *r6("duration"))
 
 
-@query("usable_range", LAY + "SELECT comp_id, work_start - 3 >= 0 AND work_duration > 0 AS usable FROM timelines")
+@query("usable_range", "SELECT o_orderkey, o_orderkey % 11 - 3 >= 0 AND o_custkey % 4 > 0 AS usable FROM orders")
 def _(spark, sf):
-    return d.timelines(spark, sf).select("comp_id", L.usable_range(F.col("work_start") - 3, F.col("work_duration")).alias("usable"))
+    return d.table(spark, sf, "orders").select("o_orderkey", L.usable_range(F.col("o_orderkey") % 11 - 3, F.col("o_custkey") % 4).alias("usable"))
 
 
 ON_FRAME = "floor(({0}) / frame_duration + 0.5) * frame_duration"
@@ -210,10 +210,10 @@ def _(spark, sf):
     return P.write_presets(P.scan_presets(_preset_files(spark, sf)), "file")
 
 
-@query("preset_override", "SELECT 'r' || r_regionkey AS id, r_name AS name, 0 AS part FROM region WHERE 'r' || r_regionkey NOT IN (SELECT 'r' || n_nationkey % 3 FROM nation) UNION ALL SELECT 'r' || n_nationkey % 3, n_name, 1 FROM nation")
+@query("preset_override", "SELECT 'p' || p_partkey AS id, p_name AS name, 0 AS part FROM part WHERE 'p' || p_partkey NOT IN (SELECT 'p' || c_custkey // 2 FROM customer) UNION ALL SELECT 'p' || c_custkey // 2, c_name, 1 FROM customer")
 def _(spark, sf):
-    built_in = d.table(spark, sf, "region").selectExpr("concat('r', r_regionkey) AS id", "r_name AS name")
-    user = d.table(spark, sf, "nation").selectExpr("concat('r', n_nationkey % 3) AS id", "n_name AS name")
+    built_in = d.table(spark, sf, "part").selectExpr("concat('p', p_partkey) AS id", "p_name AS name")
+    user = d.table(spark, sf, "customer").selectExpr("concat('p', c_custkey div 2) AS id", "c_name AS name")
     return P.preset_library(built_in, user)
 
 
