@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from cuegrain.llm.chat_format import conversation_digests, format_conversations, part_counts
 from cuegrain.llm.exact_dedup import exact_dedup
+from cuegrain.llm.fill_middle import fill_digests, fill_in_middle
+from cuegrain.llm.hard_negatives import hard_negatives
 from cuegrain.llm.html_extract import extract_text
 from cuegrain.llm.media import text_media
 from cuegrain.llm.mixing import mixed_sizes
 from cuegrain.llm.near_dedup import near_duplicates
 from cuegrain.llm.packing import best_fit_packing
+from cuegrain.llm.personal_data import personal_data, span_digests
 from cuegrain.llm.token_files import token_files
 from cuegrain.llm.toxicity import toxicity
 from cuegrain.llm.url_filter import url_verdicts
@@ -112,6 +115,43 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(personal_data(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_digests(fill_in_middle(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+g AS (SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, list_transform([0, 1, 2, 3], lambda k: CAST('0x' || substr(digest, CAST(1 + 8 * k AS BIGINT), 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT doc_id, text, units, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:a], ''), '') AS pre, coalesce(array_to_string(units[a + 1:b], ''), '') AS mid, coalesce(array_to_string(units[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hard_negatives(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,9 +171,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chat_parts": chat_parts,
         "op9_media_columns": op9_media_columns,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_personal_data": op11_personal_data,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "chat_parts": CHAT_PARTS_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "chat_parts": CHAT_PARTS_SQL, "op12_fill_in_middle": OP12_SQL, "op13_hard_negatives": OP13_SQL}
