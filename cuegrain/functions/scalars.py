@@ -107,6 +107,11 @@ def clean_text(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(unix, "[ \t]+\n", "\n"), "\n[ \t]+", "\n"))
 
 
+def body_text(text: Column) -> Column:
+    """A caption's text as it is compared and written: line ends as newlines, no white space at the ends."""
+    return trimmed(F.regexp_replace(text, "\r\n?", "\n"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "(?U)\\s+"), lambda x: x != ""))
 
@@ -150,12 +155,16 @@ def preset_id(name: Column, millis: Column) -> Column:
 
 def version_key(version: Column) -> Column:
     """Sortable struct(numbers, release, pre): all numbers of the dotted part (junk is 0, zeros at the end don't count), 0 for a
-    pre-release and 1 for a release, and the pre-release's text, which is what follows the first dash."""
+    pre-release and 1 for a release, and the pre-release's text, which is what follows the first dash.
+
+    A number of any length is (digits, text) without zeros in front, which sorts as its value.
+    """
     bare = F.regexp_replace(trimmed(F.coalesce(version, F.lit(""))), "^[vV]", "")
-    numbers = F.transform(F.split(F.substring_index(bare, "-", 1), "\\."), lambda n: F.coalesce(F.regexp_extract(n, "^\\s*(\\d{1,18})", 1).try_cast("long"), F.lit(0).cast("long")))
-    last = F.array_max(F.transform(numbers, lambda n, i: F.when(n != 0, i + 1).otherwise(0)))
+    digits = F.transform(F.split(F.substring_index(bare, "-", 1), "\\."), lambda n: F.regexp_replace(F.regexp_extract(n, "^\\s*(\\d+)", 1), "^0+", ""))
+    last = F.array_max(F.transform(digits, lambda n, i: F.when(n != "", i + 1).otherwise(0)))
+    numbers = F.transform(F.slice(digits, F.lit(1), last), lambda n: F.struct(F.length(n).alias("digits"), n.alias("text")))
     pre = F.when(bare.contains("-"), F.regexp_replace(bare, "(?s)^[^-]*-", "")).otherwise("")
-    return F.struct(F.slice(numbers, F.lit(1), last).alias("numbers"), F.when(pre != "", 0).otherwise(1).alias("release"), pre.alias("pre"))
+    return F.struct(numbers.alias("numbers"), F.when(pre != "", 0).otherwise(1).alias("release"), pre.alias("pre"))
 
 
 def compare_versions(a: Column, b: Column) -> Column:
@@ -178,25 +187,27 @@ def level_class(peak: Column) -> Column:
     return F.when(peak < 1e-5, "silent").when(peak < 1e-3, "quiet").when(peak < 0.01, "very quiet").otherwise("ok")
 
 
+def query_pattern(query: Column, match_case: bool = False) -> Column:
+    """A pattern for the query as plain text; its spaces also match line breaks, and a line break in it matches nothing."""
+    quoted = F.replace(F.replace(query, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(" "), F.lit("\\E[ \n]\\Q"))
+    return F.when(query.contains("\n"), "(?!)").otherwise(F.concat(F.lit("\\Q" if match_case else "(?iu)\\Q"), quoted, F.lit("\\E")))
+
+
 def occurrences(text: Column, query: Column, match_case: bool = False) -> Column:
     """Number of matches of query in text that don't overlap; a line break counts as a space."""
-    flat, q = F.translate(text, "\n", " "), query
-    if not match_case:
-        flat, q = F.lower(flat), F.lower(q)
-    return F.when(F.length(q) > 0, ((F.length(flat) - F.length(F.replace(flat, q))) / F.length(q)).cast("long")).otherwise(F.lit(0).cast("long"))
+    pieces = F.split(text, query_pattern(query, match_case), F.lit(-1))
+    return F.when(F.length(query) > 0, (F.size(pieces) - 1).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def occurrence_positions(text: Column, query: Column, match_case: bool = False) -> Column:
-    """array of places, from 0, of the matches of query in text, from the left and without overlaps; a line break counts as a space."""
-    flat, q = F.translate(text, "\n", " "), query
-    if not match_case:
-        flat, q = F.lower(flat), F.lower(q)
-    pieces = F.split(flat, F.concat(F.lit("\\Q"), F.replace(q, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
+    """array of places, from 0 and in UTF-16 units, of the matches of query in text, from the left and without overlaps; a line break counts as a space."""
+    pattern = query_pattern(query, match_case)
+    pieces, matches = F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))
     # what stands before a match: all pieces up to it, and the matches between them
     ends = F.aggregate(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match")),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda acc, p: F.struct((acc.at + F.length(p) + F.length(q)).alias("at"), F.concat(acc.found, F.array(acc.at + F.length(p))).alias("found")),
+        lambda acc, x: F.struct((acc.at + units16(x.piece) + units16(x.match)).alias("at"), F.concat(acc.found, F.array(acc.at + units16(x.piece))).alias("found")),
         lambda acc: acc.found,
     )
-    return F.when(F.length(q) > 0, ends).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(query) > 0, ends).otherwise(F.array().cast("array<int>"))

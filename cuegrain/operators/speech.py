@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuegrain.functions.intervals import covered_points
+
 FRAME_SECONDS = 0.03
 PAD, MERGE_BELOW, LEAST_SPAN = 0.15, 0.30, 0.20
 LEAST_RETAINED = 0.90
@@ -105,9 +107,8 @@ def detected_spans(frames: DataFrame, frame_seconds: float = FRAME_SECONDS) -> D
 
 def covered_frames(frames: DataFrame, spans: DataFrame, frame_seconds: float = FRAME_SECONDS) -> DataFrame:
     """frames that some span covers: from the frame of its start to the one that holds its end."""
-    s = spans.select(F.col("recording_id").alias("s_recording"), F.floor(F.col("start") / frame_seconds).alias("first"), F.ceil(F.col("end") / frame_seconds).alias("stop"))
-    inside = (F.col("recording_id") == F.col("s_recording")) & (F.col("frame_idx") >= F.col("first")) & (F.col("frame_idx") < F.col("stop"))
-    return frames.join(s, inside, "left_semi")
+    s = spans.select("recording_id", F.floor(F.col("start") / frame_seconds).alias("first"), F.ceil(F.col("end") / frame_seconds).alias("stop"))
+    return covered_points(frames, s, "recording_id", "frame_idx", "first", "stop", False, 4096)
 
 
 def energy_retained(frames: DataFrame, spans: DataFrame, frame_seconds: float = FRAME_SECONDS) -> DataFrame:

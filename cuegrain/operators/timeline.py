@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
+from cuegrain.functions.intervals import apart_from
 from cuegrain.functions.scalars import clean_text, round_half_up
 from cuegrain.functions.scratch import cut, scratch_path
 
@@ -88,9 +88,7 @@ def caption_position(captions: DataFrame, timelines: DataFrame, default_y: float
 
 def outside_ranges(captions: DataFrame, ranges: DataFrame) -> DataFrame:
     """captions that overlap no half-open range of their timeline (an interval anti-join). ranges: comp_id, range_start, range_end."""
-    r = ranges.select(F.col("comp_id").alias("r_comp"), "range_start", "range_end")
-    hit = (F.col("comp_id") == F.col("r_comp")) & (F.col("start") < F.col("range_end")) & (F.col("end") > F.col("range_start"))
-    return captions.join(r, hit, "left_anti")
+    return apart_from(captions, ranges, "comp_id", "start", "end", "range_start", "range_end")
 
 
 def rebuild_captions(new: DataFrame, existing: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,36 +115,46 @@ def rebuild_captions(new: DataFrame, existing: DataFrame, ranges: DataFrame) ->
     return out, report.select("comp_id", F.when(F.col("error").isNull(), F.coalesce("n_new", zero)).otherwise(zero).alias("added"), (F.coalesce("n_before", zero) - F.coalesce("n_kept", zero)).alias("replaced"), "error")
 
 
+def _extended(path: Column) -> tuple[Column, Column]:
+    """Whether a path repeats no timeline before its last step, and whether that step leads back into it."""
+    body = F.slice(path, F.lit(1), F.size(path) - 1)
+    return F.size(F.array_distinct(body)) == F.size(body), F.array_contains(body, F.element_at(path, -1))
+
+
 def nested_offsets(layers: DataFrame, deepest: int | None = None, roots: DataFrame | None = None) -> DataFrame:
     """(root_id, comp_id, depth, offset, error): every timeline under every other, through caption-tagged holder layers.
 
-    Each level is one join, written once, and levels follow until one has no rows; to locate a timeline,
+    Ways are doubled: with all ways of exactly n steps and all from the roots of fewer than n, one join gives those from the roots of fewer than
+    2n, and another all ways of exactly 2n. So the rounds, each written, grow with the logarithm of the depth; to locate a timeline,
     deepest is DEEPEST. A timeline met again inside itself is a row with an error and is not followed.
     roots: root_id, all timelines if not given.
     """
-    spark = layers.sparkSession
-    holders = layers.where(is_caption_layer(F.col("tag"), F.col("name")) & F.col("source_comp_id").isNotNull()).select(F.col("comp_id").alias("from_id"), "source_comp_id", "start_time")
-    holders = cut(holders, "holders")
+    spark, kind = layers.sparkSession, layers.schema["comp_id"].dataType
+    to = F.col("source_comp_id").cast(kind)
+    holders = layers.where(is_caption_layer(F.col("tag"), F.col("name")) & F.col("source_comp_id").isNotNull())
+    ways = cut(holders.select(F.col("comp_id").alias("from_id"), to.alias("to_id"), F.col("start_time").alias("way"), F.array(to).alias("steps"), (to == F.col("comp_id")).alias("again")), "ways")
     start = layers.select(F.col("comp_id").alias("root_id"), "comp_id").distinct()
     start = start if roots is None else start.join(roots.select("root_id"), "root_id", "left_semi")
-    level = start.select("root_id", "comp_id", F.lit(0.0).alias("offset"), F.array("comp_id").alias("path"), F.lit(None).cast("string").alias("error"))
-    folder, depth, schema = scratch_path(spark, "nested"), 0, level.schema
-    while True:
-        level.write.parquet(f"{folder}/depth={depth}")
-        level = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
-        if depth == deepest or level.isEmpty():
+    found = start.select("root_id", "comp_id", F.lit(0).alias("depth"), F.lit(0.0).alias("offset"), F.array("comp_id").alias("path"), F.lit(None).cast("string").alias("error"))
+    folder, schema, n = scratch_path(spark, "nested"), found.schema, 1
+    found.write.parquet(f"{folder}/part=0")
+    while deepest is None or n <= deepest:
+        known = spark.read.schema(schema).parquet(folder)
+        path = F.concat("path", "steps")
+        fresh, again = _extended(path)
+        longer = known.where("error IS NULL").join(ways, F.col("comp_id") == F.col("from_id")).where(fresh)
+        longer = longer.select("root_id", F.col("to_id").alias("comp_id"), (F.col("depth") + n).cast("int").alias("depth"), (F.col("offset") + F.col("way")).alias("offset"), path.alias("path"), F.when(again, "timeline inside itself").alias("error"))
+        longer = longer if deepest is None else longer.where(F.col("depth") <= deepest)
+        longer.write.parquet(f"{folder}/part={n}")
+        if spark.read.schema(schema).parquet(f"{folder}/part={n}").isEmpty():
             break
-        depth += 1
-        again = F.array_contains("path", F.col("source_comp_id"))
-        level = level.where("error IS NULL").join(holders, F.col("comp_id") == F.col("from_id")).select(
-            "root_id",
-            F.col("source_comp_id").cast(schema["comp_id"].dataType).alias("comp_id"),
-            (F.col("offset") + F.col("start_time")).alias("offset"),
-            F.concat("path", F.array(F.col("source_comp_id").cast(schema["comp_id"].dataType))).alias("path"),
-            F.when(again, "timeline inside itself").alias("error"),
-        )
-    kinds = StructType([*schema.fields, StructField("depth", IntegerType())])
-    return spark.read.schema(kinds).parquet(folder).select("root_id", "comp_id", "depth", "offset", "error")
+        second = ways.select(*[F.col(x).alias(f"s_{x}") for x in ways.columns])
+        steps = F.concat("steps", "s_steps")
+        fresh, again = _extended(F.concat(F.array("from_id"), steps))
+        twice = ways.where("NOT again").join(second, F.col("to_id") == F.col("s_from_id")).where(fresh)
+        ways = cut(twice.select("from_id", F.col("s_to_id").alias("to_id"), (F.col("way") + F.col("s_way")).alias("way"), steps.alias("steps"), again.alias("again")), "ways")
+        n *= 2
+    return spark.read.schema(schema).parquet(folder).select("root_id", "comp_id", "depth", "offset", "error")
 
 
 def flatten_captions(layers: DataFrame, roots: DataFrame, deepest: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuegrain.functions.intervals import covered_points
+
 TOKEN_SECONDS, LAST_LEAST, LAST_MOST = 0.20, 0.08, 0.6
 LAG_SECONDS = 0.146
 CHUNK_SECONDS, OVERLAP_SECONDS = 20.0, 2.0
@@ -124,9 +126,7 @@ def overlap_windows(chunks: DataFrame) -> DataFrame:
 
 def words_in_overlaps(words: DataFrame, overlaps: DataFrame) -> DataFrame:
     """words that start inside an overlap, both ends included (a semi-join on recording and range)."""
-    o = overlaps.withColumnRenamed("recording_id", "o_recording")
-    inside = (F.col("recording_id") == F.col("o_recording")) & F.col("start").between(F.col("overlap_start"), F.col("overlap_end"))
-    return words.join(o, inside, "left_semi")
+    return covered_points(words, overlaps, "recording_id", "start", "overlap_start", "overlap_end", True, 60.0)
 
 
 def drop_boundary_repeats(words: DataFrame, overlaps: DataFrame) -> DataFrame:

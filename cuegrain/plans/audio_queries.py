@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuegrain.functions.scratch import cut
 from cuegrain.operators import align, recognise
 from cuegrain.operators import words as W
 from cuegrain.plans import derived as d
@@ -43,7 +44,7 @@ def energy(spark, sf) -> DataFrame:
 
 @query("align_to_audio")
 def _(spark, sf):
-    return align.align_to_audio(d.words(spark, sf), energy(spark, sf)).select("recording_id", "idx", "text", *r6("start", "end"))
+    return align.align_to_audio(d.words(spark, sf), cut(energy(spark, sf), "energy")).select("recording_id", "idx", "text", *r6("start", "end"))
 
 
 #: Block numbers that one WAV file covers, so that files and rows stay small however long a recording is.

@@ -165,11 +165,12 @@ def _(spark, sf):
     return C.fix_overlaps(rough_captions(spark, sf), "comp_id", "caption_no").select("comp_id", "caption_no", *r6("new_end"), "unfixed")
 
 
-@query("shift_captions", ROUGH + """, n AS (SELECT *, row_number() OVER (PARTITION BY comp_id ORDER BY start, "end", caption_no) AS n FROM rough),
- s AS (SELECT *, min(start - 30 * frame_duration) OVER (PARTITION BY comp_id) < -1e-6 AS bad FROM n WHERE n >= 3)
- SELECT comp_id, caption_no, round(CASE WHEN bad THEN start ELSE start - 30 * frame_duration END, 6) AS start, round(CASE WHEN bad THEN "end" ELSE "end" - 30 * frame_duration END, 6) AS "end", CASE WHEN bad THEN 'before the start' END AS error FROM s""")
+@query("shift_captions", ROUGH + """, n AS (SELECT *, row_number() OVER (PARTITION BY comp_id ORDER BY start, "end", caption_no) AS n, count(*) OVER (PARTITION BY comp_id) AS size FROM rough),
+ s AS (SELECT *, min(start - 30 * frame_duration) OVER (PARTITION BY comp_id) < -1e-6 AS bad FROM n WHERE n >= 30)
+ SELECT comp_id, caption_no, round(CASE WHEN bad THEN start ELSE start - 30 * frame_duration END, 6) AS start, round(CASE WHEN bad THEN "end" ELSE "end" - 30 * frame_duration END, 6) AS "end", CASE WHEN bad THEN 'before the start' END AS error FROM s
+ UNION ALL SELECT DISTINCT comp_id, NULL, NULL, NULL, 'no captions to shift' FROM n WHERE size < 30""")
 def _(spark, sf):
-    return C.shift_captions(rough_captions(spark, sf), "comp_id", "caption_no", 3, -30).select("comp_id", "caption_no", *r6("start", "end"), "error")
+    return C.shift_captions(rough_captions(spark, sf), "comp_id", "caption_no", 30, -30).select("comp_id", "caption_no", *r6("start", "end"), "error")
 
 
 CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n[ \\t]+', chr(10), 'g'), ' ' || chr(10) || chr(9))"
@@ -187,39 +188,54 @@ def _(spark, sf):
     return C.retext_edits(typed, "typed").select("comp_id", "caption_no", "edit_text", "error")
 
 
-@query("retime_edits", ROUGH + """, n AS (SELECT *, start - (caption_no % 4) * 0.013::DOUBLE AS s2, "end" - (caption_no % 7) * 0.2::DOUBLE AS e2 FROM rough),
- e AS (SELECT *, CASE WHEN s2 < -1e-6 THEN 'before the start' WHEN e2 - s2 < frame_duration / 2 THEN 'too short' END AS error FROM n)
- SELECT comp_id, caption_no, round(CASE WHEN error IS NULL AND abs(s2 - start) >= frame_duration / 2 THEN greatest(0.0::DOUBLE, s2) END, 6) AS edit_start, round(CASE WHEN error IS NULL AND abs(e2 - "end") >= frame_duration / 2 THEN e2 END, 6) AS edit_end, error FROM e""")
+@query("retime_edits", ROUGH + f""", n AS (SELECT *, {SNAP.format("(start - (caption_no % 4) * 0.013::DOUBLE)")} AS s2, {SNAP.format('("end" - (caption_no % 7) * 0.2::DOUBLE)')} AS e2 FROM rough),
+ e AS (SELECT *, abs(s2 - start) >= frame_duration / 2 AS ms, abs(e2 - "end") >= frame_duration / 2 AS me FROM n),
+ j AS (SELECT *, CASE WHEN ms AND s2 < -1e-6 THEN 'before the start' WHEN ms AND "end" - s2 < frame_duration / 2 THEN 'too short' END AS x1, CASE WHEN me AND start < -1e-6 THEN 'before the start' WHEN me AND e2 - start < frame_duration / 2 THEN 'too short' END AS x2 FROM e)
+ SELECT comp_id, caption_no, round(CASE WHEN ms AND x1 IS NULL THEN s2 END, 6) AS edit_start, round(CASE WHEN me AND x2 IS NULL THEN e2 END, 6) AS edit_end, coalesce(x1, x2) AS error FROM j""")
 def _(spark, sf):
     typed = rough_captions(spark, sf).withColumns({"s2": F.col("start") - (F.col("caption_no") % 4) * 0.013, "e2": F.col("end") - (F.col("caption_no") % 7) * 0.2})
     return C.retime_edits(typed, "s2", "e2").select("comp_id", "caption_no", *r6("edit_start", "edit_end"), "error")
 
 
-FOUND = ROUGH + ", found AS (SELECT *, CAST((length(replace(text, chr(10), ' ')) - length(replace(lower(replace(text, chr(10), ' ')), 'th', ''))) / 2 AS BIGINT) AS matches FROM rough)"
+#: Captions with line breaks between words, and characters of two UTF-16 units.
+BROKEN = ROUGH + ", broken AS (SELECT * REPLACE (CASE WHEN caption_no % 4 = 0 THEN replace(text, ' ', chr(10)) WHEN caption_no % 7 = 0 THEN '😀' || text ELSE text END AS text) FROM rough)"
 
 
-@query("find_text", FOUND + "SELECT comp_id, caption_no, matches FROM found WHERE matches > 0")
+def broken_captions(spark, sf) -> DataFrame:
+    n = F.col("caption_no")
+    text = F.when(n % 4 == 0, F.translate("text", " ", "\n")).when(n % 7 == 0, F.concat(F.lit("😀"), "text")).otherwise(F.col("text"))
+    return rough_captions(spark, sf).withColumn("text", text)
+
+
+FOUND = BROKEN + ", found AS (SELECT *, CAST((length(text) - length(regexp_replace(text, '{0}', '', 'gi'))) / {1} AS BIGINT) AS matches FROM broken)"
+
+
+@query("find_text", FOUND.format("th", 2) + "SELECT comp_id, caption_no, matches FROM found WHERE matches > 0")
 def _(spark, sf):
-    return C.find_text(rough_captions(spark, sf), "TH").select("comp_id", "caption_no", "matches")
+    return C.find_text(broken_captions(spark, sf), "TH").select("comp_id", "caption_no", "matches")
 
 
-REPLACED = FOUND + f", made AS (SELECT *, {CLEAN.format('''regexp_replace(regexp_replace(replace(text, chr(10), ' '), 'th', '$z', 'gi'), ' {2,}', ' ', 'g')''')} AS new_text FROM found WHERE matches > 0), ref AS (SELECT *, max(CASE WHEN new_text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY comp_id) = 1 AS refused FROM made)"
+def replaced(pattern: str, size: int, by: str) -> str:
+    made = CLEAN.format(f"regexp_replace(text, '{pattern}', '{by}', 'gi')")
+    return FOUND.format(pattern, size) + f", made AS (SELECT *, regexp_replace({made}, ' {{2,}}', ' ', 'g') AS new_text FROM found WHERE matches > 0), ref AS (SELECT *, max(CASE WHEN new_text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY comp_id) = 1 AS refused FROM made)"
 
 
-@query("replace_all", REPLACED + "SELECT comp_id, caption_no, new_text, refused FROM ref")
+@query("replace_all", replaced("th", 2, "$z") + "SELECT comp_id, caption_no, new_text, refused FROM ref")
 def _(spark, sf):
-    return C.replace_all(rough_captions(spark, sf), "comp_id", "th", "$z").select("comp_id", "caption_no", "new_text", "refused")
+    return C.replace_all(broken_captions(spark, sf), "comp_id", "th", "$z").select("comp_id", "caption_no", "new_text", "refused")
 
 
-@query("edit_counts", REPLACED + "SELECT comp_id, CAST(sum(CASE WHEN refused THEN 0 ELSE matches END) AS BIGINT) AS replaced, CAST(sum(CASE WHEN refused THEN 0 ELSE 1 END) AS BIGINT) AS changed FROM ref GROUP BY 1")
+@query("edit_counts", replaced("e[ \\n]t", 3, "e t") + "SELECT comp_id, CAST(sum(CASE WHEN refused THEN 0 ELSE matches END) AS BIGINT) AS replaced, count(*) FILTER (WHERE NOT refused AND text <> new_text) AS changed FROM ref GROUP BY 1")
 def _(spark, sf):
-    return C.edit_counts(C.replace_all(rough_captions(spark, sf), "comp_id", "th", "$z"), "comp_id")
+    return C.edit_counts(C.replace_all(broken_captions(spark, sf), "comp_id", "e t", "e t"), "comp_id")
 
 
 @query("split_caption", ROUGH + f""", o AS (SELECT *, CAST(caption_no % 9 AS INT) AS cutat FROM rough),
  h AS (SELECT *, {CLEAN.format('substring(text, 1, cutat)')} AS a, {CLEAN.format('substring(text, cutat + 1)')} AS b FROM o),
  p AS (SELECT *, a <> '' AND b <> '' AND "end" - start >= 1.5::DOUBLE * frame_duration AS ok FROM h),
- m AS (SELECT *, least(greatest({SNAP.format('''(start + ("end" - start) * (CAST(length(a) AS DOUBLE) / (length(a) + length(b))))''')}, start + frame_duration), "end" - frame_duration) AS mid FROM p)
+ m0 AS (SELECT *, {SNAP.format('''(start + ("end" - start) * (CAST(length(a) AS DOUBLE) / (length(a) + length(b))))''')} AS m0 FROM p),
+ m1 AS (SELECT *, CASE WHEN m0 < start + frame_duration THEN {SNAP.format("(start + frame_duration)")} ELSE m0 END AS m1 FROM m0),
+ m AS (SELECT *, CASE WHEN m1 > "end" - frame_duration THEN {SNAP.format('("end" - frame_duration)')} ELSE m1 END AS mid FROM m1)
  SELECT comp_id, caption_no, 0 AS part, a AS text, round(start, 6) AS start, round(mid, 6) AS "end" FROM m WHERE ok UNION ALL SELECT comp_id, caption_no, 1, b, round(mid, 6), round("end", 6) FROM m WHERE ok
  UNION ALL SELECT comp_id, caption_no, NULL, text, round(start, 6), round("end", 6) FROM m WHERE NOT ok""")
 def _(spark, sf):
@@ -229,48 +245,80 @@ def _(spark, sf):
 
 @query("merge_caption", ROUGH + f""", l AS (SELECT *, lead(text) OVER p AS nt, lead(start) OVER p AS ns, lead("end") OVER p AS ne, row_number() OVER p AS pos FROM rough WINDOW p AS (PARTITION BY comp_id ORDER BY start, "end", caption_no)),
  c AS (SELECT *, pos % 4 = 1 AND nt IS NOT NULL AS merges, pos % 4 = 2 AS goes FROM l)
- SELECT comp_id, caption_no, CASE WHEN merges THEN {CLEAN.format("text || ' ' || nt")} ELSE text END AS text, round(CASE WHEN merges THEN least(start, ns) ELSE start END, 6) AS start, round(CASE WHEN merges THEN greatest("end", ne) ELSE "end" END, 6) AS "end" FROM c WHERE NOT goes""")
+ SELECT comp_id, caption_no, CASE WHEN merges THEN {CLEAN.format(CLEAN.format("text") + " || ' ' || " + CLEAN.format("nt"))} ELSE text END AS text, round(CASE WHEN merges THEN least(start, ns) ELSE start END, 6) AS start, round(CASE WHEN merges THEN greatest("end", ne) ELSE "end" END, 6) AS "end" FROM c WHERE NOT goes""")
 def _(spark, sf):
     n = C.order_captions(rough_captions(spark, sf), "comp_id", "caption_no").withColumn("chosen", F.col("n") % 4 == 1)
     return C.merge_captions(n, "comp_id", "caption_no", "chosen").select("comp_id", "caption_no", "text", *r6("start", "end"))
 
 
-#: Edits of every third caption, in batches of twenty; some are stale, empty, doubled, too short, of missing captions or keyframed.
-EDITS = ROUGH + f""", ed AS (SELECT comp_id * 1000 + caption_no // 60 AS batch_id, comp_id, caption_no + (CASE WHEN caption_no % 501 = 0 THEN 100000 ELSE 0 END) AS layer_id,
-    CASE WHEN caption_no % 249 = 0 THEN text || '!' ELSE text END AS expect_text, start + (caption_no % 5) * 0.001::DOUBLE AS expect_start, "end" AS expect_end,
-    CASE WHEN caption_no % 9 = 0 THEN 'x' || text WHEN caption_no % 183 = 60 THEN ' ' END AS text, CASE WHEN caption_no % 99 = 51 THEN "end" END AS start, CASE WHEN caption_no % 6 = 3 THEN 0.25::DOUBLE END AS shift_by FROM rough WHERE caption_no % 3 = 0),
- j AS (SELECT e.*, c.text AS c_text, c.start AS c_start, c."end" AS c_end, frame_duration, keyframed, count(*) OVER (PARTITION BY batch_id, e.comp_id, layer_id) AS times FROM ed e LEFT JOIN rough c ON c.comp_id = e.comp_id AND c.caption_no = e.layer_id),
- w AS (SELECT *, {CLEAN.format('text')} AS new_text, coalesce(start, c_start + coalesce(shift_by, 0)) AS ns, c_end + coalesce(shift_by, 0) AS ne FROM j),
- q AS (SELECT *, CASE WHEN c_text IS NULL THEN 'missing' WHEN expect_text <> c_text OR abs(expect_start - c_start) > frame_duration / 2 OR abs(expect_end - c_end) > frame_duration / 2 THEN 'stale' WHEN times > 1 THEN 'edited twice'
-    WHEN new_text = '' THEN 'empty text' WHEN text IS NOT NULL AND keyframed THEN 'keyframed text' WHEN ne - ns < frame_duration / 2 THEN 'too short' WHEN ns < -frame_duration / 2 THEN 'before the start' END AS reason FROM w),
- z AS (SELECT *, max(CASE WHEN reason IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY batch_id) = 1 AS refused FROM q)
+BODY = "trim(regexp_replace({0}, '\\r\\n?', chr(10), 'g'), ' ' || chr(10) || chr(9))"
+_SNAPPED = "floor({0} / fd + 0.5) * fd"
+#: What captions will look like if the first wave of edits, and then the second, is applied to them: expressions of either engine.
+_GUESSES = {
+    "m": "n + 3 * comp_id",
+    "off": "CAST(CASE WHEN comp_id % 5 = 2 THEN 10 WHEN comp_id % 47 = 13 THEN NULL ELSE 0 END AS DOUBLE)",
+    "t1": "CASE WHEN n % 9 = 0 THEN 'x' || t0 ELSE t0 END",
+    "t2": "CASE WHEN n % 24 = 0 THEN 'y' || (CASE WHEN n % 9 = 0 THEN 'x' || t0 ELSE t0 END) WHEN n % 9 = 0 THEN 'x' || t0 ELSE t0 END",
+    "e1": f"CASE WHEN n % 27 = 0 AND n % 6 <> 3 THEN {_SNAPPED.format('(e0 + CAST(0.313 AS DOUBLE))')} ELSE e0 END",
+    "sh": _SNAPPED.format("CAST(0.3 AS DOUBLE)"),
+}
+_WAVE1 = {
+    "layer_id": "CASE WHEN m % 600 = 0 THEN n + 100000 WHEN n % 15 = 6 THEN NULL ELSE n END", "layer_index": "n + 1",
+    "expect_text": "CASE WHEN m % 603 = 0 THEN t0 || '!' WHEN m % 606 = 0 THEN NULL ELSE t0 END", "expect_start": "s0 + off + n % 5 * CAST(0.001 AS DOUBLE)", "expect_end": "e0 + off",
+    "text": "CASE WHEN m % 609 = 0 THEN ' ' WHEN n % 9 = 3 AND m % 618 < 30 THEN 'k' || t0 WHEN n % 9 = 0 THEN 'x' || t0 || ' ' END", "start": "CASE WHEN m % 612 = 0 THEN e0 + off END",
+    "end": "CASE WHEN n % 27 = 0 THEN e0 + off + CAST(0.313 AS DOUBLE) END", "shift_by": "CAST(CASE WHEN m % 615 = 0 THEN -1000 WHEN n % 6 = 3 THEN 0.25 END AS DOUBLE)",
+}
+_WAVE2 = _WAVE1 | {
+    "layer_id": "n", "expect_text": "CASE WHEN m % 15 <> 0 THEN t1 ELSE t0 END", "expect_start": "s0 + off", "expect_end": "(CASE WHEN m % 15 <> 0 THEN e1 ELSE e0 END) + off",
+    "text": "CASE WHEN n % 24 = 0 THEN 'y' || t1 END", "start": "CASE WHEN n % 36 = 12 THEN s0 + off - CAST(0.013 AS DOUBLE) END", "end": "CAST(NULL AS DOUBLE)", "shift_by": "CAST(CASE WHEN n % 48 = 0 THEN 0.3 END AS DOUBLE)",
+}
+_WAVE3 = _WAVE2 | {
+    "expect_text": "CASE WHEN m % 21 <> 0 THEN t2 ELSE t0 END", "expect_start": "s0 + (CASE WHEN n % 48 = 0 THEN sh ELSE 0 END) + off", "expect_end": "e1 + (CASE WHEN n % 48 = 0 THEN sh ELSE 0 END) + off",
+    "text": "'z' || t2", "start": "CAST(NULL AS DOUBLE)", "shift_by": "CAST(NULL AS DOUBLE)",
+}
+#: Edits in batches, in three waves that touch the same captions; among them stale, empty, doubled, too short, missing and keyframed ones.
+_WAVES = [(wave, where, edit | {"batch_id": f"comp_id * 10000 + {k * 1000} + CAST(floor(n / {60.0 * (k + 1)}) AS BIGINT)"}) for k, wave, where, edit in ((0, "first", "n % 3 = 0", _WAVE1), (0, "again", "m % 621 = 0", _WAVE1), (1, "second", "n % 12 = 0", _WAVE2), (2, "third", "n % 36 = 0", _WAVE3))]
+
+
+def _fault_sql(x: str, c: str) -> str:
+    to_start, to_end = f"coalesce({x}.s, {c}.s + {x}.sh)", f"coalesce({x}.e, {c}.e + {x}.sh)"
+    stale = f"{x}.off IS NULL OR {x}.et IS NULL OR {x}.es IS NULL OR {x}.ee IS NULL OR {x}.et <> {c}.t OR abs({c}.s + {x}.off - {x}.es) > {x}.half OR abs({c}.e + {x}.off - {x}.ee) > {x}.half"
+    return f"""(CASE WHEN {c} IS NULL THEN 'missing' WHEN {stale} THEN 'stale' WHEN {x}.twice THEN 'edited twice' WHEN {x}.t = '' THEN 'empty text' WHEN {x}.t IS NOT NULL AND {x}.kf THEN 'keyframed text'
+        WHEN {to_end} - {to_start} < {x}.half THEN 'too short' WHEN {to_start} + {x}.off < -{x}.half THEN 'before the start' END)"""
+
+
+#: The batches of a timeline applied one after another to the list of its captions.
+EDITS = ROUGH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", g0 AS (SELECT comp_id, caption_no AS n, {BODY.format('text')} AS t0, text AS raw, start AS s0, "end" AS e0, frame_duration AS fd, keyframed FROM rough),
+ g AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _GUESSES.items() if k not in ("t2",))}, {_GUESSES["t2"]} AS t2 FROM g0),
+ ed AS ({" UNION ALL ".join(f'SELECT comp_id, {", ".join(f"{v} AS {chr(34)}{k}{chr(34)}" for k, v in edit.items())} FROM g WHERE {where}' for _, where, edit in _WAVES)}),
+ rs AS (SELECT comp_id, batch_id, {{'id': coalesce(layer_id, layer_index - 1), 'et': expect_text, 'es': expect_start, 'ee': expect_end, 't': {BODY.format('e.text')}, 's': {_SNAPPED.format('(e.start - off)')}, 'e': {_SNAPPED.format('(e."end" - off)')},
+    'sh': coalesce({_SNAPPED.format('shift_by')}, 0), 'twice': count(*) OVER (PARTITION BY batch_id, comp_id, coalesce(layer_id, layer_index - 1)) > 1, 'half': fd / 2, 'off': off, 'kf': keyframed}} AS x FROM ed e LEFT JOIN g USING (comp_id) WHERE g.n = coalesce(layer_id, layer_index - 1) OR (layer_id >= 100000 AND g.n = 0)),
+ bl AS (SELECT comp_id, batch_id, row_number() OVER (PARTITION BY comp_id ORDER BY batch_id) AS k, list(x) AS eds FROM rs GROUP BY 1, 2),
+ st AS (SELECT comp_id, 0::BIGINT AS k, list({{'id': n, 't': t0, 's': s0, 'e': e0, 'r': false, 'd': false}} ORDER BY n) AS caps FROM g GROUP BY 1
+   UNION ALL SELECT st.comp_id, st.k + 1, CASE WHEN len(list_filter(eds, lambda x: {_fault_sql('x', 'caps[x.id + 1]')} IS NOT NULL)) > 0 THEN caps
+     ELSE list_transform(caps, lambda c: coalesce(list_transform(list_filter(eds, lambda x: x.id = c.id), lambda x: {{'id': c.id, 't': coalesce(x.t, c.t), 's': CASE WHEN x.sh <> 0 THEN c.s + x.sh ELSE coalesce(x.s, c.s) END,
+       'e': CASE WHEN x.sh <> 0 THEN c.e + x.sh ELSE coalesce(x.e, c.e) END, 'r': c.r OR x.t IS NOT NULL, 'd': true}})[1], c)) END FROM st JOIN bl ON bl.comp_id = st.comp_id AND bl.k = st.k + 1)
 """
 
 
 def _edits(spark, sf):
-    c = rough_captions(spark, sf)
-    n = F.col("caption_no")
-    e = c.where(n % 3 == 0).select(
-        (F.col("comp_id") * 1000 + F.floor(n / 60)).alias("batch_id"),
-        "comp_id",
-        (n + F.when(n % 501 == 0, 100000).otherwise(0)).alias("layer_id"),
-        F.when(n % 249 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("expect_text"),
-        (F.col("start") + (n % 5) * 0.001).alias("expect_start"),
-        F.col("end").alias("expect_end"),
-        F.when(n % 9 == 0, F.concat(F.lit("x"), "text")).when(n % 183 == 60, " ").alias("text"),
-        F.when(n % 99 == 51, F.col("end")).alias("start"),
-        F.lit(None).cast("double").alias("end"),
-        F.when(n % 6 == 3, 0.25).alias("shift_by"),
-    )
-    return C.apply_edits(c.withColumnRenamed("caption_no", "layer_id"), e)
-
-
-@query("apply_edits", EDITS + ', g AS (SELECT * FROM z WHERE NOT refused) SELECT r.comp_id, r.caption_no AS layer_id, coalesce(g.new_text, r.text) AS text, round(CASE WHEN g.ns IS NULL THEN r.start ELSE greatest(0.0::DOUBLE, g.ns) END, 6) AS start, round(coalesce(g.ne, r."end"), 6) AS "end", g.layer_id IS NOT NULL AS edited FROM rough r LEFT JOIN g ON g.comp_id = r.comp_id AND g.layer_id = r.caption_no')
+    rough = rough_captions(spark, sf).withColumnRenamed("caption_no", "n")
+    g = rough.select("comp_id", "n", S.body_text(F.col("text")).alias("t0"), F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("frame_duration").alias("fd"))
+    g = g.selectExpr("*", *[f"{v} AS {k}" for k, v in _GUESSES.items()])
+    edits = None
+    for _, where, edit in _WAVES:
+        own = g.where(where).selectExpr("comp_id", *[f"{v} AS `{k}`" for k, v in edit.items()])
+        edits = own if edits is None else edits.unionByName(own)
+    captions = rough.withColumn("layer_index", F.col("n") + 1).withColumnRenamed("n", "layer_id")
+    return C.apply_edits(captions, edits, g.select("comp_id", F.col("off").alias("offset")).distinct())
+
+
+@query("apply_edits", EDITS + ', z AS (SELECT comp_id, unnest(arg_max(caps, k)) AS c FROM st GROUP BY 1) SELECT z.comp_id, c.id AS layer_id, CASE WHEN c.r THEN c.t ELSE raw END AS text, round(c.s, 6) AS start, round(c.e, 6) AS "end", c.d AS edited FROM z JOIN g ON g.comp_id = z.comp_id AND g.n = c.id')
 def _(spark, sf):
     return _edits(spark, sf)[0].select("comp_id", "layer_id", "text", *r6("start", "end"), "edited")
 
 
-@query("edit_rejects", EDITS + "SELECT batch_id, comp_id, layer_id, reason FROM z WHERE reason IS NOT NULL")
+@query("edit_rejects", EDITS + f", z AS (SELECT batch_id, st.comp_id, caps, unnest(eds) AS x FROM st JOIN bl ON bl.comp_id = st.comp_id AND bl.k = st.k + 1) SELECT batch_id, comp_id, x.id AS layer_id, {_fault_sql('x', 'caps[x.id + 1]')} AS reason FROM z WHERE {_fault_sql('x', 'caps[x.id + 1]')} IS NOT NULL")
 def _(spark, sf):
     return _edits(spark, sf)[1]
 

@@ -1,10 +1,12 @@
 import math
+import random
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cuegrain.functions import groups, intervals
 from cuegrain.functions import scalars as S
 from cuegrain.operators import align, captions, recognise, speech, timeline, words
 from cuegrain.sources import asr, pcm, subtitles, words_json
@@ -81,20 +83,111 @@ def test_speech_falls_back_to_the_whole(spark):
     assert speech.speech_spans(f.where("false")).count() == 0
 
 
-def test_alignment_moves_boundaries_and_never_widens():
+def plain_silences(rms, lo, hi, frame=0.01):
+    a, b = max(0, int(lo / frame)), min(len(rms), int(np.ceil(hi / frame)))
+    part = rms[a:b]
+    if len(part) < 4 or not (part > 0).any():
+        return []
+    low, high = 20 * np.log10(np.percentile(part, [1, 99]) + 1e-9)
+    if high - low < 12:
+        return []
+    level, out, k = 10 ** (max(low + 3, high - 20) / 20), [], a
+    while k < b:
+        j = k
+        while j < b and rms[j] <= level:
+            j += 1
+        if (j - k) * frame >= 0.12 - 1e-9:
+            out.append((k * frame, j * frame))
+        k = max(j, k + 1)
+    return out
+
+
+def plain_alignment(starts, ends, rms):
+    """The chain of a whole recording, pair after pair."""
+    s, e = list(starts), list(ends)
+    if not len(rms):
+        return s, e
+    for a, b in [r for r in plain_silences(rms, 0, min(e[0], s[0] + 1)) if r[0] <= s[0] <= r[1]][:1]:
+        s[0] = max(s[0], min(e[0] - 0.05, b))
+    for i in range(len(s) - 1):
+        near = [(max(a, s[i]), min(b, e[i + 1])) for a, b in plain_silences(rms, max(s[i], e[i] - 1), min(e[i + 1], s[i + 1] + 1))]
+        near = [r for r in near if r[1] > r[0]]
+        if near:
+            a, b = max(near, key=lambda r: r[1] - r[0])
+            e[i] = max(s[i] + 0.05, min(e[i], a))
+            s[i + 1] = min(e[i + 1] - 0.05, max(s[i + 1], b))
+    for a, _ in [r for r in plain_silences(rms, max(s[-1], e[-1] - 1), len(rms) * 0.01) if r[0] <= e[-1] <= r[1]][:1]:
+        e[-1] = min(e[-1], max(s[-1] + 0.05, a))
+    return s, e
+
+
+def random_recording(rng, kind):
+    """Words and frames: kinds have pauses, no quiet at all, too little separation, or hardly any gaps."""
+    n, at, starts, ends = int(rng.integers(1, 90)), float(rng.uniform(0, 1)), [], []
+    for _ in range(n):
+        length = float(rng.choice([0.1, 0.3, 0.6, 1.5]))
+        starts.append(at)
+        ends.append(at + length)
+        at += length + float(rng.choice([0, 0.02] if kind == 3 else [0, 0, 0.05, 0.2, 0.5, 3.0]))
+    rms = np.abs(rng.normal(0.2, 0.03, int(at * 100) + int(rng.integers(0, 200))))
+    at = 0
+    while kind != 1 and at < len(rms):
+        at += int(rng.integers(20, 300))
+        length = int(rng.choice([5, 11, 12, 13, 20, 40, 150]))
+        part = rms[at : at + length]
+        part[:] = np.abs(rng.normal(0.002, 0.001, len(part))) if kind != 2 else 0.05 + 0.01 * rng.random(len(part))
+        at += length
+    return starts, ends, rms
+
+
+def test_alignment_in_islands_is_that_of_whole_recordings(spark, monkeypatch):
+    monkeypatch.setattr(align, "BUNDLE_WORDS", 25)
+    monkeypatch.setattr(align, "CELL_FRAMES", 70)
+    rng = np.random.default_rng(9)
+    w, f, want = [], [], {}
+    for recording in range(200):
+        starts, ends, rms = random_recording(rng, recording % 4)
+        rms = rms[:0] if recording == 150 else rms * (recording != 151)
+        w += [(recording, 2 * i, "w", a, b) for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
+        f += [(recording, i, float(x)) for i, x in enumerate(rms)]
+        want |= {(recording, 2 * i): x for i, x in enumerate(zip(*plain_alignment(starts, ends, rms), strict=True))}
+    words_df = spark.createDataFrame(w, "recording_id long, idx long, text string, start double, end double")
+    frames_df = spark.createDataFrame(f, "recording_id long, frame_idx long, rms double").repartition(4)
+    got = {(r.recording_id, r.idx): (r.start, r.end) for r in align.align_to_audio(words_df, frames_df).collect()}
+    assert got == want
+    assert sum(want[r, i] != (a, b) for r, i, _, a, b in w) > 500
+    assert all(want[r, i][0] >= a and want[r, i][1] <= b for r, i, _, a, b in w)  # no word grows
+    marked = align.islands(words_df, frames_df)
+    assert marked.where("NOT moves").count() > 1000
+    assert align.align_to_audio(words_df.limit(0), frames_df).collect() == []
+
+
+def test_alignment_moves_boundaries(spark):
     rms = np.full(300, 0.3)
     rms[100:150] = 1e-5
-    starts, ends = np.array([0.2, 1.2]), np.array([1.2, 2.5])
-    s, e = align.aligned(starts, ends, rms)
-    assert e[0] == pytest.approx(1.0) and s[1] == pytest.approx(1.5)
-    s2, e2 = align.aligned(starts, ends, np.full(300, 0.3))
-    assert (s2 == starts).all() and (e2 == ends).all()
-    rng = np.random.default_rng(1)
-    for _ in range(50):
-        b = np.linspace(0, 5, 12) + rng.uniform(0, 0.2, 12)
-        noise = np.where(rng.random(500) < 0.6, 0.3, 1e-4)
-        s, e = align.aligned(b[::2], b[1::2], np.repeat(noise[::20], 20))
-        assert (s >= b[::2] - 1e-9).all() and (e <= b[1::2] + 1e-9).all()
+    frames = lambda x: spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "recording_id long, frame_idx long, rms double")
+    w = spark.createDataFrame([(1, 0, "a", 0.2, 1.2), (1, 1, "b", 1.2, 2.5)], "recording_id long, idx long, text string, start double, end double")
+    times = lambda x: [v for r in align.align_to_audio(w, frames(x)).orderBy("idx").collect() for v in (r.start, r.end)]
+    assert times(rms) == pytest.approx([0.2, 1.0, 1.5, 2.5])
+    assert times(np.full(300, 0.3)) == [0.2, 1.2, 1.2, 2.5]
+
+
+def test_intervals_against_every_pair(spark):
+    rng = random.Random(3)
+    points = [(rng.randrange(3), i, float(rng.randrange(0, 400))) for i in range(400)] + [(1, 999, None), (None, 998, 5.0)]
+    spans = [(rng.randrange(3), a := float(rng.randrange(0, 400)), a + rng.randrange(-3, 90)) for _ in range(25)] + [(1, None, 5.0), (2, 5.0, None), (None, 0.0, 9.0)]
+    p, s = spark.createDataFrame(points, "k int, i int, at double"), spark.createDataFrame(spans, "k int, a double, b double")
+    for closed in (False, True):
+        inside = lambda v, a, b, c=closed: a <= v < b or (c and a <= v == b)
+        want = {i for k, i, v in points if v is not None and any(k == q and a is not None and b is not None and inside(v, a, b) for q, a, b in spans)} - {998}
+        got = [r.i for r in intervals.covered_points(p, s, "k", "at", "a", "b", closed, 32).where("k IS NOT NULL").collect()]
+        assert sorted(got) == sorted(want)
+    rows = [(rng.randrange(4), i, a := float(rng.randrange(0, 400)), a + rng.randrange(0, 40)) for i in range(300)]
+    spans = [(0, 10.0, 60.0), (0, 40.0, 45.0), (0, 300.0, float("inf")), (1, float("-inf"), float("inf")), (2, 100.0, 100.0), (2, 50.0, 20.0)]
+    want = [i for k, i, a, b in rows if not any(k == q and a < d and b > c for q, c, d in spans)]
+    df = spark.createDataFrame(rows, "k int, i int, start double, end double")
+    got = intervals.apart_from(df, spark.createDataFrame(spans, "k int, a double, b double"), "k", "start", "end", "a", "b")
+    assert sorted(r.i for r in got.collect()) == want and got.columns == df.columns
 
 
 def wav(bits, channels, data):
@@ -141,6 +234,115 @@ def test_words_json_round_trip(spark):
     assert words_json.payload_words(spark.createDataFrame([(1, "{oops")], "recording_id long, payload string"), "recording_id").count() == 0
 
 
+class PlainTimeline:
+    """Batches applied one after another to a dictionary of captions."""
+
+    def __init__(self, rows, offsets):
+        self.now = {(c, i): [t, a, b] for c, i, _, t, a, b, _, _ in rows}
+        self.rest = {(c, i): (fd, kf) for c, i, _, _, _, _, fd, kf in rows}
+        self.places = {(c, n): i for c, i, n, *_ in rows}
+        self.offsets, self.rejects = offsets, []
+
+    def fault(self, keys, key, e):
+        _, _, _, _, et, es, ee, text, start, end, shift = e
+        if key not in self.now:
+            return "missing", None
+        (t, a, b), (fd, kf), off = self.now[key], self.rest[key], self.offsets.get(key[0])
+        if off is None or None in (et, es, ee) or et != t.strip() or abs(a + off - es) > fd / 2 or abs(b + off - ee) > fd / 2:
+            return "stale", None
+        if keys.count(key) > 1:
+            return "edited twice", None
+        if text is not None and not text.strip():
+            return "empty text", None
+        if text is not None and kf:
+            return "keyframed text", None
+        snap = lambda x: math.floor(x / fd + 0.5) * fd
+        by = snap(shift) if shift else 0.0
+        to = [a + by if start is None else snap(start - off), b + by if end is None else snap(end - off)]
+        if to[1] - to[0] < fd / 2:
+            return "too short", None
+        if to[0] + off < -fd / 2:
+            return "before the start", None
+        return None, [t if text is None else text.strip(), *((a + by, b + by) if by else to)]
+
+    def apply(self, batch):
+        keys = [(e[1], e[2] if e[2] is not None else self.places.get((e[1], e[3]))) for e in batch]
+        judged = [self.fault(keys, k, e) for k, e in zip(keys, batch, strict=True)]
+        self.rejects += [(e[0], k[0], k[1], why) for (why, _), k, e in zip(judged, keys, batch, strict=True) if why]
+        if not any(why for why, _ in judged):
+            self.now.update({k: new for (_, new), k in zip(judged, keys, strict=True)})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_batches_of_edits_in_turn(spark, seed):
+    """Random batches that share captions, against a dictionary; expectations are those of some earlier state."""
+    rng = random.Random(seed)
+    offsets = {1: 0.0, 2: 12.5, 3: None}
+    rows = [(c, 10 * n, n, f"c{c} {n}" + rng.choice(["", "\n", " "]), n * 1.0, n + rng.choice([0.04, 0.5, 0.8]), 0.04, n % 7 == 3) for c in (1, 2, 3) for n in range(1, 9)]
+    plain, edits, states = PlainTimeline(rows, offsets), [], []
+    for batch in range(70):
+        states.append({k: list(v) for k, v in plain.now.items()})
+        own = []
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            c, n = rng.choice([1, 1, 2, 2, 2, 3] if batch % 9 == 0 else [1, 2]), rng.randrange(1, 9)
+            t, a, b = states[-rng.choice([1, 1, 1, 1, 2, 5]) if len(states) > 5 else -1][c, 10 * n]
+            off = offsets[c] or 0.0
+            odd = rng.random()
+            expect = (None, a + off, b + off) if odd < 0.02 else (t.strip(), a + off + rng.choice([0, 0.01]), b + off)
+            change = rng.choice([(f"new {batch}", None, None, None), (None, a + off - 0.013 * rng.randrange(5), None, None), (None, None, b + off + 0.1, None), (None, None, None, 0.25), ("both ", 0.0, b, -0.31), (" ", None, None, None) if odd > 0.4 else (None, b + off, b + off + 1, None), (None, None, None, -999.0) if odd > 0.9 else (None, None, None, 0.0)])
+            own.append((batch, c, None if odd > 0.5 else 10 * n + (5 if odd < 0.03 else 0), n, *expect, *change))
+        edits += own
+        plain.apply(own)
+    c = spark.createDataFrame(rows, "comp_id int, layer_id int, layer_index int, text string, start double, end double, frame_duration double, keyframed boolean")
+    e = spark.createDataFrame(edits, "batch_id int, comp_id int, layer_id int, layer_index int, expect_text string, expect_start double, expect_end double, text string, start double, end double, shift_by double")
+    applied, rejects = captions.apply_edits(c, e.repartition(5), spark.createDataFrame(list(offsets.items()), "comp_id int, offset double"))
+    got = applied.collect()
+    assert len(got) == len(rows)  # no caption is doubled
+    assert {(r.comp_id, r.layer_id): [r.text, r.start, r.end] for r in got} == plain.now
+    assert sorted(map(tuple, rejects.collect()), key=str) == sorted(plain.rejects, key=str)
+    assert {"stale", "missing", "edited twice", "empty text"} <= {x[3] for x in plain.rejects} or seed
+
+
+def test_two_batches_that_edit_one_caption(spark):
+    c = spark.createDataFrame([(1, 1, "a", 0.0, 1.0, 0.04, False)], "comp_id int, layer_id int, text string, start double, end double, frame_duration double, keyframed boolean")
+    e = spark.createDataFrame([(1, 1, 1, "a", 0.0, 1.0, "b", None, 1.013, None), (2, 1, 1, "a", 0.0, 1.0, "c", None, None, None), (3, 1, 1, "b", 0.0, 1.0, None, None, None, 0.5)], "batch_id int, comp_id int, layer_id int, expect_text string, expect_start double, expect_end double, text string, start double, end double, shift_by double")
+    applied, rejects = captions.apply_edits(c, e)
+    assert [(r.text, round(r.start, 6), round(r.end, 6), r.edited) for r in applied.collect()] == [("b", 0.52, 1.52, True)]
+    assert [tuple(r) for r in rejects.collect()] == [(2, 1, 1, "stale")]
+
+
+def test_connected_groups(spark):
+    links = [(i, i + 1) for i in range(100, 163)] + [(7, 3), (3, 9), (9, 7), (50, 51), (4, 4)]
+    got = {r.node: r.group for r in groups.connected_groups(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 100 for i in range(100, 164)} | {3: 3, 7: 3, 9: 3, 50: 50, 51: 50}
+
+
+def test_replacing_keeps_line_breaks(spark):
+    rows = [(1, "one fox\ntwo cat", 0), (1, "red\nfox", 1), (1, "FOX \n x", 2), (2, "fox", 3), (2, "a fox", 4)]
+    df = spark.createDataFrame(rows, "k int, text string, n int")
+    new = lambda q, by, case=False: {r.n: (r.new_text, r.matches, r.refused) for r in captions.replace_all(df, "k", q, by, case).collect()}
+    assert new("fox", "dog")[0] == ("one dog\ntwo cat", 1, False)
+    assert new("red fox", "x")[1] == ("x", 1, False)
+    assert new("fox", "fox", True)[1] == ("red\nfox", 1, False)
+    assert new("fox", "")[4] == ("a", 1, True) and new("x \n x", "y") == {}
+    counts = {r.k: (r.replaced, r.changed) for r in captions.edit_counts(captions.replace_all(df, "k", "fox", "fox"), "k").collect()}
+    assert counts == {1: (3, 1), 2: (2, 0)}
+
+
+def test_places_are_utf16_units(spark):
+    assert one(spark, S.occurrence_positions(F.lit("😀en😀\nEN"), F.lit("en"))) == [2, 7]
+    assert one(spark, S.occurrence_positions(F.lit("a.b.c"), F.lit("."))) == [1, 3]
+
+
+def test_retiming_edges(spark):
+    rows = [(1.0, 1.02, 1.013, 1.02), (0.0, 1.0, -0.5, 1.0), (0.0, 1.0, 0.9, 0.3), (0.0, 1.0, 1.2, 1.0)]
+    df = spark.createDataFrame(rows, "start double, end double, s double, e double").withColumn("frame_duration", F.lit(0.04))
+    got = [(r.edit_start, r.edit_end, r.error) for r in captions.retime_edits(df, "s", "e").collect()]
+    assert got[0] == (None, None, None)  # too short as it is, but untouched
+    assert got[1] == (None, None, "before the start")
+    assert got[2] == (pytest.approx(0.92), pytest.approx(0.32), None) and got[3] == (None, None, "too short")
+
+
 def test_edits_are_all_or_nothing(spark):
     c = spark.createDataFrame([(1, k, f"t{k}", float(k), k + 0.9, 0.04, k == 3) for k in range(6)], "comp_id long, layer_id long, text string, start double, end double, frame_duration double, keyframed boolean")
     rows = [(10, 1, 0, "t0", 0.0, 0.9, "new", None, None, None), (10, 1, 1, "t1", 1.0, 1.9, None, None, None, 0.5), (11, 1, 2, "t2", 2.0, 2.9, "ok", None, None, None), (11, 1, 3, "t3", 3.0, 3.9, "key", None, None, None), (12, 1, 9, "?", 0.0, 1.0, None, None, None, 1.0), (13, 1, 4, "t4", 4.0, 4.9, " ", None, None, None)]
