@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrain.functions.scratch import cut
@@ -35,11 +35,12 @@ def r6(*names: str) -> list:
 
 def energy(spark, sf) -> DataFrame:
     """Frames of 10 ms for the derived words: loud inside a word, quiet between words."""
-    w = d.timed_words(spark, sf).select("recording_id", F.explode(F.sequence(F.floor(F.col("start_ms") / 10) + 2, F.greatest(F.floor(F.col("start_ms") / 10) + 2, F.floor(F.col("end_ms") / 10) - 6))).alias("frame_idx"))
-    loud = w.select("recording_id", "frame_idx", F.lit(0.2).alias("loud"))
-    ends = d.timed_words(spark, sf).groupBy("recording_id").agg(F.floor(F.max("end_ms") / 10).alias("last"))
-    every = ends.select("recording_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame_idx"))
-    return every.join(loud.distinct(), ["recording_id", "frame_idx"], "left").select("recording_id", "frame_idx", F.coalesce("loud", F.lit(0.0005)).alias("rms"))
+    by = Window.partitionBy("recording_id").orderBy("idx")
+    first = F.floor(F.col("start_ms") / 10)
+    w = d.timed_words(spark, sf).select("recording_id", "idx", first.alias("a"), F.floor(F.col("end_ms") / 10).alias("b"))
+    w = w.withColumns({"from_": F.when(F.lag("a").over(by).isNull(), 0).otherwise(F.col("a")), "to_": F.coalesce(F.lead("a").over(by) - 1, "b")})
+    loud = F.col("frame_idx").between(F.col("a") + 2, F.greatest(F.col("a") + 2, F.col("b") - 6))
+    return w.where("to_ >= from_").select("*", F.explode(F.sequence("from_", "to_")).alias("frame_idx")).select("recording_id", "frame_idx", F.when(loud, 0.2).otherwise(0.0005).alias("rms"))
 
 
 @query("align_to_audio")

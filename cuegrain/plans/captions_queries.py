@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrain.functions import scalars as S
+from cuegrain.functions.scratch import cut
 from cuegrain.operators import captions as C
 from cuegrain.operators import segment as G
 from cuegrain.plans import derived as d
@@ -109,15 +112,53 @@ def _(spark, sf):
     return gaps.groupBy("recording_id").agg(F.round(F.median("gap"), 6).alias("median_gap"))
 
 
-for _mode in ("phrase", "sentence", "smart", "parts"):
+def segmented(o: G.Budget) -> str:
+    """Segmentation as three recursions over lists of a recording's words: captions one after another, each looking ahead as far
+    as its budgets let it; then words borrowed by short captions, in order; then lines of each caption."""
+    floor = max(1, o.min_words)
+    joined = "ahead[{1} + 1] - ahead[{0} + 1] - 1"
+    ends = f"mark[b] = 2 OR b = n OR (raw[b] > {o.max_gap} AND (b - a >= {o.min_words} OR raw[b] > {o.hard_gap}))"
+    full = f"{joined.format('a', '(b + 1)')} > {o.chars * o.lines} OR b - a >= {o.max_words} OR en[b + 1] - st[a + 1] > {o.max_seconds}"
+    usual = "(CASE WHEN {1} - {0} > 1 THEN list_aggregate(gap[{0} + 1:{1} - 1], 'median') ELSE 0 END)"
+    last_of = "list_sort(list_transform(list_filter(range(first, b + 1), lambda p: {0}[p] >= {1}), lambda p: {{'v': {0}[p], 'p': p}}), 'DESC')[1].p"
+    stands_out = f"(raw[b] >= {G.GAP_LEAST}::DOUBLE AND raw[b] >= {G.GAP_TIMES}::DOUBLE * {usual.format('lo', 'b')})"
+    fits = f"stop - b + 1 <= {o.max_words} AND {joined.format('(b - 1)', 'stop')} <= {o.chars * o.lines} AND en[stop] - st[b] <= {o.max_seconds}"
+    wraps = f"len(done) <> {o.lines - 1 if o.lines > 1 else -1} AND line <> '' AND length(line || ' ' || ws[i + 1]) > {o.chars}"
+    return GAPS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ wd AS (SELECT recording_id, idx, text, start, "end", coalesce(greatest(0.0::DOUBLE, nxt - "end"), 0) AS gap, CASE WHEN span IS NOT NULL AND NOT ends_with(text, '-') AND bare <> '' AND normal > 0 THEN span / normal ELSE 0 END AS held,
+    nxt - "end" AS raw, CASE WHEN regexp_matches(text, '[.!?]["'')\\]]?$') THEN 2 WHEN regexp_matches(text, '[,;:]["'')\\]]?$') THEN 1 ELSE 0 END AS mark, sum(length(text) + 1) OVER (PARTITION BY recording_id ORDER BY idx) AS upto FROM nm),
+ ar AS MATERIALIZED (SELECT recording_id, count(*) AS n, list(idx ORDER BY idx) AS ids, list(text ORDER BY idx) AS tx, list(start ORDER BY idx) AS st, list("end" ORDER BY idx) AS en, list(gap ORDER BY idx) AS gap, list(held ORDER BY idx) AS held, list(raw ORDER BY idx) AS raw,
+    list(mark ORDER BY idx) AS mark, list_prepend(0, list(upto ORDER BY idx)) AS ahead FROM wd GROUP BY 1),
+ cp AS (SELECT recording_id, 0::BIGINT AS a, []::BIGINT[] AS ends FROM ar
+    UNION ALL SELECT recording_id, coalesce(to_, b), list_append(ends, coalesce(to_, b)) FROM (
+      SELECT *, CASE WHEN ({ends}) OR first > b THEN b ELSE coalesce(list_filter(range(first, b + 1), lambda p: mark[p] = 1)[-1], {last_of.format('gap', f'greatest({G.GAP_LEAST}::DOUBLE, {G.GAP_TIMES}::DOUBLE * usual)')}, {last_of.format('held', f'{G.HELD_TIMES}::DOUBLE')}, b) END AS to_ FROM (
+      SELECT *, greatest(a + {floor}, a + CAST(ceil((b - a) / 2.0) AS BIGINT)) AS first, {usual.format('a', 'b')} AS usual FROM (
+      SELECT cp.a, cp.ends, ar.*, list_filter(range(a + 1, least(n, a + {o.max_words}) + 1), lambda b: {ends} OR {full})[1] AS b FROM cp JOIN ar USING (recording_id) WHERE a < n)))),
+ cut AS (SELECT recording_id, arg_max(ends, a) AS ends FROM cp GROUP BY 1),
+ rb AS (SELECT recording_id, 1::BIGINT AS i, ends FROM cut
+    UNION ALL SELECT recording_id, i + 1, CASE WHEN stop - b < {floor} AND b - lo > {floor} AND {fits} AND NOT (raw[b] > {o.max_gap} OR {stands_out} OR mark[b] = 2) THEN ends[:i - 1] || [b - 1] || ends[i + 1:] ELSE ends END FROM (
+      SELECT rb.i, rb.ends, ar.*, CASE WHEN i > 1 THEN ends[i - 1] ELSE 0 END AS lo, ends[i] AS b, ends[i + 1] AS stop FROM rb JOIN ar USING (recording_id) WHERE i < len(ends))),
+ gr AS (SELECT recording_id, arg_max(ends, i) AS ends FROM rb GROUP BY 1),
+ ea AS (SELECT recording_id, unnest(range(1, len(ends) + 1)) AS c, ends FROM gr),
+ cps AS (SELECT recording_id, c - 1 AS caption_no, CASE WHEN c > 1 THEN ends[c - 1] ELSE 0 END AS a, ends[c] AS b FROM ea),
+ tc AS (SELECT recording_id, caption_no, array_to_string(tx[a + 1:b], ' ') AS text, st[a + 1] AS start, en[b] AS e0, ids[a + 1] AS first_idx, b - a AS n_words, tx[a + 1:b] AS ws FROM cps JOIN ar USING (recording_id)),
+ wr AS (SELECT recording_id, caption_no, ws, 0 AS i, '' AS line, CAST([] AS VARCHAR[]) AS done FROM tc
+    UNION ALL SELECT recording_id, caption_no, ws, i + 1, CASE WHEN ({wraps}) OR line = '' THEN ws[i + 1] ELSE line || ' ' || ws[i + 1] END, CASE WHEN {wraps} THEN list_append(done, line) ELSE done END FROM wr WHERE i < len(ws)),
+ seg AS (SELECT tc.*, round(least(e0 + {C.HOLD_SECONDS}::DOUBLE, coalesce(lead(start) OVER (PARTITION BY tc.recording_id ORDER BY tc.caption_no), 'infinity'::DOUBLE)), 6) AS "end", array_to_string(list_append(done, line), '|') AS lines FROM tc JOIN wr ON wr.recording_id = tc.recording_id AND wr.caption_no = tc.caption_no AND i = len(wr.ws))
+"""
+
+
+_SEGMENT_BUDGETS = {"phrase": G.PHRASE, "sentence": G.sentence_budget("horizontal"), "smart": replace(G.PHRASE, min_words=2), "parts": G.PARTS}
+
+for _mode in _SEGMENT_BUDGETS:
 
-    @query(f"segment_{_mode}")
+    @query(f"segment_{_mode}", segmented(_SEGMENT_BUDGETS[_mode]) + 'SELECT recording_id, caption_no, text, round(start, 6) AS start, "end", first_idx, n_words, lines FROM seg')
     def _(spark, sf, mode=_mode):
         got = G.segment(d.words(spark, sf), mode)
         return got.select("recording_id", "caption_no", "text", *r6("start", "end"), "first_idx", "n_words", F.array_join("lines", "|").alias("lines"))
 
 
-@query("segment_vertical")
+@query("segment_vertical", segmented(replace(G.LAYOUTS["vertical"], min_words=2)) + 'SELECT recording_id, caption_no, text, round(start, 6) AS start, "end", lines FROM seg')
 def _(spark, sf):
     got = G.segment(d.words(spark, sf), "smart", "vertical")
     return got.select("recording_id", "caption_no", "text", *r6("start", "end"), F.array_join("lines", "|").alias("lines"))
@@ -303,6 +344,7 @@ EDITS = ROUGH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", g0 AS (SELECT comp_
 
 def _edits(spark, sf):
     rough = rough_captions(spark, sf).withColumnRenamed("caption_no", "n")
+    rough = cut(rough, "captions")  # read for each wave and for the edits' captions
     g = rough.select("comp_id", "n", S.body_text(F.col("text")).alias("t0"), F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("frame_duration").alias("fd"))
     g = g.selectExpr("*", *[f"{v} AS {k}" for k, v in _GUESSES.items()])
     edits = None

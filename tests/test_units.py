@@ -140,12 +140,14 @@ def random_recording(rng, kind):
     return starts, ends, rms
 
 
-def test_alignment_in_islands_is_that_of_whole_recordings(spark, monkeypatch):
-    monkeypatch.setattr(align, "BUNDLE_WORDS", 25)
+@pytest.mark.parametrize("early", [0, 1, 12])
+def test_alignment_in_bundles_is_that_of_whole_recordings(spark, monkeypatch, early):
+    monkeypatch.setattr(align, "BUNDLE_WORDS", 15)
+    monkeypatch.setattr(align, "EARLY_WORDS", early)
     monkeypatch.setattr(align, "CELL_FRAMES", 70)
     rng = np.random.default_rng(9)
     w, f, want = [], [], {}
-    for recording in range(200):
+    for recording in range(200 if early else 80):
         starts, ends, rms = random_recording(rng, recording % 4)
         rms = rms[:0] if recording == 150 else rms * (recording != 151)
         w += [(recording, 2 * i, "w", a, b) for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
@@ -155,10 +157,8 @@ def test_alignment_in_islands_is_that_of_whole_recordings(spark, monkeypatch):
     frames_df = spark.createDataFrame(f, "recording_id long, frame_idx long, rms double").repartition(4)
     got = {(r.recording_id, r.idx): (r.start, r.end) for r in align.align_to_audio(words_df, frames_df).collect()}
     assert got == want
-    assert sum(want[r, i] != (a, b) for r, i, _, a, b in w) > 500
+    assert sum(want[r, i] != (a, b) for r, i, _, a, b in w) > 300
     assert all(want[r, i][0] >= a and want[r, i][1] <= b for r, i, _, a, b in w)  # no word grows
-    marked = align.islands(words_df, frames_df)
-    assert marked.where("NOT moves").count() > 1000
     assert align.align_to_audio(words_df.limit(0), frames_df).collect() == []
 
 
@@ -335,7 +335,7 @@ def test_places_are_utf16_units(spark):
 
 
 def test_retiming_edges(spark):
-    rows = [(1.0, 1.02, 1.013, 1.02), (0.0, 1.0, -0.5, 1.0), (0.0, 1.0, 0.9, 0.3), (0.0, 1.0, 1.2, 1.0)]
+    rows = [(1.0, 1.01, 1.013, 1.01), (0.0, 1.0, -0.5, 1.0), (0.0, 1.0, 0.9, 0.3), (0.0, 1.0, 1.2, 1.0)]
     df = spark.createDataFrame(rows, "start double, end double, s double, e double").withColumn("frame_duration", F.lit(0.04))
     got = [(r.edit_start, r.edit_end, r.error) for r in captions.retime_edits(df, "s", "e").collect()]
     assert got[0] == (None, None, None)  # too short as it is, but untouched
@@ -349,7 +349,7 @@ def test_edits_are_all_or_nothing(spark):
     e = spark.createDataFrame(rows, "batch_id long, comp_id long, layer_id long, expect_text string, expect_start double, expect_end double, text string, start double, end double, shift_by double")
     applied, rejects = captions.apply_edits(c, e)
     got = {r.layer_id: (r.text, r.start, r.edited) for r in applied.collect()}
-    assert got[0] == ("new", 0.0, True) and got[1] == ("t1", 1.5, True) and got[2] == ("t2", 2.0, False)
+    assert got[0] == ("new", 0.0, True) and got[1] == ("t1", pytest.approx(1.52), True) and got[2] == ("t2", 2.0, False)
     assert {(r.batch_id, r.reason) for r in rejects.collect()} == {(11, "keyframed text"), (12, "missing"), (13, "empty text")}
 
 
