@@ -43,6 +43,44 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(n|\\)", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
 
 
+#: Kinds of parts and their measures.
+MEASURES = {"text": (), "image": ("width", "height", "tokens"), "audio": ("seconds", "tokens"), "document": ("pages", "tokens")}
+MOST = 1e9
+
+
+def _fault(part: Any) -> str | None:
+    """Why something is no part that can be formatted."""
+    if not isinstance(part, dict):
+        return "not an object"
+    kind = part.get("type") or "text"
+    if not isinstance(kind, str) or kind not in MEASURES:
+        return "unknown kind"
+    for name in ("text", "ref"):
+        value = part.get(name)
+        if value is not None and not isinstance(value, str):
+            return f"{name} is no text"
+        try:
+            (value or "").encode()
+        except UnicodeEncodeError:
+            return f"{name} is no valid Unicode"
+    for name in MEASURES[kind]:
+        value = part.get(name)
+        if value is not None and (isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value <= MOST):
+            return f"{name} is no measure"
+    return None
+
+
+def part_list(text: str) -> tuple[list[dict[str, Any]] | None, str | None]:
+    """The parts that a JSON text lists, or why it lists none that can be formatted."""
+    try:
+        parts = json.loads(text)
+    except (ValueError, RecursionError):
+        return None, "parts are no JSON"
+    if not isinstance(parts, list):
+        return None, "parts are no list"
+    return next(((None, f"part {k}: {fault}") for k, p in enumerate(parts) if (fault := _fault(p))), (parts, None))
+
+
 @dataclass
 class PartVisitor:
     """Flattens one turn's parts; attachments are numbered through the conversation."""
@@ -125,16 +163,17 @@ def read_parts(formatted: str) -> list[tuple[str, list[str | int]]]:
 
 _PLACEHOLDER = re.compile(r"<\|(?:image|audio|document):(\d+)\|>")
 
-FORMATTED = "conv_id {kind}, n_turns long, formatted string, loss_start array<long>, loss_length array<long>, attachments array<struct<index int, kind string, ref string, tokens long>>"
+FORMATTED = "conv_id {kind}, n_turns long, formatted string, loss_start array<long>, loss_length array<long>, attachments array<struct<index int, kind string, ref string, tokens long>>, errors array<string>"
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, loss_start, loss_length, attachments.
+    """One row per conversation: conv_id, n_turns, formatted, loss_start, loss_length, attachments, errors.
 
     Turns are ordered by turn (null first), then role and text, so repeated rows are turns each and
     reruns agree. A null role or text is empty. A row without a conversation id belongs to no other row
     and is a conversation of its own, so such rows meet nowhere. parts_col, if given, holds a JSON list
-    of parts (type, text, ref and measures) that stands for the text. Very long texts are formatted
+    of parts (type, text, ref and measures) that stands for the text. A list that cannot be formatted (no JSON, no list,
+    an unknown kind, a text or measure of another type, or out of range) is refused whole: its turn stands with its text, and errors says why. Very long texts are formatted
     whole. Other columns are not read. An empty table gives an empty result.
     A conversation is one string and so one task's work; conversations are spread by their ids.
     """
@@ -148,9 +187,15 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         for batch in batches:
             out = []
             for conv, rows in zip(batch["conv_id"], batch["rows"], strict=True):
-                made = format_conversation([(r["role"], json.loads(r["parts"]) if r["parts"] is not None else [{"type": "text", "text": r["text"]}]) for r in rows])
-                out.append((conv, len(rows), made.text, [a for a, _ in made.loss], [n for _, n in made.loss], made.attachments))
-            frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "formatted", "loss_start", "loss_length", "attachments"])
+                turns, errors = [], []
+                for n, r in enumerate(rows):
+                    parts, error = part_list(r["parts"]) if r["parts"] is not None else (None, None)
+                    if error:
+                        errors.append(f"turn {n}: {error}")
+                    turns.append((r["role"], [{"type": "text", "text": r["text"]}] if parts is None else parts))
+                made = format_conversation(turns)
+                out.append((conv, len(rows), made.text, [a for a, _ in made.loss], [n for _, n in made.loss], made.attachments, errors))
+            frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "formatted", "loss_start", "loss_length", "attachments", "errors"])
             yield frame.assign(conv_id=pd.Series([c for c, *_ in out], dtype=batch["conv_id"].dtype))
 
     return grouped.mapInPandas(run, FORMATTED.format(kind=kind))

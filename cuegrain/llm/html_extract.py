@@ -4,8 +4,9 @@ Every page's containers are scored by the text that stands in their paragraphs;
 votes, with its score, for its path of tags and classes, digits aside; each host's winning path is then
 used to extract all its pages again. A page that has no container on that path keeps its own best.
 
-Words in a class or id only lower a container's score. What is so marked is left out where the winning
-path does not lead through it, so that the vote, and no list of words, decides what the article is.
+A class or id marks an element only if all of its words are unwanted ones or fillers; that lowers its score, and what is
+marked is left out of the article unless the winning path leads through it. Names with other words in them, such as
+side-effects, mark nothing. An article of readers' comments is marked as well, and is never lifted to.
 """
 
 from __future__ import annotations
@@ -31,32 +32,35 @@ CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td
 #: Elements and roles that hold no article text.
 DROPPED = frozenset("script style noscript template svg canvas iframe object button select textarea label nav aside footer head title menu dialog noembed noframes audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in a class or id that speak against a container.
-UNWANTED = re.compile(
-    r"(?:^|[_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|promo|promoted|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|header|masthead|topbar|footer|bottom|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|form|search|comment|comments|commentlist|reply|replies|respond|disqus|discussion|feedback|share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar|hidden)(?:$|[_-]|\d)",
-    re.I,
-)
+#: Words in a class or id that speak against a container, and words that say nothing of their own beside them. A name with any other
+#: word in it, such as side-effects or form-of-government, is taken to say what its text is about.
+UNWANTED = frozenset("ad ads advert adverts advertisement advertising banner promo promoted sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget header masthead topbar footer bottom cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist reply replies respond disqus discussion feedback share sharing social related recommended recommendations pagination pager toolbar hidden".split())
+FILLERS = frozenset("area bar block body bottom box btn button buttons column container content desktop first fixed floating global group inner item items last left links list main mobile module outer page panel post posts primary reader readers rail right row secondary section site slot sticky story the thread top unit user users widget wrap wrapper zone".split())
+#: Words that mark a paragraph, heading or cell by itself; the others say where it stands.
+UNWANTED_TEXT = UNWANTED - frozenset("bottom footer header hidden nav search side form menu".split())
+#: Words for what readers write: they mark an article, too, which other words don't.
+READERS = frozenset("comment comments commentlist reply replies respond disqus discussion feedback".split())
 #: What a container under such a word counts for.
 MARKED_WORTH = 0.25
 #: What may hold an article; "page" is the page itself, around all of its elements.
 CONTAINERS = frozenset("article main section div td body blockquote page".split())
 #: What text of an article stands in.
 TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt td th figcaption".split())
-#: Containers further out than this count no more: a score is halved at each.
-REACH = 40
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>?", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: A class that says what a wrapper has or lacks, such as with-sidebar, says nothing against it.
-_LAYOUT = re.compile(r"(?:^|[-_])(?:has|with|no|without|show|hide|is|js)[-_]", re.I)
 
 
 def _marked(tag: str, names: str) -> bool:
-    """Whether a class or id speaks against the element; for a paragraph and the like only a word that stands alone."""
-    found = (UNWANTED.search(_HUMP.sub("-", x)) for x in names.split() if not _LAYOUT.search(x))
-    return any(m and (tag not in TEXTUAL or len(m[0]) == len(m.string)) for m in found)
+    """Whether a class or id speaks against the element: all its words are unwanted or fillers, and one is unwanted. For a paragraph and the like it has one word."""
+    words = READERS if tag in ("article", "main") else UNWANTED_TEXT if tag in TEXTUAL else UNWANTED
+    for name in names.split():
+        parts = [p for x in re.split(r"[-_]+", _HUMP.sub("-", name)) if (p := x.lower().rstrip("0123456789"))]
+        if any(p in words for p in parts) and (len(parts) == 1 if tag in TEXTUAL else all(p in UNWANTED or p in FILLERS for p in parts)):
+            return True
+    return False
 
 
 def _read_attributes(tag: str, attributes: str) -> tuple[str, bool, bool]:
@@ -174,9 +178,9 @@ class Page:
                 above, path = path, known.get((path, step), -1)
                 if path < 0:
                     path = known[above, step] = len(self.parent)
-                    for column, value in zip((self.parent, self.step, self.tag, self.soft, self.wraps), (above, step, tag, (mark and tag not in ("html", "body", "main", "article")) or tag == "form", False)):
+                    for column, value in zip((self.parent, self.step, self.tag, self.soft, self.wraps), (above, step, tag, (mark and tag not in ("html", "body")) or tag == "form", False)):
                         column.append(value)
-                if tag in ("article", "main"):
+                if tag in ("article", "main") and not mark:
                     self._wrap(above)
             if block:
                 tops.append(len(stack))
@@ -232,7 +236,7 @@ class Page:
         marked = self._under(self.soft.__getitem__, [b[0] for b in self.blocks])
         for (path, text, linked), low in zip(self.blocks, marked):
             worth, at = max(0, len(text) - 2 * linked) * (MARKED_WORTH if low else 1.0), near[path]
-            for _ in range(REACH):
+            while worth >= 2.0**-30:  # what is less decides nothing: other scores are sums of whole characters, halved as often
                 scores[at] = scores.get(at, 0.0) + worth
                 if at == 0:
                     break
@@ -262,7 +266,7 @@ class Page:
         like outside other divs and sections: a div next to the article's on the page is no part of it.
         """
         for tag in ("article", "main"):
-            found = [p for p in chain if self.tag[p] == tag]
+            found = [p for p in chain if self.tag[p] == tag and not self.soft[p]]
             if found:
                 return found[-1]
         every, own = [0] * len(self.parent), [0] * len(self.parent)

@@ -582,3 +582,29 @@ def test_oracle_of_exact_dedup(spark):
     theirs = {r[0]: tuple(r[1:]) for r in con.execute(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({Q.OP6_SQL})").fetchall()}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in Q.op6_exact_dedup(spark, SMALL).collect()} == theirs
     assert re.fullmatch("[0-9a-f]{64}", next(iter(theirs.values()))[3])
+
+
+_OWN = "<p>" + "what the article says of its subject. " * 6 + "</p>"
+_READER = "<p>" + "a reader says something long and other. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("html", ["<article>{0}<div class='side-effects'><p>KEPT</p></div></article>", "<article>{0}<section class='search-and-rescue'><p>KEPT</p></section></article>", "<main>{0}<div id='form-of-government'><p>KEPT</p></div></main>", "<article>{0}<div class='social-history'><p>KEPT</p></div></article>", "<article>{0}<p class='bottom'>KEPT</p></article>"])
+def test_names_of_subjects_delete_nothing(html):
+    page = H.Page(html.format(_OWN))
+    assert "KEPT" in page.text(page.best()[0])
+
+
+@pytest.mark.parametrize("html", ["<article>{0}<article class='comment'>{1}</article></article>", "<main><article>{0}</article><article class='comment'>{1}</article></main>", "<article>{0}<div class='post-comments'>{1}</div></article>", "<article>{0}<div class='comment-list userComments2'>{1}</div></article>", "<article>{0}</article><section id='disqus_thread'>{1}</section>"])
+def test_readers_comments_are_no_article(html):
+    page = H.Page(html.format(_OWN, _READER))
+    text = page.text(page.best()[0])
+    assert "what the article says" in text and "a reader says" not in text
+
+
+@pytest.mark.parametrize("parts,error", [("null", "parts are no list"), ("not json", "parts are no JSON"), ("[" * 100_000, "parts are no JSON"), ('["hi"]', "part 0: not an object"), ('[{"type":"video"}]', "part 0: unknown kind"), ('[{"type":["text"]}]', "part 0: unknown kind"), ('[{"text":"a"},{"type":"image","width":"wide"}]', "part 1: width is no measure"), ('[{"type":"audio","seconds":NaN}]', "part 0: seconds is no measure"), ('[{"type":"document","pages":-1}]', "part 0: pages is no measure"), ('[{"text":5}]', "part 0: text is no text"), ('[{"text":"\\ud800"}]', "part 0: text is no valid Unicode"), ('[{"type":"image","ref":7}]', "part 0: ref is no text")])
+def test_malformed_parts_are_refused(spark, parts, error):
+    rows = [(1, 0, "user", "said instead", parts), (1, 1, "assistant", None, '[{"text":"ok"},{"type":"image"}]'), (2, 0, "user", "x", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parts string")
+    got = {r.conv_id: r for r in C.format_conversations(df, parts_col="parts").collect()}
+    assert got[1].errors == [f"turn 0: {error}"] and got[2].errors == []
+    assert C.read_parts(got[1].formatted) == [("user", ["said instead"]), ("assistant", ["ok", 0])]
