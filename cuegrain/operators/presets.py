@@ -10,36 +10,49 @@ from cuegrain.functions.scalars import trimmed
 PRESET = "struct<id:string,name:string,basedOn:string,`in`:string,`out`:string>"
 
 
+def _kind(value: Column) -> Column:
+    """OBJECT, ARRAY, VOID for a null, or a scalar's type; null where there is nothing."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
 def scan_presets(files: DataFrame) -> DataFrame:
     """(file, pos, id, name, based_on, in_phase, out_phase, custom, entry) of preset files (file, content).
 
     A malformed file gives no rows. Entries stay that have an id and a name, and whose phases, where they
-    are there, are objects whose properties, where they are there, are a list; the first of an id stays.
-    entry is the whole entry as JSON, with every field that it came with.
+    are there and not null, are objects or lists whose properties, where they are there, are a list; the first of an id stays.
+    entry is the whole entry as JSON, with every field that it came with. Values are judged as VARIANT, so by their types and not by how they are written.
     """
-    # field by field as JSON text, so that one odd entry does not spoil its file
-    read = files.select("file", F.from_json("content", "struct<version:int,presets:array<string>>").alias("p"))
-    rows = read.select("file", F.posexplode("p.presets").alias("pos", "entry")).select("file", "pos", F.trim("entry").alias("entry"), F.from_json("entry", PRESET).alias("e"))
+    read = files.where(F.try_parse_json("content").isNotNull()).select("file", F.from_json("content", "struct<version:int,presets:array<string>>").alias("p"))
+    rows = read.select("file", F.posexplode("p.presets").alias("pos", "entry")).select("file", "pos", F.trim("entry").alias("entry"))
+    rows = rows.withColumns({"v": F.try_parse_json("entry"), "e": F.from_json("entry", PRESET)})
 
     def usable(phase: str) -> Column:
-        found = F.trim(F.get_json_object("entry", f"$.{phase}"))
-        properties = F.trim(F.get_json_object("entry", f"$.{phase}.properties"))
-        listed = F.get_json_object("entry", f"$.{phase}").rlike('"properties"\\s*:\\s*null') | properties.isNull() | properties.startswith("[")
-        return found.isNull() | found.startswith("[") | (found.startswith("{") & ~found.rlike('^\\{\\s*"properties"\\s*:\\s*null') & listed)
+        kind = _kind(F.try_variant_get("v", f"$.{phase}", "variant"))
+        properties = F.coalesce(_kind(F.try_variant_get("v", f"$.{phase}.properties", "variant")), F.lit("ARRAY"))
+        return F.coalesce(kind, F.lit("VOID")).isin("VOID", "ARRAY") | ((kind == "OBJECT") & (properties == "ARRAY"))
 
-    good = rows.where("trim(e.id) <> '' AND trim(e.name) <> ''").where(usable("in") & usable("out"))
+    good = rows.where(_kind(F.col("v")) == "OBJECT").where("trim(e.id) <> '' AND trim(e.name) <> ''").where(usable("in") & usable("out"))
     first = F.row_number().over(Window.partitionBy("file", "e.id").orderBy("pos"))
     return good.withColumn("n", first).where("n = 1").select("file", "pos", "e.id", "e.name", F.col("e.basedOn").alias("based_on"), F.col("e.in").alias("in_phase"), F.col("e.out").alias("out_phase"), F.lit(True).alias("custom"), "entry")
 
 
+def _custom(entry: Column) -> Column:
+    """A JSON object with custom true: set where it has that field, added at its end where it hasn't."""
+    value = "to_json(element_at(fields, k))"
+    own = f"transform(json_object_keys(entry), k -> concat('\"', replace(replace(k, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), '\":', CASE WHEN k = 'custom' THEN 'true' ELSE {value} END))"
+    kept = F.concat(F.lit("{"), F.array_join(F.expr(own), ","), F.lit("}"))
+    added = F.concat(F.regexp_replace(entry, "\\s*\\}\\s*\\z", ""), F.when(F.size(F.json_object_keys(entry)) > 0, ",").otherwise(""), F.lit('"custom":true}'))
+    return F.when(F.array_contains(F.json_object_keys(entry), "custom"), kept).otherwise(added)
+
+
 def write_presets(presets: DataFrame, key: str) -> DataFrame:
-    """(key, content): one JSON of version 1 for each key. presets: key, pos, id, name, and entry, if there, which is written whole and marked as custom."""
+    """(key, content): one JSON of version 1 for each key. presets: key, pos, id, name, and entry, if there, which is written whole. All are marked as custom, whatever they say."""
     plain = F.to_json(F.struct("id", "name"))
-    entry = F.coalesce("entry", plain) if "entry" in presets.columns else plain
-    marked = F.when(F.get_json_object(entry, "$.custom").isNull(), F.concat(F.regexp_replace(entry, "\\s*\\}\\s*\\z", ""), F.lit(',"custom":true}'))).otherwise(entry)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", marked.alias("entry"))))
+    rows = presets.select(key, "pos", (F.coalesce("entry", plain) if "entry" in presets.columns else plain).alias("entry"))
+    rows = rows.withColumn("fields", F.try_variant_get(F.try_parse_json("entry"), "$", "map<string,variant>"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", _custom(F.col("entry")).alias("entry"))))
     content = F.concat(F.lit('{"version":1,"presets":['), F.array_join(F.transform(ordered, lambda x: x.entry), ","), F.lit("]}"))
-    return presets.groupBy(key).agg(content.alias("content"))
+    return rows.groupBy(key).agg(content.alias("content"))
 
 
 def preset_library(built_in: DataFrame, user: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrain.functions.intervals import covered_points
+from cuegrain.functions.percentiles import exact_percentiles
 
 FRAME_SECONDS = 0.03
 PAD, MERGE_BELOW, LEAST_SPAN = 0.15, 0.30, 0.20
@@ -60,17 +61,17 @@ def frame_rms(blocks: DataFrame, frame_length: int) -> DataFrame:
 
 def vad_thresholds(frames: DataFrame) -> DataFrame:
     """(recording_id, floor, speech, threshold, flat): exact percentiles; flat recordings have no speech to tell apart."""
-    p = frames.groupBy("recording_id").agg(F.percentile("rms", 0.2).alias("floor"), F.percentile("rms", 0.9).alias("speech"), F.max("rms").alias("most"))
+    p = exact_percentiles(frames, "recording_id", "rms", {"floor": 0.2, "speech": 0.9})
     flat = (F.col("most") <= 0) | (F.col("speech") <= 2 * F.col("floor"))
     return p.select("recording_id", "floor", "speech", (F.col("floor") + 0.2 * (F.col("speech") - F.col("floor"))).alias("threshold"), flat.alias("flat"))
 
 
 def silence_thresholds(frames: DataFrame) -> DataFrame:
     """(recording_id, level): the level below which a frame is silent, null if loud and quiet are too close or frames too few."""
-    db = lambda share: 20 * F.log10(F.percentile("rms", share) + 1e-9)  # noqa: E731  percentiles of levels, then decibels
-    p = frames.groupBy("recording_id").agg(db(0.01).alias("lo"), db(0.99).alias("hi"), F.count("*").alias("n"), F.max("rms").alias("most"))
-    level = F.pow(F.lit(10.0), F.greatest(F.col("lo") + 3, F.col("hi") - 20) / 20)
-    usable = (F.col("n") >= 4) & (F.col("most") > 0) & (F.col("hi") - F.col("lo") >= SEPARATION_DB)
+    p = exact_percentiles(frames, "recording_id", "rms", {"low": 0.01, "high": 0.99})  # percentiles of levels, then decibels
+    p = p.withColumns({x: 20 * F.log10(F.col(x) + 1e-9) for x in ("low", "high")})
+    level = F.pow(F.lit(10.0), F.greatest(F.col("low") + 3, F.col("high") - 20) / 20)
+    usable = (F.col("n") >= 4) & (F.col("most") > 0) & (F.col("high") - F.col("low") >= SEPARATION_DB)
     return p.select("recording_id", F.when(usable, level).alias("level"))
 
 

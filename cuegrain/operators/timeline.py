@@ -96,7 +96,9 @@ def rebuild_captions(new: DataFrame, existing: DataFrame, ranges: DataFrame) ->
 
     ranges: comp_id, scoped, range_start, range_duration. An unscoped rebuild replaces all of its
     timeline; a scoped one with an unusable range, and one without new captions, is refused and changes
-    nothing. new and existing: comp_id, layer_id, text, start, end. report: comp_id, added, replaced, error.
+    nothing. new and existing: comp_id, layer_id, text, start, end, and source_comp_id of existing layers that hold a nested timeline.
+    report: comp_id, added, replaced, error, cuts_nested (a layer that goes holds a timeline and reaches beyond the range, so captions outside it go, too)
+    and nested_lost (captions of the timelines that go with their layers).
     """
     counts = new.groupBy("comp_id").agg(F.count("*").alias("n_new"))
     r = ranges.join(counts, "comp_id", "left")
@@ -111,8 +113,15 @@ def rebuild_captions(new: DataFrame, existing: DataFrame, ranges: DataFrame) ->
     before = existing.groupBy("comp_id").agg(F.count("*").alias("n_before"))
     after = kept.groupBy("comp_id").agg(F.count("*").alias("n_kept"))
     zero = F.lit(0).cast("long")
-    report = r.join(before, "comp_id", "left").join(after, "comp_id", "left")
-    return out, report.select("comp_id", F.when(F.col("error").isNull(), F.coalesce("n_new", zero)).otherwise(zero).alias("added"), (F.coalesce("n_before", zero) - F.coalesce("n_kept", zero)).alias("replaced"), "error")
+    held = existing if "source_comp_id" in existing.columns else existing.withColumn("source_comp_id", F.lit(None).cast("long"))
+    gone = held.where("source_comp_id IS NOT NULL").join(spans, "comp_id").where("start < range_end AND end > range_start")
+    cuts = gone.groupBy("comp_id").agg(F.max((F.col("start") < F.col("range_start")) | (F.col("end") > F.col("range_end"))).alias("cuts"))
+    inside = held.where("source_comp_id IS NULL").groupBy(F.col("comp_id").alias("source_comp_id")).agg(F.count("*").alias("n_inside"))
+    lost = gone.select("comp_id", "source_comp_id").distinct().join(inside, "source_comp_id").groupBy("comp_id").agg(F.sum("n_inside").alias("n_lost"))
+    report = r
+    for own in (before, after, cuts, lost):
+        report = report.join(own, "comp_id", "left")
+    return out, report.select("comp_id", F.when(F.col("error").isNull(), F.coalesce("n_new", zero)).otherwise(zero).alias("added"), (F.coalesce("n_before", zero) - F.coalesce("n_kept", zero)).alias("replaced"), "error", F.coalesce("cuts", F.lit(False)).alias("cuts_nested"), F.coalesce("n_lost", zero).alias("nested_lost"))
 
 
 def _extended(path: Column) -> tuple[Column, Column]:

@@ -114,7 +114,9 @@ def _(spark, sf):
     return _rebuild(spark, sf)[0].select("comp_id", "layer_id", "is_new")
 
 
-@query("rebuild_report", REBUILD + "SELECT comp_id, CASE WHEN error IS NULL THEN coalesce(n_new, 0) ELSE 0 END AS added, (SELECT count(*) FROM ex WHERE ex.comp_id = rr.comp_id) - (SELECT count(*) FROM kp WHERE kp.comp_id = rr.comp_id) AS replaced, error FROM rr")
+@query("rebuild_report", REBUILD + """, hs AS (SELECT e.comp_id, e.source_comp_id, scoped AND (e.start < work_start OR e."end" > work_start + work_duration) AS cuts FROM ex e JOIN rr ON rr.comp_id = e.comp_id AND error IS NULL AND (NOT scoped OR (e.start < work_start + work_duration AND e."end" > work_start)) WHERE e.source_comp_id IS NOT NULL)
+ SELECT comp_id, CASE WHEN error IS NULL THEN coalesce(n_new, 0) ELSE 0 END AS added, (SELECT count(*) FROM ex WHERE ex.comp_id = rr.comp_id) - (SELECT count(*) FROM kp WHERE kp.comp_id = rr.comp_id) AS replaced, error,
+ coalesce((SELECT bool_or(cuts) FROM hs WHERE hs.comp_id = rr.comp_id), false) AS cuts_nested, (SELECT count(*) FROM ex WHERE source_comp_id IS NULL AND ex.comp_id IN (SELECT source_comp_id FROM hs WHERE hs.comp_id = rr.comp_id)) AS nested_lost FROM rr""")
 def _(spark, sf):
     return _rebuild(spark, sf)[1]
 
@@ -186,16 +188,18 @@ def _(spark, sf):
 
 
 def _preset_files(spark, sf) -> DataFrame:
-    """A file of four presets per customer: some lack names or a phase, repeat ids, have odd phases or are cut short."""
+    """A file of four presets per customer: some lack names or a phase, repeat ids, say that they are not custom, have odd phases or are cut short."""
     c = d.table(spark, sf, "customer")
-    body = lambda i: f"CASE (c_custkey + {i}) % 4 WHEN 0 THEN ',\"in\":{{\"seconds\":0.{i + 1}}}' WHEN 1 THEN ',\"description\":\"plain\"' WHEN 2 THEN ',\"in\":{{\"properties\":[1]}},\"out\":null' ELSE ',\"out\":{{\"properties\":{{}}}}' END"
+    kinds = [',"in":{"seconds":0.%}', ',"description":"plain"', ',"in":{"properties":[1]},"out":null', ',"out":{"properties":{}}', ',"in":"{x"', ',"custom":false,"in":{"a":{"properties":null},"properties":[]}', ',"in":{"a":{"properties":null},"properties":{}}', ',"out":{"properties":null}']
+    body = lambda i: f"CASE (c_custkey + {i}) % {len(kinds)} " + " ".join(f"WHEN {k} THEN '{x.replace('%', str(i + 1))}'" for k, x in enumerate(kinds)) + " END"
     one = lambda i: f"concat('{{\"id\":\"p', (c_custkey + {i}) % 3, '\",\"name\":', CASE WHEN (c_custkey + {i}) % 7 = 0 THEN 'null' ELSE concat('\"Preset ', c_custkey % 5, ' {i}\"') END, {body(i)}, '}}')"
     text = f"concat('{{\"version\":1,\"presets\":[', {one(0)}, ',', {one(1)}, ',', {one(2)}, ',', {one(3)}, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE ']}}' END)"
     return c.selectExpr("c_custkey AS file", f"{text} AS content")
 
 
 PRESETS = """WITH pf AS (SELECT c_custkey AS file, i AS pos, 'p' || (c_custkey + i) % 3 AS id, CASE WHEN (c_custkey + i) % 7 = 0 THEN NULL ELSE 'Preset ' || c_custkey % 5 || ' ' || i END AS name,
-    CASE (c_custkey + i) % 4 WHEN 0 THEN ',"in":{"seconds":0.' || (i + 1) || '}' WHEN 1 THEN ',"description":"plain"' WHEN 2 THEN ',"in":{"properties":[1]},"out":null' END AS rest FROM customer, unnest(range(0, 4)) AS u(i) WHERE c_custkey % 11 <> 0),
+    CASE (c_custkey + i) % 8 WHEN 0 THEN ',"in":{"seconds":0.' || (i + 1) || '},"custom":true' WHEN 1 THEN ',"description":"plain","custom":true' WHEN 2 THEN ',"in":{"properties":[1]},"out":null,"custom":true'
+        WHEN 5 THEN ',"custom":true,"in":{"a":{"properties":null},"properties":[]}' END AS rest FROM customer, unnest(range(0, 4)) AS u(i) WHERE c_custkey % 11 <> 0),
 ps AS (SELECT file, CAST(pos AS INT) AS pos, id, name, rest FROM pf WHERE name IS NOT NULL AND rest IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file, id ORDER BY pos) = 1)
 """
 
@@ -205,7 +209,7 @@ def _(spark, sf):
     return P.scan_presets(_preset_files(spark, sf)).select("file", "pos", "id", "name", "custom")
 
 
-@query("preset_write", PRESETS + """SELECT file, '{"version":1,"presets":[' || string_agg('{"id":"' || id || '","name":"' || name || '"' || rest || ',"custom":true}', ',' ORDER BY pos) || ']}' AS content FROM ps GROUP BY 1""")
+@query("preset_write", PRESETS + """SELECT file, '{"version":1,"presets":[' || string_agg('{"id":"' || id || '","name":"' || name || '"' || rest || '}', ',' ORDER BY pos) || ']}' AS content FROM ps GROUP BY 1""")
 def _(spark, sf):
     return P.write_presets(P.scan_presets(_preset_files(spark, sf)), "file")
 

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import struct
@@ -6,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuegrain.functions import groups, intervals
+from cuegrain.functions import groups, intervals, percentiles
 from cuegrain.functions import scalars as S
-from cuegrain.operators import align, captions, recognise, speech, timeline, words
+from cuegrain.operators import align, captions, presets, recognise, speech, timeline, words
 from cuegrain.sources import asr, pcm, subtitles, words_json
 
 
@@ -172,6 +173,44 @@ def test_alignment_moves_boundaries(spark):
     assert times(np.full(300, 0.3)) == [0.2, 1.2, 1.2, 2.5]
 
 
+def test_percentiles_of_large_and_small_groups(spark):
+    rng = np.random.default_rng(6)
+    groups_ = {1: np.round(rng.normal(0, 1, 20_000), 4), 2: np.full(5000, 0.25), 3: np.array([1.0]), 4: np.array([3.0, 1.0]), 5: rng.random(37)}
+    rows = [(k, float(x)) for k, v in groups_.items() for x in v] + [(1, None), (9, None)]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(7)
+    got = {r.k: r for r in percentiles.exact_percentiles(df, "k", "x", {"a": 0.01, "b": 0.2, "c": 0.5, "d": 0.99, "e": 1.0}).collect()}
+    assert set(got) == set(groups_)
+    for k, v in groups_.items():
+        r = got[k]
+        assert (r.n, r.least, r.most) == (len(v), v.min(), v.max())
+        assert [r.a, r.b, r.c, r.d, r.e] == pytest.approx(np.percentile(v, [1, 20, 50, 99, 100]).tolist(), abs=1e-12)
+
+
+def test_presets_are_judged_by_type(spark):
+    entries = ['{"id":"a","name":"x","in":{"x":{"properties":null},"properties":{}}}', '{"id":"b","name":"x","in":"{x"}', '{"id":"c","name":"x","in":{"x":{"properties":null},"properties":[]},"custom":false,"q\\"":"z\\"y","n":1.50}', '{"id":"d","name":"x","in":[],"out":null}', '{"id":"e","name":"x","out":{"properties":null}}', '{"id":7,"name":"x"}', '"text"', "[1]", "null", '{"id":"a","name":"later","in":{}}', '{"id":" ","name":"x"}']
+    df = spark.createDataFrame([(1, '{"version":1,"presets":[' + ",".join(entries) + "]}"), (2, '{"version":1,"presets":[{"id":"a","name":"x"}'), (3, "[]"), (4, '{"presets":{"a":1}}'), (5, None)], "file int, content string")
+    found = presets.scan_presets(df)
+    assert [(r.file, r.id) for r in found.orderBy("file", "pos").collect()] == [(1, "c"), (1, "d"), (1, "7"), (1, "a")]
+    written = json.loads(presets.write_presets(found, "file").first().content)
+    assert [x["custom"] for x in written["presets"]] == [True] * 4 and written["version"] == 1
+    assert written["presets"][0] == json.loads(entries[2]) | {"custom": True}
+
+
+def test_rebuild_reports_nested_timelines(spark):
+    layers = [(1, 1, "a", 0.0, 1.0, None), (1, 2, "", 4.0, 12.0, 5), (1, 3, "", 6.0, 9.0, 6), (1, 4, "", 20.0, 30.0, 7), (5, 5, "in", 0.0, 1.0, None), (5, 6, "in", 1.0, 2.0, None), (6, 7, "in", 0.0, 1.0, None), (7, 8, "in", 0.0, 1.0, None), (2, 9, "", 4.0, 12.0, 7), (3, 10, "", 5.5, 6.0, 6)]
+    existing = spark.createDataFrame(layers, "comp_id long, layer_id long, text string, start double, end double, source_comp_id long")
+    new = spark.createDataFrame([(k, 90 + k, "n", 5.0, 6.0) for k in (1, 2, 3)], "comp_id long, layer_id long, text string, start double, end double")
+    ranges = spark.createDataFrame([(1, True, 5.0, 5.0), (2, False, 0.0, 0.0), (3, True, 5.0, 5.0)], "comp_id long, scoped boolean, range_start double, range_duration double")
+    report = {r.comp_id: (r.replaced, r.cuts_nested, r.nested_lost) for r in timeline.rebuild_captions(new, existing, ranges)[1].collect()}
+    assert report == {1: (2, True, 3), 2: (1, False, 1), 3: (1, False, 1)}
+
+
+def test_versions_of_any_length(spark):
+    compared = lambda a, b: one(spark, S.compare_versions(F.lit(a), F.lit(b)))
+    assert compared("1.1234567890123456789", "1.1234567890123456788") == 1 and compared("1.0009", "1.10") == -1
+    assert compared("1.0.0", "v1") == 0 and compared("2.x", "2.0") == 0 and compared("1.0-b", "1") == -1
+
+
 def test_intervals_against_every_pair(spark):
     rng = random.Random(3)
     points = [(rng.randrange(3), i, float(rng.randrange(0, 400))) for i in range(400)] + [(1, 999, None), (None, 998, 5.0)]
