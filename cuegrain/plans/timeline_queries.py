@@ -374,7 +374,7 @@ def _(spark, sf):
 def _(spark, sf):
     text = "concat(CASE WHEN o_orderkey % 2 = 0 THEN 'v' ELSE '' END, o_orderkey % 4, '.', CASE WHEN o_orderkey % 5 = 4 THEN 'x' ELSE CAST(o_orderkey % 5 AS STRING) END, CASE WHEN o_orderkey % 3 = 0 THEN '-beta.2' ELSE '' END)"
     key = S.version_key(F.expr(text))
-    return d.table(spark, sf, "orders").select("o_orderkey", key.alias("k")).select("o_orderkey", *[F.coalesce(F.get("k.numbers", F.lit(i)).cast("int"), F.lit(0)).alias(n) for i, n in enumerate(("major", "minor"))], "k.release")
+    return d.table(spark, sf, "orders").select("o_orderkey", key.alias("k")).select("o_orderkey", *[F.coalesce(F.get("k.numbers", F.lit(i))["text"].try_cast("int"), F.lit(0)).alias(n) for i, n in enumerate(("major", "minor"))], "k.release")
 
 
 VERSIONS = """WITH v AS (SELECT o_orderkey, o_orderkey % 3 AS a1, o_orderkey % 2 AS a4, CASE o_orderkey % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta.2' ELSE '' END AS ap,
