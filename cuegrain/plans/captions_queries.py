@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrain.functions import scalars as S
-from cuegrain.functions.scratch import cut
+from cuegrain.functions.scratch import cut, scratch_path
 from cuegrain.operators import captions as C
 from cuegrain.operators import segment as G
 from cuegrain.plans import derived as d
 from cuegrain.sources import subtitles as T
+from cuegrain.streaming import segments as L
+
+#: Files that a stream of words arrives in, and the micro-batches that read them.
+STREAM_FILES, STREAM_BATCHES = 24, 3
+#: When the recordings of the stream began, in milliseconds.
+RECORDED = 1_700_000_000_000
 
 QUERIES, SQL = {}, {}
 
@@ -164,6 +170,23 @@ def _(spark, sf):
     return got.select("recording_id", "caption_no", "text", *r6("start", "end"), F.array_join("lines", "|").alias("lines"))
 
 
+@query("live_segments", segmented(G.PHRASE) + 'SELECT recording_id, caption_no, text, round(start, 6) AS start, "end", first_idx, n_words, lines FROM seg')
+def _(spark, sf):
+    """The words as files in no order of their recordings, read as a stream some files at a time; captions go to a table."""
+    words = cut(d.words(spark, sf), "words")
+    spans = G.word_gaps(words).where("gap IS NOT NULL").select("recording_id", S.bare_word(F.col("text")).alias("bare"), (F.col("end") + F.col("gap") - F.col("start")).alias("span"))
+    usual = spans.where("bare <> ''").groupBy("recording_id", "bare").agg(F.min("span").alias("normal"))
+    ends = words.groupBy("recording_id").agg(F.max("idx").alias("last_idx"))
+    sent = L.usual_lengths(words.join(ends, "recording_id"), usual).select("recording_id", "idx", "text", "start", "end", "usual", F.timestamp_millis(F.lit(RECORDED) + (F.col("start") * 1000).cast("long")).alias("at"), (F.col("idx") == F.col("last_idx")).alias("last"))
+    arrived, shown = scratch_path(spark, "arrived"), scratch_path(spark, "shown")
+    sent.repartition(STREAM_FILES, F.xxhash64("recording_id", "idx")).write.parquet(arrived)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", STREAM_FILES // STREAM_BATCHES).parquet(arrived)
+    captions = L.live_segments(stream, late="1000 days")  # the files are in no order, so no word is late
+    captions.writeStream.format("parquet").option("checkpointLocation", f"{shown}-state").trigger(availableNow=True).start(shown).awaitTermination()
+    got = spark.read.schema(captions.schema).parquet(shown)
+    return got.select("recording_id", "caption_no", "text", *r6("start", "end"), "first_idx", "n_words", F.array_join("lines", "|").alias("lines"))
+
+
 WRAP = """WITH RECURSIVE t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations),
  wr AS (SELECT conv_id, turn, ws, 0 AS i, '' AS line, CAST([] AS VARCHAR[]) AS done FROM t
  UNION ALL SELECT conv_id, turn, ws, i + 1,
