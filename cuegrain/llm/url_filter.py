@@ -1,7 +1,8 @@
 """Operator 3: URL filters: host and path rules, and logistic regression on hashed character n-grams.
 
 The classifier is trained from a small labelled URL table. The one here is made by a rule from
-words of kinds of unwanted and of ordinary sites; callers may pass a table of (url, label) of their own.
+words of kinds of unwanted and of ordinary sites, and has sites written out one by one besides
+(url_table); callers may pass a table of (url, label) of their own.
 """
 
 from __future__ import annotations
@@ -9,12 +10,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuegrain.llm.url_table import ORDINARY_SITES, UNWANTED_SITES
+
 #: Rules of the registered query: host, path, verdict. A rule is written as host + path.
 RULES = (
     ("com", "/", "allow"),
@@ -52,7 +56,7 @@ SYLLABLES = "ba lor mi run ne tas ko vir da fel su gan pe hol zi mar".split()
 
 
 def labelled_urls() -> tuple[tuple[str, int], ...]:
-    """(url, label), 1 for unwanted: each word alone, before and after the next ones of its kind in a host, and in a path; and invented names."""
+    """(url, label), 1 for unwanted: each word alone, before and after the next ones of its kind in a host, and in a path; invented names; and the sites of url_table."""
     out = []
     for label, kinds in ((1, UNWANTED_WORDS), (0, ORDINARY_WORDS)):
         began = len(out)  # both labels go through the same numbers, paths and domains
@@ -69,11 +73,15 @@ def labelled_urls() -> tuple[tuple[str, int], ...]:
     for n, name in enumerate(names):
         host = ("", "www.", "m.", "blog.")[n // 4 % 4] + name
         out.append((f"http{'s' * (n % 2)}://{host}.{DOMAINS[n % len(DOMAINS)]}{NEUTRAL_PATHS[n // 2 % len(NEUTRAL_PATHS)].format(n)}", 0))
+    for label, sites in ((1, UNWANTED_SITES), (0, ORDINARY_SITES)):
+        for n, site in enumerate(sites.split()):
+            host, _, path = site.partition("/")
+            out.append((f"http{'s' * (n % 2)}://{'' if n % 3 else 'www.'}{host}/{path}", label))
     return tuple(out)
 
 
-#: Log odds of a url without evidence: fixed, so that hosts of unknown words are allowed.
-NO_EVIDENCE = -1.0
+#: Log odds of a url without evidence: fixed, so that hosts of unknown words are allowed. Chosen by four-fold cross-validation over the sites of url_table.
+NO_EVIDENCE = -0.5
 
 BUCKETS = 1 << 14
 SIZES = (3, 4, 5)
@@ -165,6 +173,12 @@ def train(labelled: tuple[tuple[str, int], ...] | None = None) -> UrlModel:
     return UrlModel(weights, NO_EVIDENCE)
 
 
+@cache
+def default_model() -> UrlModel:
+    """The model of the table here, trained once a process."""
+    return train()
+
+
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, model: UrlModel | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, score) per row.
 
@@ -174,7 +188,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     read. An empty table gives an empty result. labelled (url, label) trains the classifier in the place
     of the table here; model is a trained one.
     """
-    model = model or train(None if labelled is None else labelled_rows(labelled))
+    model = model or (default_model() if labelled is None else train(labelled_rows(labelled)))
     shared = pages.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
 
     @F.pandas_udf("double")

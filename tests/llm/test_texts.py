@@ -182,6 +182,34 @@ def test_url_model_on_unseen_names():
     assert caught >= 0.75 * len(UNSEEN_UNWANTED) and wrong <= 0.05 * len(UNSEEN_ORDINARY)
 
 
+# FROZEN: written before the table got its sites, but its result (19 of 24, 1 of 28) was known when the bias was chosen by cross-validation.
+# SECOND: written before that choice and used for nothing. Their figures stand in the README.
+FROZEN_UNWANTED = """http://luckyspin-casino.biz/signup https://holdem-poker-room.net/ https://sportsbet365.info/odds https://mega-jackpot-slots.com/play https://order-viagra-now.biz/ http://cheapmeds24.net/cialis
+https://onlinepharmacy-discount.com/pills https://porn-tube.example.net/watch http://hotgirls-cams.net/live https://escorts-in-town.com/ http://payday-advance.biz/apply https://quickloans-nocheck.com/
+https://bitcoin-doubler.net/invest https://forex-signals-profit.com/ http://buy-backlinks-cheap.net/ https://popunder-traffic.com/ http://adserve-tracker.net/pixel.gif https://replica-watches-outlet.com/
+http://serials-keygen.net/crack https://free-torrents-download.net/ https://freegiftcard-survey.com/claim http://youhavewon-prize.info/ https://paypal-login-verify-account.com/ https://miracle-weightloss.net/diet""".split()
+FROZEN_ORDINARY = """https://drug-information.health.gov/interactions https://trackandfield-club.org/results https://sussex-and-middlesex.gov.uk/council https://betterhomes.com/kitchen https://alphabet-books.com/children
+https://scunthorpe-times.co.uk/news https://camera-museum.org/exhibitions https://creditunion-history.org/archive https://clickertraining-dogs.com/guide https://advertiser-tribune.com/local https://freedomtrail.org/map
+https://winery-tours.fr/fr/vins https://slotcar-racing.org/club https://pillow-and-linen.com/shop https://farmersmarket.org/stalls https://tablet-weaving.org/patterns https://lotus-garden.de/de/rezepte
+https://prizewinning-novels.org/2021 https://cheapside-church.org/history https://mathcurves.org/wiki/Roulette https://software-docs.dev/api https://stadtbibliothek.de/de/katalog https://www.lejournal-diplo.fr/fr/article
+https://biochem.university.edu/courses https://riverside-hospital.org/visit https://localweather.net/forecast https://chesspuzzles.org/daily https://openstreetatlas.org/edit""".split()
+SECOND_UNWANTED = """https://texas-holdem-bonus.net/lobby http://spinpalace-casino.info/ https://livebetting-odds.com/tennis http://bigwin-lottery.biz/tickets https://cheap-cialis-pharmacy.com/ http://diazepam-no-prescription.net/buy https://keto-diet-pills.info/order
+https://amateur-sex-videos.net/watch http://nude-webcam-chat.com/ https://sexdating-local.biz/join http://instant-payday-cash.net/ https://crypto-invest-returns.com/signup https://passive-income-robot.net/ http://seo-spam-links.biz/ https://bulk-traffic-clicks.net/buy
+http://banner-ads-server.com/click https://track-affiliate-clicks.net/r https://fake-rolex-replica.net/ http://cracked-games-torrent.com/download https://win-prize-survey.net/claim http://bank-login-verify.info/secure https://free-bonus-giveaway.biz/""".split()
+SECOND_ORDINARY = """https://pharmacists-society.org/members https://racetracks-of-france.fr/fr/histoire https://middlesexlibrary.org/hours https://betacarotene.edu/papers https://campsites-guide.nl/kaart https://freeholdtownship.gov/council https://windsurfing-school.com/lessons
+https://creditonriver.com/walks https://adaptive-optics.edu/lectures https://clicquot-museum.fr/fr/visite https://tablelands-farm.com/stalls https://linkage-genetics.edu/maps https://poetrymagazine.org/issues https://stadttheater.de/de/spielplan https://cyclingroutes.org/alps
+https://ceramics-studio.com/courses https://observatory.edu/planets https://townhall.gov/minutes https://violinmakers.org/history https://bakerystreet.com/menu https://opencompiler.dev/manual https://naturalhistory.museum/fossils https://coastguard.gov/forecast https://novelists.org/awards""".split()
+
+
+@pytest.mark.parametrize(("unwanted", "ordinary"), [(FROZEN_UNWANTED, FROZEN_ORDINARY), (SECOND_UNWANTED, SECOND_ORDINARY)], ids=["frozen", "second"])
+def test_url_model_on_urls_written_before_the_table(unwanted, ordinary):
+    m = U.default_model()
+    p = lambda u: m.probability(*(m.part(x, k) for x, k in zip(U.split_url(u), "hp", strict=True)))
+    assert not {U.split_url(u)[0].removeprefix("www.") for u, _ in U.labelled_urls()} & {U.split_url(u)[0].removeprefix("www.") for u in unwanted + ordinary}
+    caught, wrong = sum(p(u) >= 0.5 for u in unwanted), sum(p(u) >= 0.5 for u in ordinary)
+    assert caught >= 0.8 * len(unwanted) and caught >= 0.8 * (caught + wrong)
+
+
 def test_labelled_urls_are_no_pages_of_the_tables(spark):
     hosts = {r.host for r in spark.read.parquet(f"{SMALL}/pages.parquet").select(U.host_of(F.col("url")).alias("host")).collect()}
     assert not hosts & {U.split_url(u)[0] for u, _ in U.labelled_urls()}
