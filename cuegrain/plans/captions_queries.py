@@ -44,7 +44,7 @@ cap AS (SELECT recording_id, CAST(caption_no AS BIGINT) AS caption_no, text, sta
 """
 
 
-ROUGH = counted(2) + f""", {d.TIMELINES},
+ROUGH = counted(2) + f""", {d.NATION_TIMELINES},
 rough AS (SELECT recording_id AS comp_id, caption_no, CASE WHEN caption_no % 6 = 0 THEN text || chr(10) || ' ' ELSE text END AS text, start,
     CASE WHEN caption_no % 13 = 4 THEN start + 0.1::DOUBLE ELSE "end" + ((caption_no * 7) % 11 - 5) * 0.02::DOUBLE END AS "end", frame_duration, frame_rate, caption_no % 9 = 3 AS keyframed
     FROM cap JOIN timelines t ON t.comp_id = recording_id % 25)
@@ -54,7 +54,7 @@ rough AS (SELECT recording_id AS comp_id, caption_no, CASE WHEN caption_no % 6 =
 def rough_captions(spark, sf) -> DataFrame:
     """Two-word captions with overlaps, flickers and short ones among them; comp_id is the recording."""
     cap = G.segment_counts(d.words(spark, sf), 2)
-    t = d.timelines(spark, sf).select(F.col("comp_id").alias("t_id"), "frame_duration", "frame_rate")
+    t = d.timelines(spark, sf, "nation").select(F.col("comp_id").alias("t_id"), "frame_duration", "frame_rate")
     both = cap.join(F.broadcast(t), F.col("recording_id") % 25 == F.col("t_id"))  # a row per nation
     end = F.when(F.col("caption_no") % 13 == 4, F.col("start") + 0.1).otherwise(F.col("end") + ((F.col("caption_no") * 7) % 11 - 5) * 0.02)
     text = F.when(F.col("caption_no") % 6 == 0, F.concat("text", F.lit("\n "))).otherwise(F.col("text"))

@@ -113,32 +113,40 @@ frames AS (SELECT user_id AS recording_id, CAST(row_number() OVER (PARTITION BY
 """
 
 
-def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """comp_id, width, height, frame_rate, frame_duration, drop_frame, display_start, duration, work_start, work_duration."""
-    n = table(spark, sf_dir, "nation")
-    return n.selectExpr(
-        "CAST(n_nationkey AS BIGINT) AS comp_id",
-        "element_at(array(1920, 1080, 1080, 0), CAST(n_nationkey % 4 AS INT) + 1) AS width",
-        "element_at(array(1080, 1920, 1080, 0), CAST(n_nationkey % 4 AS INT) + 1) AS height",
-        "element_at(array(30.0D, 25.0D, 24.0D, 30.0D), CAST(n_nationkey % 4 AS INT) + 1) AS frame_rate",
+def timelines(spark: SparkSession, sf_dir: str, of: str = "customer") -> DataFrame:
+    """comp_id, width, height, frame_rate, frame_duration, duration, work_start, work_duration: a timeline for each customer, or each nation."""
+    key = KEYS[of]
+    return table(spark, sf_dir, of).selectExpr(
+        f"CAST({key} AS BIGINT) AS comp_id",
+        f"element_at(array(1920, 1080, 1080, 0), CAST({key} % 4 AS INT) + 1) AS width",
+        f"element_at(array(1080, 1920, 1080, 0), CAST({key} % 4 AS INT) + 1) AS height",
+        f"element_at(array(30.0D, 25.0D, 24.0D, 30.0D), CAST({key} % 4 AS INT) + 1) AS frame_rate",
         "60.0D AS duration",
-        "CAST(n_nationkey AS DOUBLE) AS work_start",
-        "CASE WHEN n_nationkey % 5 = 0 THEN 0.0D ELSE 20.0D END AS work_duration",
+        f"CAST({key} % 25 AS DOUBLE) AS work_start",
+        f"CASE WHEN {key} % 5 = 0 THEN 0.0D ELSE 20.0D END AS work_duration",
     ).withColumn("frame_duration", F.expr("1.0D / frame_rate"))
 
 
-TIMELINES = """
-timelines AS (SELECT CAST(n_nationkey AS BIGINT) AS comp_id, ([1920, 1080, 1080, 0])[n_nationkey % 4 + 1] AS width, ([1080, 1920, 1080, 0])[n_nationkey % 4 + 1] AS height,
-    CAST(([30.0, 25.0, 24.0, 30.0])[n_nationkey % 4 + 1] AS DOUBLE) AS frame_rate, 60.0::DOUBLE AS duration, CAST(n_nationkey AS DOUBLE) AS work_start,
-    CASE WHEN n_nationkey % 5 = 0 THEN 0.0::DOUBLE ELSE 20.0::DOUBLE END AS work_duration, 1.0::DOUBLE / CAST(([30.0, 25.0, 24.0, 30.0])[n_nationkey % 4 + 1] AS DOUBLE) AS frame_duration FROM nation)
+KEYS = {"customer": "c_custkey", "nation": "n_nationkey"}
+
+
+def timelines_sql(of: str) -> str:
+    key = KEYS[of]
+    return f"""
+timelines AS (SELECT CAST({key} AS BIGINT) AS comp_id, ([1920, 1080, 1080, 0])[{key} % 4 + 1] AS width, ([1080, 1920, 1080, 0])[{key} % 4 + 1] AS height,
+    CAST(([30.0, 25.0, 24.0, 30.0])[{key} % 4 + 1] AS DOUBLE) AS frame_rate, 60.0::DOUBLE AS duration, CAST({key} % 25 AS DOUBLE) AS work_start,
+    CASE WHEN {key} % 5 = 0 THEN 0.0::DOUBLE ELSE 20.0::DOUBLE END AS work_duration, 1.0::DOUBLE / CAST(([30.0, 25.0, 24.0, 30.0])[{key} % 4 + 1] AS DOUBLE) AS frame_duration FROM {of})
 """
 
 
+TIMELINES, NATION_TIMELINES = timelines_sql("customer"), timelines_sql("nation")
+
+
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """comp_id, layer_id, name, tag, has_audio, enabled, solo, selected, start, end, source_comp_id, start_time, text."""
     o = table(spark, sf_dir, "orders")
     return o.selectExpr(
-        "CAST(o_custkey % 25 AS BIGINT) AS comp_id",
+        "CAST(o_custkey AS BIGINT) AS comp_id",
         "CAST(o_orderkey AS BIGINT) AS layer_id",
         "concat('layer ', o_orderkey) AS name",
         "CASE WHEN o_orderkey % 3 = 0 THEN 'caption' END AS tag",
@@ -148,18 +156,18 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey % 31 = 0 AS selected",
         "CAST((o_orderkey * 37) % 60000 AS DOUBLE) / 1000.0D AS start",
         "CAST((o_orderkey * 37) % 60000 + 200 + o_orderkey % 3000 AS DOUBLE) / 1000.0D AS end",
-        "CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 25 < 24 THEN CAST(o_custkey % 25 + 1 AS BIGINT) END AS source_comp_id",
+        "CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 25 < 24 THEN CAST(o_custkey + 1 AS BIGINT) END AS source_comp_id",
         "CAST(o_orderkey % 700 AS DOUBLE) / 100.0D AS start_time",
         "CASE WHEN o_orderkey % 17 = 0 THEN '  ' ELSE concat('caption ', o_orderpriority, chr(10), ' of ', o_orderkey) END AS text",
     )
 
 
 LAYERS = """
-layers AS (SELECT CAST(o_custkey % 25 AS BIGINT) AS comp_id, CAST(o_orderkey AS BIGINT) AS layer_id, 'layer ' || o_orderkey AS name,
+layers AS (SELECT CAST(o_custkey AS BIGINT) AS comp_id, CAST(o_orderkey AS BIGINT) AS layer_id, 'layer ' || o_orderkey AS name,
     CASE WHEN o_orderkey % 3 = 0 THEN 'caption' END AS tag, o_orderkey % 4 = 0 AS has_audio, o_orderkey % 5 <> 0 AS enabled,
     o_orderkey % 97 = 0 AS solo, o_orderkey % 31 = 0 AS selected, CAST((o_orderkey * 37) % 60000 AS DOUBLE) / 1000.0::DOUBLE AS start,
     CAST((o_orderkey * 37) % 60000 + 200 + o_orderkey % 3000 AS DOUBLE) / 1000.0::DOUBLE AS "end",
-    CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 25 < 24 THEN CAST(o_custkey % 25 + 1 AS BIGINT) END AS source_comp_id,
+    CASE WHEN o_orderkey % 50 = 0 AND o_custkey % 25 < 24 THEN CAST(o_custkey + 1 AS BIGINT) END AS source_comp_id,
     CAST(o_orderkey % 700 AS DOUBLE) / 100.0::DOUBLE AS start_time,
     CASE WHEN o_orderkey % 17 = 0 THEN '  ' ELSE 'caption ' || o_orderpriority || chr(10) || ' of ' || o_orderkey END AS text FROM orders)
 """

@@ -97,7 +97,7 @@ def _(spark, sf):
     return L.outside_ranges(existing, ranges).select("comp_id", "layer_id")
 
 
-REBUILD = LAY + RANGES + f""", ex AS (SELECT * FROM layers WHERE {IS_CAP}), nw AS (SELECT * FROM layers WHERE NOT {IS_CAP} AND has_audio AND comp_id <> 7), cn AS (SELECT comp_id, count(*) AS n_new FROM nw GROUP BY 1),
+REBUILD = LAY + RANGES + f""", ex AS (SELECT * FROM layers WHERE {IS_CAP}), nw AS (SELECT * FROM layers WHERE NOT {IS_CAP} AND has_audio AND comp_id % 25 <> 7), cn AS (SELECT comp_id, count(*) AS n_new FROM nw GROUP BY 1),
  rr AS (SELECT r.*, n_new, CASE WHEN scoped AND NOT (work_start >= 0 AND work_duration > 0) THEN 'unusable range' WHEN coalesce(n_new, 0) = 0 THEN 'no captions' END AS error FROM rg r LEFT JOIN cn USING (comp_id)),
  kp AS (SELECT * FROM ex e WHERE NOT EXISTS (SELECT 1 FROM rr WHERE rr.comp_id = e.comp_id AND error IS NULL AND (NOT scoped OR (e.start < work_start + work_duration AND e."end" > work_start))))
 """
@@ -106,7 +106,7 @@ REBUILD = LAY + RANGES + f""", ex AS (SELECT * FROM layers WHERE {IS_CAP}), nw A
 def _rebuild(spark, sf):
     layers = d.layers(spark, sf)
     ranges = d.timelines(spark, sf).select("comp_id", (F.col("comp_id") % 4 != 3).alias("scoped"), F.col("work_start").alias("range_start"), F.col("work_duration").alias("range_duration"))
-    return L.rebuild_captions(layers.where("tag IS NULL AND has_audio AND comp_id <> 7"), layers.where("tag = 'caption'"), ranges)
+    return L.rebuild_captions(layers.where("tag IS NULL AND has_audio AND comp_id % 25 <> 7"), layers.where("tag = 'caption'"), ranges)
 
 
 @query("rebuild_captions", REBUILD + "SELECT comp_id, layer_id, true AS is_new FROM nw WHERE comp_id IN (SELECT comp_id FROM rr WHERE error IS NULL) UNION ALL SELECT comp_id, layer_id, false FROM kp")
