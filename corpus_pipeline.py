@@ -64,7 +64,8 @@ STAGES = [
     ("packing", _in_small_batches(packed)),
 ]
 
-#: The toxicity stage is a trained model, which SQL cannot express; tests hold run() against a brute-force version.
+#: The toxicity stage is a trained model, which SQL cannot express; tests hold the stages of deduplication
+#: against brute force, and toxicity, mixing and packing against their operators and invariants.
 ORACLE_SQL = None
 
 
