@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cuegrain.plans import captions_queries
+from cuegrain.plans import audio_queries, captions_queries, derived
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -38,3 +38,21 @@ def test_reading_speed_counts_code_points_as_its_sql(spark, tables):
     folder = tables([(1, 0, "all's well \U0001f600\U0001f600 said \U0001d53e\U0001d53e they, and went."), (2, 0, "plain words")])
     names, theirs = oracle(folder, "reading_speed")
     assert sorted(map(tuple, captions_queries.QUERIES["reading_speed"](spark, folder).select(*names).collect())) == theirs
+
+
+def test_tasks_grow_with_the_words(spark, monkeypatch):
+    """The session has four partitions whatever comes; the words, and captions made of them, are dealt to more."""
+    monkeypatch.setattr(derived, "TASK_BYTES", 2_000)
+    n = derived.word_tasks(spark, str(DATA))
+    assert 18 < n < 25
+    assert derived.words(spark, str(DATA)).rdd.getNumPartitions() == n
+    for name in ("word_gaps", "count_captions_word", "segment_parts", "segment_vertical", "live_captions", "merge_caption"):
+        run = (captions_queries.QUERIES | audio_queries.QUERIES)[name]
+        assert run(spark, str(DATA)).rdd.getNumPartitions() == n, name
+
+
+def test_captions_leave_their_island_once(spark):
+    """Turns are shuffled, and captions; grouping the words of captions anew was a third shuffle, of all words."""
+    for name in ("segment_phrase", "segment_sentence", "segment_smart"):
+        plan = captions_queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(recording_id") == 2, name
