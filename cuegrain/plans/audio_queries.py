@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrain.functions.scratch import cut
 from cuegrain.operators import align, recognise
 from cuegrain.operators import words as W
 from cuegrain.plans import derived as d
@@ -33,11 +32,11 @@ def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def energy(spark, sf) -> DataFrame:
-    """Frames of 10 ms for the derived words: loud inside a word, quiet between words."""
+def energy(spark, sf, tasks: int) -> DataFrame:
+    """Frames of 10 ms for the derived words, dealt to so many tasks by recording: loud inside a word, quiet between words."""
     by = Window.partitionBy("recording_id").orderBy("idx")
     first = F.floor(F.col("start_ms") / 10)
-    w = d.timed_words(spark, sf).select("recording_id", "idx", first.alias("a"), F.floor(F.col("end_ms") / 10).alias("b"))
+    w = d.timed_words(spark, sf, tasks).select("recording_id", "idx", first.alias("a"), F.floor(F.col("end_ms") / 10).alias("b"))
     w = w.withColumns({"from_": F.when(F.lag("a").over(by).isNull(), 0).otherwise(F.col("a")), "to_": F.coalesce(F.lead("a").over(by) - 1, "b")})
     loud = F.col("frame_idx").between(F.col("a") + 2, F.greatest(F.col("a") + 2, F.col("b") - 6))
     return w.where("to_ >= from_").select("*", F.explode(F.sequence("from_", "to_")).alias("frame_idx")).select("recording_id", "frame_idx", F.when(loud, 0.2).otherwise(0.0005).alias("rms"))
@@ -45,7 +44,9 @@ def energy(spark, sf) -> DataFrame:
 
 @query("align_to_audio")
 def _(spark, sf):
-    return align.align_to_audio(d.words(spark, sf), cut(energy(spark, sf), "energy")).select("recording_id", "idx", "text", *r6("start", "end"))
+    tasks = d.word_tasks(spark, sf)
+    # a word is some 28 frames
+    return align.align_to_audio(d.words(spark, sf, tasks), energy(spark, sf, 8 * tasks)).select("recording_id", "idx", "text", *r6("start", "end"))
 
 
 #: Block numbers that one WAV file covers, so that files and rows stay small however long a recording is.

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from cuegrain.operators import align
 from cuegrain.plans import audio_queries, captions_queries, derived
 
 DATA = Path("/root/testdata/sf0.001")
@@ -56,3 +57,17 @@ def test_captions_leave_their_island_once(spark):
     for name in ("segment_phrase", "segment_sentence", "segment_smart"):
         plan = captions_queries.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning(recording_id") == 2, name
+
+
+def test_frames_of_audio_are_not_shuffled(spark, monkeypatch):
+    """Frames, some 28 for a word, go into cells where they are made, and the bundles are dealt to as many tasks as the words need."""
+    frames = audio_queries.energy(spark, str(DATA), 6)
+    plan = align.frame_cells(frames)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    monkeypatch.setattr(align, "TASK_WORDS", 500)
+    rows = derived.words(spark, str(DATA)).count()
+    dealt = []
+    settled = align._settled
+    monkeypatch.setattr(align, "_settled", lambda *args: dealt.append(args[-1]) or settled(*args))
+    assert audio_queries.QUERIES["align_to_audio"](spark, str(DATA)).count() == rows
+    assert dealt[0] >= rows / 500
