@@ -58,12 +58,12 @@ def _fold(budget: Budget, patience: int) -> Callable:
         *columns, next_idx, next_no, last_idx, latest = state.get if state.exists else (*[[]] * len(FIELDS), 0, 0, -1, 0)
         waiting = {w[0]: w for w in zip(*columns, strict=True)}
         for batch in batches:
-            came = batch[batch["idx"] >= next_idx].sort_values(["idx", "start", "end", "text"])
-            for word in zip(*(came[f].tolist() for f in FIELDS), strict=True):
+            # lists and no pandas: a batch is one recording's, and a call of pandas costs more than its words
+            came = list(zip(*(batch[f].tolist() for f in FIELDS), strict=True))
+            for word in sorted((w for w in came if w[0] >= next_idx), key=lambda w: (w[0], w[3] != w[3], w[3], w[4] != w[4], w[4], w[1])):
                 waiting.setdefault(word[0], word)
-            if len(batch):
-                latest = max(latest, int(batch["ms"].max()))
-                last_idx = max(last_idx, int(batch["idx"].where(batch["last"], -1).max()))
+            latest = max([latest, *batch["ms"].tolist()])
+            last_idx = max(last_idx, max((w[0] for w, last in zip(came, batch["last"].tolist(), strict=True) if last), default=-1))
         order = sorted(waiting)
         # a word that is still missing keeps back all behind it, until patience is over
         known = len(order) if state.hasTimedOut else next((n for n, i in enumerate(order) if i != next_idx + n), len(order))

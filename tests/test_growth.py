@@ -2,12 +2,16 @@
 
 import shutil
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
+import pandas as pd
 import pytest
 
 from cuegrain.operators import align
+from cuegrain.operators.segment import PHRASE
 from cuegrain.plans import audio_queries, captions_queries, derived
+from cuegrain.streaming import segments
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -71,3 +75,16 @@ def test_frames_of_audio_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(align, "_settled", lambda *args: dealt.append(args[-1]) or settled(*args))
     assert audio_queries.QUERIES["align_to_audio"](spark, str(DATA)).count() == rows
     assert dealt[0] >= rows / 500
+
+
+def test_the_stream_folds_a_recording_without_sorting_in_pandas(monkeypatch):
+    """A batch holds some hundred words of one recording, for which pandas' sort took most of the time; of one idx the earliest word counts."""
+
+    def refused(*_, **__):
+        raise AssertionError("sorted in pandas")
+
+    monkeypatch.setattr(pd.DataFrame, "sort_values", refused)
+    words = [(2, "end.", 4, 1.0, 1.2, 0.2, 2, True, 1000), (0, "late", 4, 0.3, 0.4, 0.2, 0, False, 300), (1, "b", 1, 0.5, 0.7, 0.2, 0, False, 500), (0, "a", 1, 0.0, 0.2, 0.2, 0, False, 0)]
+    state = SimpleNamespace(exists=False, hasTimedOut=False, update=lambda _: None, setTimeoutTimestamp=lambda _: None, getCurrentWatermarkMs=lambda: 0)
+    (out,) = segments._fold(PHRASE, 60_000)((7,), iter([pd.DataFrame(words, columns=[*segments.FIELDS, "last", "ms"])]), state)
+    assert out[["text", "first_idx", "n_words"]].values.tolist() == [["a b end.", 0, 3]]
