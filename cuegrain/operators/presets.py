@@ -22,6 +22,7 @@ def scan_presets(files: DataFrame) -> DataFrame:
     are there and not null, are objects or lists whose properties, where they are there, are a list; the first of an id stays.
     entry is the whole entry as JSON, with every field that it came with. Values are judged as VARIANT, so by their types and not by how they are written.
     """
+    files = files.repartition("file")  # parsing is the work, and where files are read there may be one task
     read = files.where(F.try_parse_json("content").isNotNull()).select("file", F.from_json("content", "struct<version:int,presets:array<string>>").alias("p"))
     rows = read.select("file", F.posexplode("p.presets").alias("pos", "entry")).select("file", "pos", F.trim("entry").alias("entry"))
     rows = rows.withColumns({"v": F.try_parse_json("entry"), "e": F.from_json("entry", PRESET)})

@@ -10,7 +10,7 @@ import pytest
 
 from cuegrain.operators import align
 from cuegrain.operators.segment import PHRASE
-from cuegrain.plans import audio_queries, captions_queries, derived
+from cuegrain.plans import audio_queries, captions_queries, derived, timeline_queries
 from cuegrain.streaming import segments
 
 DATA = Path("/root/testdata/sf0.001")
@@ -88,3 +88,9 @@ def test_the_stream_folds_a_recording_without_sorting_in_pandas(monkeypatch):
     state = SimpleNamespace(exists=False, hasTimedOut=False, update=lambda _: None, setTimeoutTimestamp=lambda _: None, getCurrentWatermarkMs=lambda: 0)
     (out,) = segments._fold(PHRASE, 60_000)((7,), iter([pd.DataFrame(words, columns=[*segments.FIELDS, "last", "ms"])]), state)
     assert out[["text", "first_idx", "n_words"]].values.tolist() == [["a b end.", 0, 3]]
+
+
+def test_preset_files_are_dealt_before_they_are_parsed(spark):
+    """Customers are read in one task; their files are dealt to many, and the first of an id is found where they are."""
+    plan = timeline_queries.QUERIES["preset_write"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(file") == 1 and plan.count("Exchange") == 1
